@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.neighbours import neighbour_pairs
 from quern.llm.repeated_lines import repeated_lines, without_repeated_lines
 from quern.llm.splitting import oversized, split_items
 from quern.session import read_table
@@ -26,6 +27,10 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(read_table(spark, d, "vectors").select("id", "source_id", "text")).select("id", "source_id", "n_cut", "clean_text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs(read_table(spark, d, "vectors"))
+
+
 _BARE = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
 
 _P4 = r"""
@@ -40,11 +45,22 @@ often AS (
   WHERE k >= 5 AND k >= n * 0.02::DOUBLE)
 SELECT DISTINCT id, line_no::INT AS line_no FROM lines JOIN often USING (source_id, norm)"""
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found}
 
 ORACLE = {
     "p3_found": rf"""SELECT DISTINCT id FROM vectors
       WHERE length({_BARE}) > 0
         AND floor(greatest(length({_BARE}) / 4.0::DOUBLE, len(regexp_extract_all(text, '\S+')) * 1.3::DOUBLE)) + 1 > 750""",
     "p4_found": _P4,
+    "p5_found": """
+WITH u AS (
+  SELECT DISTINCT id, lower(trim(embed_provider)) AS p,
+         list_transform(list_resize(embedding, 64, 0::FLOAT)::DOUBLE[], lambda x: coalesce(x, 0)) AS v
+  FROM vectors WHERE embedding IS NOT NULL AND lower(trim(embed_provider)) NOT IN ('', 'legacy:unknown')),
+n AS (SELECT id, p, v, sqrt(list_dot_product(v, v)) AS l FROM u WHERE list_dot_product(v, v) > 0),
+c AS (SELECT a.id AS x, b.id AS y, max(list_dot_product(a.v, b.v) / (a.l * b.l)) AS s
+      FROM n a JOIN n b ON a.p = b.p AND a.id <> b.id
+      WHERE list_dot_product(a.v, b.v) / (a.l * b.l) >= 0.85 GROUP BY 1, 2),
+r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rn FROM c)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE rn <= 10""",
 }
