@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.leakage import leaked_items, without_leaks
 from quern.llm.neighbours import neighbour_pairs
 from quern.llm.repeated_lines import repeated_lines, without_repeated_lines
 from quern.llm.splitting import oversized, split_items
@@ -31,6 +32,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(read_table(spark, d, "vectors"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked: documents that hold part of each, and the longest run of words found."""
+    leaks = leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return leaks.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("longest"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return without_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id")
+
+
 _BARE = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
 
 _P4 = r"""
@@ -45,13 +60,24 @@ often AS (
   WHERE k >= 5 AND k >= n * 0.02::DOUBLE)
 SELECT DISTINCT id, line_no::INT AS line_no FROM lines JOIN often USING (source_id, norm)"""
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found}
+_P7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e)),
+found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
+"""
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
+    "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean}
 
 ORACLE = {
     "p3_found": rf"""SELECT DISTINCT id FROM vectors
       WHERE length({_BARE}) > 0
         AND floor(greatest(length({_BARE}) / 4.0::DOUBLE, len(regexp_extract_all(text, '\S+')) * 1.3::DOUBLE)) + 1 > 750""",
     "p4_found": _P4,
+    "p7_found": _P7 + "SELECT doc_id, item_id FROM found",
+    "p7_clean": _P7 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
     "p5_found": """
 WITH u AS (
   SELECT DISTINCT id, lower(trim(embed_provider)) AS p,
