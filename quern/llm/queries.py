@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.encoding import garbled
 from quern.llm.leakage import leaked_items, without_leaks
 from quern.llm.neighbours import neighbour_pairs
 from quern.llm.repeated_lines import repeated_lines, without_repeated_lines
@@ -46,6 +47,14 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(read_table(spark, d, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(read_table(spark, d, "documents"))
+
+
 _BARE = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
 
 _P4 = r"""
@@ -69,7 +78,8 @@ found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
 """
 
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
-    "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean}
+    "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean,
+    "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLE = {
     "p3_found": rf"""SELECT DISTINCT id FROM vectors
