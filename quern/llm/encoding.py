@@ -45,6 +45,8 @@ _MARKS = "“”„‘’‚–—«»•…"
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _OPEN, _CLOSE = "“‘\"'«‹„‚(`", "”’\"'»›“‘)`"
+#: Question marks in the place of characters that the wrong encoding lacked; looked for where it garbled others.
+_ASKED = re.compile(r"(?<![^\s(|])\?(?=\d)|(?<=[a-zß-ÿ])\?(?=[a-zß-ÿ:;,)|])")
 #: Words with which a text speaks of a character (fixed list).
 _SPEAKING = re.compile(r"(?i)\b(writes?|shows?|prints?|displays?|sign|symbol|character|glyph|zeichen|schreibt|zeigt|caract[eè]re|signe|affiche|escribe|muestra|signo|car[aá]cter|चिह्न|अक्षर)\b")
 
@@ -147,7 +149,7 @@ def _allowed(text: str, start: int, end: int, seen: str, wrong: str) -> bool:
         if len(seen) == 2:
             return bool(_LATIN.match(before) or _LATIN.match(after)) and not (_CYRILLIC.match(before) and _CYRILLIC.match(after))
         return not seen.isalpha()
-    if len(seen) == 2 and seen[1] in "“”‘’„‚«»‹›" and before in ("", *"“‘«„‚‹\"'( \n"):
+    if len(seen) == 2 and seen[1] in "“”‘’„‚«»‹›" and (before in [*"“‘«„‚‹\"'("] or seen[0] != "Â" and not before.strip()):
         return False  # a single capital between quotation marks
     if len(seen) == 2 and seen.isalpha() and seen[1].islower() == seen[0].islower() and not (_LATIN.match(before) or _LATIN.match(after) or ord(seen[0]) > 0x250):
         return seen[0] in "ÃÂÅÄ"
@@ -264,6 +266,7 @@ def restore(text: str) -> tuple[str, int, int]:
             at = end
         text = "".join(out) + text[at:]
         fixed += len(singles)
+        lost += len(_ASKED.findall(text))
         rows = text.split("\n")
         for number, pair in chosen.items():
             rows[number] = _marks_restored(rows[number], tables().marks[pair])
