@@ -33,8 +33,8 @@ TREES, REACH, TILE = 16, 640, 256
 EXCLUDED = ("legacy:unknown",)
 #: Tasks over which a class of exact copies is spread.
 SALTS = 32
-#: Tolerance of the half-precision scores against the least cosine; what it lets through is scored again exactly.
-SLACK = 0.004
+#: Tolerance of the scores of 8-bit vectors against the least cosine; what it lets through is scored again exactly.
+SLACK = 0.015
 
 _TREE_SCHEMA = "tree int, provider string, code long, node long, vector binary"
 
@@ -90,9 +90,15 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(-1, DIMENSIONS)
 
 
-def _halves(unit: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(unit.astype(np.float16)).view(np.uint8).tobytes()
-    return pa.Array.from_buffers(pa.binary(DIMENSIONS * 2), len(unit), [None, pa.py_buffer(data)]).cast(pa.binary())
+def _bytes(unit: np.ndarray) -> pa.Array:
+    """Vectors in 8 bits a dimension, each scaled to its largest element."""
+    data = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8).tobytes()
+    return pa.Array.from_buffers(pa.binary(DIMENSIONS), len(unit), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    m = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIMENSIONS).astype(np.float32)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def _plant(trees: int):
@@ -104,10 +110,10 @@ def _plant(trees: int):
             m = _matrix(b.column("vector"))
             m = m / np.abs(m).max(axis=1, keepdims=True)  # keeps the squares of very long or short vectors finite
             unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-            halves = _halves(unit)
+            small = _bytes(unit)
             for t in range(trees):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b.num_rows, t, np.int32)), b.column("provider"), pa.array(forest.codes(unit, t)), b.column("node"), halves],
+                    [pa.array(np.full(b.num_rows, t, np.int32)), b.column("provider"), pa.array(forest.codes(unit, t)), b.column("node"), small],
                     names=["tree", "provider", "code", "node", "vector"],
                 )
 
@@ -157,8 +163,7 @@ def _score(k: int, least: float, reach: int):
             pairs = zip(batch.column("tree").to_pylist(), batch.column("provider").to_pylist())
             group = np.append(group, np.fromiter((names.setdefault(p, len(names)) for p in pairs), np.int64, batch.num_rows))
             nodes = np.append(nodes, batch.column("node").to_numpy())
-            values = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float16).reshape(-1, DIMENSIONS)
-            m = np.concatenate([m, values.astype(np.float32)])
+            m = np.concatenate([m, _units(batch.column("vector"))])
             yield from emit(max(done, len(nodes) - reach))  # what has its whole window
             drop = max(0, done - reach)
             group, nodes, m, done = group[drop:], nodes[drop:], m[drop:], done - drop
