@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.encoding import garbled
 from quern.llm.leakage import leaked_items, without_leaks
+from quern.llm.mixing import mixture, mixture_report
 from quern.llm.neighbours import neighbour_pairs
 from quern.llm.repeated_lines import repeated_lines, without_repeated_lines
 from quern.llm.splitting import oversized, split_items
@@ -47,6 +48,14 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id")
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_report(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled(read_table(spark, d, "documents")).select("doc_id")
 
@@ -79,6 +88,7 @@ found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
 
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
     "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean,
+    "p8_mixture": p8_mixture, "p8_report": p8_report,
     "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLE = {
