@@ -49,6 +49,8 @@ _CONSENT = re.compile(
     r"verwenden cookies|datenschutzerklärung|utilise des cookies|politique de confidentialité|usamos cookies|utiliza cookies|política de privacidad|terms of use)\b|कुकीज़ का उपयोग|गोपनीयता नीति"
 )
 _CUT_SHORT = re.compile(r"(?i)(…|\.\.\.|\[…\]|\[\.\.\.\]|read more|more »|\(new\)|weiterlesen( »)?|mehr »|lire la suite( »)?|leer más( »)?|ver más( »)?|और पढ़ें( »)?|\(neu\)|\(nouveau\)|\(nuevo\)|\(नया\))$")
+_TAGS = re.compile(r"(?i)^(tags?|filed under|categor(?:y|ies)|posted (?:in|by|on)|labels?|keywords|topics|schlagwörter|abgelegt unter|kategorien?|étiquettes|mots-clés|classé dans|catégories?|etiquetas|archivado en|categorías?|टैग|श्रेणी)\b\s*:?\s*\S|^# \S")
+_DATED = re.compile(r"(?i)^\d{1,2}\.? (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mär|mai|okt|dez|janv|févr|mars|avr|juin|juil|août|sept|déc|ene|abr|ago|dic|जन|फ़?र|मार्च|अप्रैल|मई|जून|जुल|अग|सित|अक्|नव|दिस)[^\W\d_]*\.? \S")
 _SENTENCE_END = re.compile(r"[.!?।][\"”’»)]*$")
 _ITEM = re.compile(r"^(?:[*•-] \S|\d{1,3}\. \S|[QA]: )")
 _LINK_MARK = re.compile(r"^[»›>→] ?\S")
@@ -60,8 +62,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 #: Log-odds of the structural features.
 WEIGHTS = {
-    "bias": 0.0, "label": 3.5, "footer": 4.0, "consent": 2.5, "cut_short": 3.0, "pager": 3.0, "path": 3.0, "path_to_title": 4.0, "bar": 2.5, "link_mark": 2.5,
-    "repeated": 1.1, "sentence": -2.2, "long": -1.5, "item": -2.5, "title": -5.0, "lower": -1.5, "amount": -1.2, "phrase": -0.7,
+    "bias": 0.0, "label": 3.5, "footer": 4.0, "consent": 2.5, "cut_short": 4.5, "tags": 3.0, "dated": 1.5, "pager": 3.0, "path": 3.0, "path_to_title": 4.0, "bar": 2.5, "link_mark": 2.5,
+    "repeated": 1.1, "sentence": -2.2, "long": -1.5, "item": -2.5, "title": -5.0, "lower": -1.5, "amount": -1.2, "phrase": -0.8, "long_phrase": -0.6,
 }
 
 
@@ -70,8 +72,8 @@ def normal_line(line: str) -> str:
     return _DIGITS.sub("0", _SPACE.sub(" ", line).strip().lower())
 
 
-def line_features(line: str, pages: int, title: str) -> dict[str, float]:
-    """Structural features of a stripped line that stands on ``pages`` pages."""
+def line_features(line: str, pages: int, title: str, after: str = "") -> dict[str, float]:
+    """Structural features of a stripped line that stands on ``pages`` pages; ``after`` is the line below it."""
     flat = _SPACE.sub(" ", line)
     low = flat.lower()
     words = flat.split(" ")
@@ -79,7 +81,8 @@ def line_features(line: str, pages: int, title: str) -> dict[str, float]:
     f: dict[str, float] = {"bias": 1.0}
     ends = bool(_SENTENCE_END.search(flat))
     footer = _FOOTER.search(flat)
-    consent = _CONSENT.search(flat)
+    wrapped = after[:1].islower() and not ends and n >= 3  # the sentence goes on below
+    consent = _CONSENT.search(flat) or (wrapped and _CONSENT.search(flat + " " + after))
     bare = low.strip("»›>→ ")
     if bare in _LABELS:
         f["label"] = 1.0
@@ -89,6 +92,10 @@ def line_features(line: str, pages: int, title: str) -> dict[str, float]:
         f["consent"] = 1.0
     if _CUT_SHORT.search(flat):
         f["cut_short"] = 1.0
+    if _TAGS.match(flat) and not ends:
+        f["tags"] = 1.0
+    if _DATED.match(flat) and not ends and n <= 8:
+        f["dated"] = 1.0
     if (flat[0] in "«‹←" and "»" not in flat) or (flat[-1] in "»›→" and "«" not in flat and not _CUT_SHORT.search(flat)):
         f["pager"] = 1.0
     parts = _PATH.split(flat)
@@ -109,10 +116,10 @@ def line_features(line: str, pages: int, title: str) -> dict[str, float]:
     if _ITEM.match(flat):
         f["item"] = 1.0
     if pages > 1 and chars <= LONGEST:
-        f["repeated"] = min(5.0, math.log2(pages)) * (1.0 if not ends or n > 6 else 0.5)
+        f["repeated"] = min(5.0, math.log2(pages)) * (0.3 if (wrapped or flat[0].islower()) and not consent else 0.5 if ends and n <= 6 else 1.0)
     if title and low == title:
         f["title"] = 1.0
-    if not footer and not consent:
+    if not footer and not consent and not f.keys() & {"cut_short", "tags", "dated"}:
         if ends and n >= 4:
             f["sentence"] = 1.0
         elif ends:
@@ -125,6 +132,8 @@ def line_features(line: str, pages: int, title: str) -> dict[str, float]:
             f["amount"] = 1.0
         if n >= 4 and "bar" not in f:
             f["phrase"] = 1.0
+            if n >= 6:
+                f["long_phrase"] = 1.0
     return f
 
 
@@ -134,13 +143,13 @@ class LineClassifier:
     def __init__(self, words: dict[str, float] | None = None, weights: dict[str, float] | None = None):
         self.words, self.weights = words or {}, weights or WEIGHTS
 
-    def structure(self, line: str, pages: int, title: str) -> float:
-        return sum(self.weights[k] * v for k, v in line_features(line, pages, title).items())
+    def structure(self, line: str, pages: int, title: str, after: str = "") -> float:
+        return sum(self.weights[k] * v for k, v in line_features(line, pages, title, after).items())
 
-    def log_odds(self, line: str, pages: int, title: str) -> float:
+    def log_odds(self, line: str, pages: int, title: str, after: str = "") -> float:
         known = [self.words[w] for w in _WORD.findall(line.lower()) if w in self.words] if self.words else ()
-        lexical = max(-1.2, min(1.2, 0.5 * sum(known) / math.sqrt(len(known)))) if known else 0.0
-        return self.structure(line, pages, title) + lexical
+        lexical = max(-0.8, min(0.8, 0.5 * sum(known) / math.sqrt(len(known)))) if known else 0.0
+        return self.structure(line, pages, title, after) + lexical
 
 
 def fit_words(pages: list[tuple[list[str], dict[int, int], str]]) -> dict[str, float]:
@@ -239,6 +248,8 @@ def _shape(line: str) -> int:
     n = line.count(" ") + 1
     if _ITEM.match(line):
         return 1
+    if _CUT_SHORT.search(line):
+        return 2
     if len(line) > 120 or (_SENTENCE_END.search(line) and n >= 4):
         return 0
     return 2 if n >= 4 else 3
@@ -276,7 +287,8 @@ def boilerplate_lines(text: str, held: dict[int, int], title: str | None, classi
         return []
     at, lines = [i for i, _ in numbered], [x for _, x in numbered]
     name = _SPACE.sub(" ", title or "").strip().lower()
-    unary = [classifier.log_odds(x, held.get(i, 1), name) for i, x in numbered]
+    below = [*lines[1:], ""]
+    unary = [classifier.log_odds(x, held.get(i, 1), name, b) for (i, x), b in zip(numbered, below)]
     return [i for i, cut in zip(at, min_cut(unary, page_edges(lines, at))) if cut]
 
 
@@ -322,7 +334,7 @@ def _pages(rows: DataFrame) -> DataFrame:
         .distinct()
     )
     counts = lines.select("page", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    counts = counts.select("key", F.col("n").cast("int").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    counts = counts.select("key", F.col("n").cast("int").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     held = (
         lines.withColumn("salt", F.pmod("page", F.lit(SALTS)))
         .join(counts, ["key", "salt"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.boilerplate import main_content, page_boilerplate
 from quern.llm.encoding import garbled
 from quern.llm.leakage import leaked_items, without_leaks
 from quern.llm.mixing import mixture, mixture_report
@@ -14,6 +15,19 @@ from quern.llm.splitting import oversized, split_items
 from quern.session import read_table
 
 
+def _website(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "vectors").where(F.lower(F.trim("source_type")) == "website")
+    return rows.select("id", "text", F.element_at("metadata", F.lit("title")).alias("title"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_boilerplate(_website(spark, d))
+
+
+def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return main_content(_website(spark, d)).select("id", "main_text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return oversized(read_table(spark, d, "vectors")).select("id")
 
@@ -86,7 +100,7 @@ eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELEC
 found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
 """
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
+QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
     "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean,
     "p8_mixture": p8_mixture, "p8_report": p8_report,
     "p9_found": p9_found, "p9_restored": p9_restored}
