@@ -258,6 +258,7 @@ def _shape(line: str) -> int:
 def page_edges(lines: list[str], at: list[int]) -> list[tuple[int, int, float]]:
     """Edges between the non-blank lines ``lines`` with line numbers ``at``."""
     shapes = [_shape(x) for x in lines]
+    teaser = [bool(_CUT_SHORT.search(x)) for x in lines]
     edges = []
     for i in range(len(lines) - 1):
         a, b = lines[i], lines[i + 1]
@@ -265,6 +266,8 @@ def page_edges(lines: list[str], at: list[int]) -> list[tuple[int, int, float]]:
         open_end = not _SENTENCE_END.search(a) and a[-1] not in ":?"
         if not apart and open_end and b[:1].islower() and len(a) > 20:
             c = 3.0  # a wrapped sentence
+        elif shapes[i] == shapes[i + 1] == 2 and (teaser[i] or teaser[i + 1]):
+            c, apart = 1.4, False  # headings and the first words of what they lead to
         elif shapes[i] == shapes[i + 1]:
             c = 1.3
         elif {shapes[i], shapes[i + 1]} == {2, 3}:
