@@ -37,7 +37,7 @@ def sessions(events: DataFrame, user: str, ts: str, idle_seconds: int = IDLE_SEC
     gap of exactly that doesn't. Events without user or time are left out."""
     known = events.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
     w = Window.partitionBy(user).orderBy(ts)
-    gap = F.col(ts).cast("double") - F.lag(ts).over(w).cast("double")
+    gap = F.col(ts).cast("timestamp").cast("double") - F.lag(ts).over(w).cast("timestamp").cast("double")
     marked = known.withColumn("_new", F.when(gap > idle_seconds, 1).otherwise(0))
     numbered = marked.withColumn("session_no", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(F.col(user).alias("user_id"), "session_no").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_events"))

@@ -118,7 +118,11 @@ class SessionWindow(StatefulProcessor):
 
 
 def session_stream(stream: DataFrame) -> DataFrame:
-    """``user_id, event_id, session_no, held`` from a stream of ``user_id, event_id, ts``."""
+    """``user_id, event_id, session_no, held`` from a stream of ``user_id, event_id, ts``.
+
+    State with several fields needs the RocksDB provider, which is set for the session.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return stream.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=SessionWindow(), outputStructType="user_id long, event_id long, session_no long, held long", outputMode="Append", timeMode="None"
     )
