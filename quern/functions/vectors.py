@@ -35,13 +35,16 @@ def bucket_of(token: Column, dimensions: int) -> Column:
     """The md5 digest as an integer modulo ``dimensions``, folded over four 32-bit words, as 128 bits fit no type."""
     step = (1 << 32) % dimensions
     digest = F.md5(token)
-    word = lambda i: F.conv(F.substring(digest, F.lit(8) * i + 1, F.lit(8)), 16, 10).cast("long")
-    return F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0).cast("long"), lambda a, i: (a * step + word(i)) % dimensions)
+    folded = F.lit(0).cast("long")
+    for i in range(4):  # unrolled, so that it stays in generated code
+        word = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+        folded = (folded * step + word) % dimensions
+    return folded
 
 
 def sign_of(token: Column) -> Column:
     """+1 if bit 4 of the digest is 0, else -1."""
-    return F.when(F.conv(F.substring(F.md5(token), 31, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    return F.when(F.substring(F.md5(token), 31, 1).isin(*"02468ace"), 1.0).otherwise(-1.0)
 
 
 def hash_embedding(texts: DataFrame, key: str, text: str, dimensions: int = 768) -> DataFrame:
@@ -53,8 +56,10 @@ def hash_embedding(texts: DataFrame, key: str, text: str, dimensions: int = 768)
     tokens = texts.where(F.col(key).isNotNull()).select(
         F.col(key), F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))).alias("pos", "token")
     )
+    # A repeated token is hashed once for its text.
+    held = tokens.groupBy(key, "token").agg(F.sum(F.lit(1.0) / F.sqrt(F.col("pos") + 1.0)).alias("w"))
     parts = (
-        tokens.select(F.col(key), bucket_of(F.col("token"), dimensions).cast("int").alias("bucket"), (sign_of(F.col("token")) / F.sqrt(F.col("pos") + 1.0)).alias("w"))
+        held.select(F.col(key), bucket_of(F.col("token"), dimensions).cast("int").alias("bucket"), (sign_of(F.col("token")) * F.col("w")).alias("w"))
         .groupBy(key, "bucket")
         .agg(F.sum("w").alias("w"))
     )

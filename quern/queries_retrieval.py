@@ -62,7 +62,7 @@ def retrieve_capped(s, d):
 
 def _reranked(s, d):
     asked, pooled = _pool(s, d)
-    return asked, Q.rerank(pooled, asked)
+    return asked, Q.rerank(pooled, asked, _chunks(s, d))
 
 
 def rerank(s, d):
