@@ -48,12 +48,12 @@ class SnapshotIndex:
     def entries(generation: DataFrame) -> DataFrame:
         return generation.select("k1", "k2", "source_hash", "value_hash", "generation")
 
-    def probe(self, new: DataFrame) -> DataFrame:
+    def probe(self, new: DataFrame, per_source: bool = True) -> DataFrame:
         """The changes that a delivery brings.
 
         Returns ``k1, k2, change_type, generation`` – the generation that holds the record's written
         key, which is the old one for a removed record. The first delivery of a source gives no changes, and a
-        source that the delivery lacks altogether gives none either.
+        source that the delivery lacks altogether gives none either – unless ``per_source`` is false.
         """
         old = self.rows.select("k1", "k2", *(F.col(c).alias(f"old_{c}") for c in ("source_hash", "value_hash", "generation")))
         both = self.entries(new).join(old, ["k1", "k2"], "full_outer")
@@ -67,12 +67,11 @@ class SnapshotIndex:
             .when(F.col("generation").isNull(), "removed")
             .when(F.col("value_hash") != F.col("old_value_hash"), "changed")
         )
+        marked = both.withColumn("change_type", kind).where(F.col("change_type").isNotNull()).withColumn("covered_source", source)
+        if per_source:
+            marked = marked.join(covered.where("in_new and in_old"), "covered_source", "left_semi")
         return (
-            both.withColumn("change_type", kind)
-            .where(F.col("change_type").isNotNull())
-            .withColumn("covered_source", source)
-            .join(covered.where("in_new and in_old"), "covered_source", "left_semi")
-            .select("k1", "k2", "change_type", F.coalesce("generation", "old_generation").alias("generation"))
+            marked.select("k1", "k2", "change_type", F.coalesce("generation", "old_generation").alias("generation"))
         )
 
     def swap(self, new: DataFrame, name: str) -> SnapshotIndex:
@@ -165,9 +164,9 @@ def listing_changes(before: DataFrame, after: DataFrame, snapshot_no: int) -> Da
     """
     old, new = snapshot_no - 1, snapshot_no
     staged = set_rows(before, old).unionByName(set_rows(after, new))
-    staged = materialise(staged.select("*", *record_hashes()).withColumn("source_hash", F.lit(0).cast("long")), "listing", ["generation"])
+    staged = materialise(staged.select("*", *record_hashes()), "listing", ["generation"])
     of = lambda n: staged.where(F.col("generation") == n)
-    changes = SnapshotIndex(SnapshotIndex.entries(of(old))).probe(of(new))
+    changes = SnapshotIndex(SnapshotIndex.entries(of(old))).probe(of(new), per_source=False)
     return changes.join(staged.select("k1", "k2", "generation", "source_id", "item_key"), ["k1", "k2", "generation"]).select(
         F.lit(snapshot_no).cast("int").alias("snapshot_no"), "source_id", "item_key", "change_type"
     )

@@ -268,8 +268,8 @@ h0 AS (SELECT st.query_id, st.stems, c.*, coalesce(d.dense, 0) AS dense,
   FROM c CROSS JOIN st LEFT JOIN dense d ON d.query_id = st.query_id AND d.id = c.id),
 hy AS (SELECT *, round(dense * 0.85::DOUBLE + least(kw * 0.025::DOUBLE, 0.10::DOUBLE) + least(title_hits * 0.035::DOUBLE, 0.07::DOUBLE), 4) AS score FROM h0
   WHERE dense > 0 OR title_hits > 0 OR kw >= 2 OR (len(stems) = 1 AND kw >= 1 AND length(stems[1]) >= 4)),
-p0 AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id, source_id, item_key ORDER BY score DESC, dense DESC, id) AS n FROM hy),
-po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense DESC, id) AS pos FROM p0 WHERE best >= 0.28 AND n <= 3) WHERE pos <= 25)
+p0 AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id, source_id, item_key ORDER BY score DESC, round(dense, 9) DESC, id) AS n FROM hy),
+po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(dense, 9) DESC, id) AS pos FROM p0 WHERE best >= 0.28 AND n <= 3) WHERE pos <= 25)
 """
 )
 _RERANK = (
