@@ -51,6 +51,7 @@ _CONSENT = re.compile(
 _CUT_SHORT = re.compile(r"(?i)(…|\.\.\.|\[…\]|\[\.\.\.\]|read more|more »|\(new\)|weiterlesen( »)?|mehr »|lire la suite( »)?|leer más( »)?|ver más( »)?|और पढ़ें( »)?|\(neu\)|\(nouveau\)|\(nuevo\)|\(नया\))$")
 _TAGS = re.compile(r"(?i)^(tags?|filed under|categor(?:y|ies)|posted (?:in|by|on)|labels?|keywords|topics|schlagwörter|abgelegt unter|kategorien?|étiquettes|mots-clés|classé dans|catégories?|etiquetas|archivado en|categorías?|टैग|श्रेणी)\b\s*:?\s*\S|^# \S")
 _DATED = re.compile(r"(?i)^\d{1,2}\.? (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mär|mai|okt|dez|janv|févr|mars|avr|juin|juil|août|sept|déc|ene|abr|ago|dic|जन|फ़?र|मार्च|अप्रैल|मई|जून|जुल|अग|सित|अक्|नव|दिस)[^\W\d_]*\.? \S")
+_LABELLED = re.compile(r"^[^\W\d_][^:|]{1,40}: \S")
 _SENTENCE_END = re.compile(r"[.!?।][\"”’»)]*$")
 _ITEM = re.compile(r"^(?:[*•-] \S|\d{1,3}\. \S|[QA]: )")
 _LINK_MARK = re.compile(r"^[»›>→] ?\S")
@@ -63,7 +64,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Log-odds of the structural features.
 WEIGHTS = {
     "bias": 0.0, "label": 3.5, "footer": 4.0, "consent": 2.5, "cut_short": 4.5, "tags": 3.0, "dated": 1.5, "pager": 3.0, "path": 3.0, "path_to_title": 4.0, "bar": 2.5, "link_mark": 2.5,
-    "repeated": 1.1, "sentence": -2.2, "long": -1.5, "item": -2.5, "title": -5.0, "lower": -1.5, "amount": -1.2, "phrase": -0.8, "long_phrase": -0.6,
+    "repeated": 1.1, "sentence": -2.2, "long": -1.5, "item": -2.5, "title": -5.0, "lower": -1.5, "amount": -1.2, "phrase": -0.8, "long_phrase": -0.6, "labelled": -1.5,
 }
 
 
@@ -128,6 +129,8 @@ def line_features(line: str, pages: int, title: str, after: str = "") -> dict[st
             f["long"] = 1.0
         if flat[0].islower():
             f["lower"] = 1.0
+        if _LABELLED.match(flat) and "repeated" not in f:
+            f["labelled"] = 1.0
         if re.search(r"[₹$€%]|\b\d+ seats\b|\broom \d|\bextension \d", flat):
             f["amount"] = 1.0
         if n >= 4 and "bar" not in f:

@@ -37,13 +37,13 @@ SINGLE = tuple((t, w) for t in ("cp1252", "mac_roman", "cp850", "cp437") for w i
 PASSES = 4
 
 #: Characters (ranges) whose garbled forms are looked for.
-_REPERTOIRE = ((0xA0, 0x180), (0x2BC, 0x2DE), (0x370, 0x400), (0x400, 0x460), (0x900, 0x980), (0x2010, 0x2040), (0x20A0, 0x20C0), (0x2116, 0x2117), (0x2122, 0x2123), (0x2190, 0x2194), (0x2200, 0x2270), (0x2310, 0x2322), (0x2500, 0x25A1), (0xFB01, 0xFB03), (0xFFFD, 0xFFFE))
+_REPERTOIRE = ((0x80, 0x180), (0x192, 0x193), (0x2BC, 0x2DE), (0x370, 0x400), (0x400, 0x460), (0x900, 0x980), (0x2010, 0x2040), (0x20A0, 0x20C0), (0x2116, 0x2117), (0x2122, 0x2123), (0x2190, 0x2194), (0x2200, 0x2270), (0x2310, 0x2322), (0x2500, 0x25A1), (0xFB01, 0xFB03), (0xFFFD, 0xFFFE))
 #: Letters expected in words that were garbled one to one.
 _LETTERS = "éèêëàâäáãåçñöôóòõœßüùúûîïíìÉÈÊÀÂÄÁÃÅÇÑÖÔÓÕÜÚÛÎÍØøæÆšžŠŽÿć"
 #: Punctuation restored on lines that a single-byte pair has been found for.
 _MARKS = "“”„‘’‚–—«»•…"
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]")
 _OPEN, _CLOSE = "“‘\"'«‹„‚(`", "”’\"'»›“‘)`"
 #: Question marks in the place of characters that the wrong encoding lacked; looked for where it garbled others.
 _ASKED = re.compile(r"(?<![^\s(|])\?(?=\d)|(?<=[a-zß-ÿ])\?(?=[a-zß-ÿ:;,)|])")
@@ -146,10 +146,13 @@ def _allowed(text: str, start: int, end: int, seen: str, wrong: str) -> bool:
     """Whether the surroundings admit that this combination is garbled rather than written."""
     before, after = text[start - 1 : start], text[end : end + 1]
     if wrong in ("cp1251", "koi8_r", "cp866", "cp1253"):
-        if len(seen) == 2:
-            return bool(_LATIN.match(before) or _LATIN.match(after)) and not (_CYRILLIC.match(before) and _CYRILLIC.match(after))
-        return not seen.isalpha()
-    if len(seen) == 2 and seen[1] in "“”‘’„‚«»‹›" and (before in [*"“‘«„‚‹\"'("] or seen[0] != "Â" and not before.strip()):
+        if len(seen) > 2:  # inside a word no capital follows a small letter
+            return not seen.isalpha() or seen[0].islower() and any(c.isupper() for c in seen[1:])
+        left, right = text[max(0, start - 3) : start].rstrip()[-1:], text[end : end + 3].lstrip()[:1]
+        if not seen.isalpha() and _LATIN.match(left) and _LATIN.match(right):
+            return True
+        return bool(_LATIN.match(before) or _LATIN.match(after)) and not (_CYRILLIC.match(before) and _CYRILLIC.match(after))
+    if len(seen) == 2 and seen[1] in "“”‘’„‚«»‹›" and (before in [*"“‘«„‚‹\"'("] or seen[0] not in "ÃÂ" and not before.strip()):
         return False  # a single capital between quotation marks
     if len(seen) == 2 and seen.isalpha() and seen[1].islower() == seen[0].islower() and not (_LATIN.match(before) or _LATIN.match(after) or ord(seen[0]) > 0x250):
         return seen[0] in "ÃÂÅÄ"
@@ -159,26 +162,26 @@ def _allowed(text: str, start: int, end: int, seen: str, wrong: str) -> bool:
 def multi_spans(text: str) -> list[tuple[int, int, dict[str, str] | None]]:
     """Spans of multi-byte pairs: start, end, and what they can stand for (None: cut short or lost)."""
     t = tables()
-    best: list[tuple[int, int, str]] = []
-    for end, seen in t.automaton.iter(text):
-        start = end + 1 - len(seen)
-        # Longest match, the leftmost first: a longer one that reaches over kept ones takes their place.
-        while best and best[-1][0] >= start:
-            best.pop()
-        if best and best[-1][1] > start:
-            continue
-        best.append((start, end + 1, seen))
-    spans = []
-    for start, end, seen in best:
-        if seen == "�":
-            spans.append((start, end, None))
-            continue
-        options = {w: c for w, c in t.multi.get(seen, {}).items() if _allowed(text, start, end, seen, w)}
+    found: list[tuple[int, int, str, dict[str, str] | None]] = []
+    votes: Counter = Counter()
+    for last, seen in t.automaton.iter(text):
+        start, end = last + 1 - len(seen), last + 1
+        options = {w: c for w, c in t.multi.get(seen, {}).items() if seen != "�" and _allowed(text, start, end, seen, w)}
         if options:
+            votes.update({w: len(seen) for w in options})
+            found.append((start, end, seen, options))
+        elif seen == "�" or seen in t.cut:
+            found.append((start, end, seen, None))
+    # Where spans overlap, the encoding that explains most of the text comes first, and the longer of its spans.
+    rank = {w: (-votes[w], i) for i, w in enumerate(WRONG)}
+    place = lambda x: (min(rank[w] for w in x[3]) if x[3] else (0, len(WRONG)), x[0] - x[1], x[0])
+    taken = bytearray(len(text))
+    spans = []
+    for start, end, _, options in sorted(found, key=place):
+        if not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
             spans.append((start, end, options))
-        elif seen in t.cut:
-            spans.append((start, end, None))
-    return spans
+    return sorted(spans, key=lambda x: x[0])
 
 
 def single_spans(text: str) -> list[tuple[int, int, dict[tuple[str, str], str]]]:
@@ -219,14 +222,16 @@ def _real(text: str, start: int, end: int, lost: bool) -> bool:
     return True
 
 
-def _marks_restored(line: str, marks: dict[str, str]) -> str:
-    """Quotation marks, dashes and bullets of a line garbled one to one: letters standing where only marks can."""
+def _marks_restored(line: str, marks: dict[str, str], letters: dict[str, str]) -> str:
+    """What else a line garbled one to one holds: letters where only quotation marks, dashes and bullets can stand,
+    and marks between two letters."""
     out = []
     for i, c in enumerate(line):
         before, after = line[i - 1 : i] or " ", line[i + 1 : i + 2] or " "
         alone = before.isspace() and (after.isspace() or after.isupper())
         closing = not after.isalnum() and (before in ".,;!?" or not c.isalpha() and before.isalnum())
-        out.append(marks[c] if c in marks and (alone or closing) else c)
+        within = not c.isalpha() and c in letters and _LATIN.match(before) and _LATIN.match(after) and after.islower()
+        out.append(letters[c] if within else marks[c] if c in marks and (alone or closing) else c)
     return "".join(out)
 
 
@@ -269,7 +274,7 @@ def restore(text: str) -> tuple[str, int, int]:
         lost += len(_ASKED.findall(text))
         rows = text.split("\n")
         for number, pair in chosen.items():
-            rows[number] = _marks_restored(rows[number], tables().marks[pair])
+            rows[number] = _marks_restored(rows[number], tables().marks[pair], tables().single[pair])
         text = "\n".join(rows)
     return text, fixed, lost
 

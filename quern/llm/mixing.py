@@ -190,7 +190,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray, available: np.ndarray, caps
     # The sources' totals hold exactly, whatever the soft residuals ask for.
     hard, _ = _sum_totals(table, fit, classes)
     for k in range(classes):
-        room = caps[k] * available[k] - hard[k]
+        room = caps[k] * available[k] - hard[k] if available[k] else 0.0
         if hard[k] < targets[k] and np.isfinite(room) and room > 0:
             fit.lift[k] = min(1.0, (targets[k] - hard[k]) / room)
         elif hard[k] > 0:
