@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import materialise
+
 #: Pages whose lines the word classifier is fitted on at most.
 SAMPLE_PAGES = 4000
 #: Copies of the table of line counts, over which the lines of all pages are spread.
@@ -332,13 +334,13 @@ def _pages(rows: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("text", "title")).alias("v"))
         .select("page", "id", "v.text", "v.title")
     )
-    lines = (
+    keyed = (
         rows.where("id is not null and text is not null")
         .select(F.xxhash64("id").alias("page"), "text")
         .mapInArrow(_line_keys, "page long, line_no int, line string")
         .select("page", "line_no", F.xxhash64("line").alias("key"))
-        .distinct()
     )
+    lines = materialise(keyed, "page-lines").distinct()  # counted, looked up and sampled: cut into lines once
     counts = lines.select("page", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     counts = counts.select("key", F.col("n").cast("int").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     held = (
