@@ -6,7 +6,8 @@ needs no strings; the written keys of records that went away are fetched from th
 them, for those records alone. Then the indexes are swapped: the new rows take the place of the old ones, and
 sources that the delivery didn't cover keep their entries.
 
-Cost of a step: one shuffle of the fixed-width rows of two generations. Buckets are hashes of the record, not
+Both sides are bucketed by the record's hash, so that a probe joins bucket with bucket and shuffles nothing; what
+is shuffled is each delivery, once, when it is written. Buckets are hashes of the record, not
 of the source, so that a source holding a third of the rows is spread like any other.
 """
 
@@ -14,18 +15,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.keys import hex_digest, written_key
 from quern.session import materialise
 
-#: Buckets of the index; a bucket is the unit in which a table of any size is probed.
-BUCKETS = 64
+#: Least number of buckets of the index; there are as many as the session has shuffle partitions, if these are more.
+BUCKETS = 12
 
 CHANGES_SCHEMA = "snapshot_no int, source_id string, item_key string, change_type string"
 
 
+def _buckets(spark: SparkSession) -> tuple[int, list[str]]:
+    return max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))), ["k1", "k2"]
+
+
 def record_hashes(source: str = "source_id", key: str = "item_key") -> list:
     """Two independent 64-bit hashes of the record and one of its source."""
     return [
@@ -57,19 +62,15 @@ class SnapshotIndex:
         """
         old = self.rows.select("k1", "k2", *(F.col(c).alias(f"old_{c}") for c in ("source_hash", "value_hash", "generation")))
         both = self.entries(new).join(old, ["k1", "k2"], "full_outer")
-        source = F.coalesce("source_hash", "old_source_hash")
-        covered = (
-            both.groupBy(source.alias("covered_source"))
-            .agg(F.max(F.col("generation").isNotNull()).alias("in_new"), F.max(F.col("old_generation").isNotNull()).alias("in_old"))
-        )
         kind = (
             F.when(F.col("old_generation").isNull(), "added")
             .when(F.col("generation").isNull(), "removed")
             .when(F.col("value_hash") != F.col("old_value_hash"), "changed")
         )
-        marked = both.withColumn("change_type", kind).where(F.col("change_type").isNotNull()).withColumn("covered_source", source)
+        marked = both.withColumn("change_type", kind).where(F.col("change_type").isNotNull()).withColumn("source_hash", F.coalesce("source_hash", "old_source_hash"))
         if per_source:
-            marked = marked.join(covered.where("in_new and in_old"), "covered_source", "left_semi")
+            covered = self.rows.select("source_hash").distinct().join(new.select("source_hash").distinct(), "source_hash", "left_semi")
+            marked = marked.join(covered, "source_hash", "left_semi")
         return (
             marked.select("k1", "k2", "change_type", F.coalesce("generation", "old_generation").alias("generation"))
         )
@@ -77,7 +78,8 @@ class SnapshotIndex:
     def swap(self, new: DataFrame, name: str) -> SnapshotIndex:
         """The index after the delivery: its rows, and the old rows of sources that it lacks."""
         kept = self.rows.join(new.select("source_hash").distinct(), "source_hash", "left_anti")
-        return SnapshotIndex(materialise(self.entries(new).unionByName(kept.select("k1", "k2", "source_hash", "value_hash", "generation")), name))
+        rows = self.entries(new).unionByName(kept.select("k1", "k2", "source_hash", "value_hash", "generation"))
+        return SnapshotIndex(materialise(rows, name, bucket_by=_buckets(new.sparkSession)))
 
 
 def latest_rows(snapshots: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def changes_between(staged: DataFrame, generations: list[int]) -> DataFrame:
     spark = staged.sparkSession
     if not generations:
         return spark.createDataFrame([], CHANGES_SCHEMA)
-    staged = materialise(staged.select("*", *record_hashes()).repartition(BUCKETS, "k1"), "staged", ["generation"])
+    staged = materialise(staged.select("*", *record_hashes()), "staged", ["generation"], _buckets(spark))
     of = lambda n: staged.where(F.col("generation") == n)
     index = SnapshotIndex(SnapshotIndex.entries(of(generations[0])))
     found: list[DataFrame] = []
@@ -164,7 +166,7 @@ def listing_changes(before: DataFrame, after: DataFrame, snapshot_no: int) -> Da
     """
     old, new = snapshot_no - 1, snapshot_no
     staged = set_rows(before, old).unionByName(set_rows(after, new))
-    staged = materialise(staged.select("*", *record_hashes()), "listing", ["generation"])
+    staged = materialise(staged.select("*", *record_hashes()), "listing", ["generation"], _buckets(before.sparkSession))
     of = lambda n: staged.where(F.col("generation") == n)
     changes = SnapshotIndex(SnapshotIndex.entries(of(old))).probe(of(new), per_source=False)
     return changes.join(staged.select("k1", "k2", "generation", "source_id", "item_key"), ["k1", "k2", "generation"]).select(

@@ -62,19 +62,25 @@ def _clean() -> None:
             pass
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None, bucket_by: tuple[int, list[str]] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a table scan.
 
     Cuts the lineage, so that loops don't recompute what came before, and survives the loss of executors.
-    The table goes when the application ends.
+    With ``bucket_by`` the table is bucketed, and joins on these columns with a table bucketed alike need no
+    shuffle. The table goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark)}/{table}"
     _CREATED[path] = (spark,)
+    if bucket_by:
+        n, columns = bucket_by
+        # As many tasks as buckets, by the same hash: each writes one file for a bucket and a partition.
+        writer = df.repartition(n, *columns).write.mode("overwrite").format("parquet").option("path", path).bucketBy(n, *columns)
+        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+        return spark.table(table).select(*df.columns)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
