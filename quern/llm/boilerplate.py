@@ -36,7 +36,7 @@ _LABELS = {
     "menu", "search", "login", "log in", "login / register", "sign in", "register", "a- a a+", "toggle navigation", "skip to main content", "skip to content", "navigation",
     "view all", "more", "read more", "show more", "you may also like", "related pages", "latest news", "notice board", "upcoming", "quick links", "share this page", "share", "print",
     "back to top", "top", "subscribe to our newsletter", "like this page? tell a friend!", "accept all", "accept", "reject", "reject all", "manage preferences", "ok, got it", "ok", "save my choices",
-    "home", "about us", "contact", "contact us", "sitemap", "imprint", "privacy policy", "terms of use", "downloads", "gallery", "careers", "alumni", "student login", "exam cell", "campus life", "placements", "hostel",
+    "home", "about us", "contact", "contact us", "sitemap", "imprint", "privacy policy", "terms of use", "downloads", "gallery", "careers", "alumni", "student login", "exam cell", "campus life", "placements", "hostel", "departments", "library", "research", "admissions",
     "startseite", "über uns", "kontakt", "suche", "anmelden", "nach oben", "seite teilen", "verwandte seiten", "aktuelles", "alle akzeptieren", "nur notwendige", "folgen sie uns", "fachbereiche", "bibliothek", "forschung", "zulassung", "wohnheim", "alle anzeigen", "mehr", "das könnte sie auch interessieren",
     "accueil", "à propos", "connexion", "recherche", "haut de page", "partager cette page", "à lire aussi", "actualités", "liens utiles", "tout accepter", "tout refuser", "suivez-nous", "départements", "bibliothèque", "résidence", "tout voir", "voir tout",
     "inicio", "quiénes somos", "contacto", "acceso", "buscar", "volver arriba", "compartir esta página", "últimas noticias", "enlaces rápidos", "noticias", "síganos", "aceptar todo", "aceptar", "rechazar", "departamentos", "biblioteca", "investigación", "admisiones", "residencia", "ver todo", "también le puede interesar", "páginas relacionadas",
@@ -48,17 +48,18 @@ _FOOTER = re.compile(
 )
 _CONSENT = re.compile(
     r"(?i)\b(we use cookies|uses? cookies|cookie policy|optional cookies|process usage data|withdraw consent|small files on your device|privacy (?:policy|statement|matters)|"
-    r"verwenden cookies|datenschutzerklärung|utilise des cookies|politique de confidentialité|usamos cookies|utiliza cookies|política de privacidad|terms of use)\b|कुकीज़ का उपयोग|गोपनीयता नीति"
+    r"verwenden cookies|datenschutzerklärung|utilise des cookies|utilisons des cookies|utilizamos cookies|nutzen cookies|politique de confidentialité|usamos cookies|utiliza cookies|política de privacidad|terms of use)\b|कुकीज़ का उपयोग|गोपनीयता नीति"
 )
 _CUT_SHORT = re.compile(r"(?i)(…|\.\.\.|\[…\]|\[\.\.\.\]|read more|more »|\(new\)|weiterlesen( »)?|mehr »|lire la suite( »)?|leer más( »)?|ver más( »)?|और पढ़ें( »)?|\(neu\)|\(nouveau\)|\(nuevo\)|\(नया\))$")
 _TAGS = re.compile(r"(?i)^(tags?|filed under|categor(?:y|ies)|posted (?:in|by|on)|labels?|keywords|topics|schlagwörter|abgelegt unter|kategorien?|étiquettes|mots-clés|classé dans|catégories?|etiquetas|archivado en|categorías?|टैग|श्रेणी)\b\s*:?\s*\S|^# \S")
 _DATED = re.compile(r"(?i)^\d{1,2}\.? (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mär|mai|okt|dez|janv|févr|mars|avr|juin|juil|août|sept|déc|ene|abr|ago|dic|जन|फ़?र|मार्च|अप्रैल|मई|जून|जुल|अग|सित|अक्|नव|दिस)[^\W\d_]*\.? \S")
-_LABELLED = re.compile(r"^[^\W\d_][^:|]{1,40}: \S")
+_LABELLED = re.compile(r"^[^\W\d_]\w*(?: \w+)?: \S+(?: \S+){0,4}$")
 _SENTENCE_END = re.compile(r"[.!?।][\"”’»)]*$")
 _ITEM = re.compile(r"^(?:[*•-] \S|\d{1,3}\. \S|[QA]: )")
 _LINK_MARK = re.compile(r"^[»›>→] ?\S")
 _PATH = re.compile(r" (?:>|»|›|/|→|::) ")
 _BAR = re.compile(r"\s*[|·•]\s+|\s{2,}[|·]\s*| \| ")
+_COLUMNS = re.compile(r"\s{2,}|\s*[|·•]\s*")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -85,9 +86,11 @@ def line_features(line: str, pages: int, title: str, after: str = "") -> dict[st
     ends = bool(_SENTENCE_END.search(flat))
     footer = _FOOTER.search(flat)
     wrapped = after[:1].islower() and not ends and n >= 3  # the sentence goes on below
+    open_phrase = n >= 6 and not ends and words[-1][:1].islower()  # a heading, or a sentence cut off
     consent = _CONSENT.search(flat) or (wrapped and _CONSENT.search(flat + " " + after))
     bare = low.strip("»›>→ ")
-    if bare in _LABELS:
+    columns = [p.lower() for p in _COLUMNS.split(line) if p]
+    if bare in _LABELS or len(columns) > 1 and sum(p in _LABELS for p in columns) >= 0.6 * len(columns):
         f["label"] = 1.0
     if footer:
         f["footer"] = 1.0
@@ -119,7 +122,7 @@ def line_features(line: str, pages: int, title: str, after: str = "") -> dict[st
     if _ITEM.match(flat):
         f["item"] = 1.0
     if pages > 1 and chars <= LONGEST:
-        f["repeated"] = min(5.0, math.log2(pages)) * (0.3 if (wrapped or flat[0].islower()) and not consent else 0.5 if ends and n <= 6 else 1.0)
+        f["repeated"] = min(5.0, math.log2(pages)) * (0.3 if (wrapped or open_phrase or flat[0].islower()) and not consent and not footer else 0.5 if ends and n <= 6 else 1.0)
     if title and low == title:
         f["title"] = 1.0
     if not footer and not consent and not f.keys() & {"cut_short", "tags", "dated"}:
@@ -153,7 +156,7 @@ class LineClassifier:
 
     def log_odds(self, line: str, pages: int, title: str, after: str = "") -> float:
         known = [self.words[w] for w in _WORD.findall(line.lower()) if w in self.words] if self.words else ()
-        lexical = max(-0.8, min(0.8, 0.5 * sum(known) / math.sqrt(len(known)))) if known else 0.0
+        lexical = max(-0.4, min(0.4, 0.5 * sum(known) / math.sqrt(len(known)))) if known else 0.0
         return self.structure(line, pages, title, after) + lexical
 
 
@@ -168,8 +171,8 @@ def fit_words(pages: list[tuple[list[str], dict[int, int], str]]) -> dict[str, f
             if not bare:
                 continue
             s = plain.structure(bare, held.get(number, 1), title)
-            if abs(s) < 3:
-                continue
+            if abs(s) < 3 or _SPACE.sub(" ", bare).lower() == title:
+                continue  # a page's title is a teaser elsewhere
             k = int(s > 0)
             for w in set(_WORD.findall(bare.lower())):
                 counts.setdefault(w, [0, 0])[k] += 1
@@ -269,7 +272,8 @@ def page_edges(lines: list[str], at: list[int]) -> list[tuple[int, int, float]]:
         a, b = lines[i], lines[i + 1]
         apart = at[i + 1] - at[i] > 1
         open_end = not _SENTENCE_END.search(a) and a[-1] not in ":?"
-        if not apart and open_end and b[:1].islower() and len(a) > 20:
+        tail = b.count(" ") < 3 and a.count(" ") >= 3 and _SENTENCE_END.search(b)
+        if not apart and open_end and (b[:1].islower() or tail) and len(a) > 20:
             c = 3.0  # a wrapped sentence
         elif shapes[i] == shapes[i + 1] == 2 and (teaser[i] or teaser[i + 1]):
             c, apart = 1.4, False  # headings and the first words of what they lead to
@@ -295,6 +299,9 @@ def boilerplate_lines(text: str, held: dict[int, int], title: str | None, classi
         return []
     at, lines = [i for i, _ in numbered], [x for _, x in numbered]
     name = _SPACE.sub(" ", title or "").strip().lower()
+    if not name:  # the path to the page names it too
+        low = {_SPACE.sub(" ", x).lower() for x in lines}
+        name = next((last for x in lines if len(parts := _PATH.split(_SPACE.sub(" ", x).lower())) > 1 and len(last := parts[-1].strip()) > 12 and last in low), "")
     below = [*lines[1:], ""]
     unary = [classifier.log_odds(x, held.get(i, 1), name, b) for (i, x), b in zip(numbered, below)]
     return [i for i, cut in zip(at, min_cut(unary, page_edges(lines, at))) if cut]
