@@ -110,6 +110,10 @@ ORACLE = {
       WHERE length({_BARE}) > 0
         AND floor(greatest(length({_BARE}) / 4.0::DOUBLE, len(regexp_extract_all(text, '\S+')) * 1.3::DOUBLE)) + 1 > 750""",
     "p4_found": _P4,
+    "p4_cleaned": f"""WITH found AS ({_P4}), cut AS (SELECT id, list(line_no) AS ns FROM found GROUP BY 1)
+      SELECT v.id, v.source_id, coalesce(len(ns), 0)::INT AS n_cut,
+        array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(coalesce(ns, []), i::INT)), chr(10)) AS clean_text
+      FROM vectors v LEFT JOIN cut USING (id)""",
     "p7_found": _P7 + "SELECT doc_id, item_id FROM found",
     "p7_clean": _P7 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
     "p5_found": """
