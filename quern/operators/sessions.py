@@ -10,7 +10,11 @@ from quern.functions.text import stripped, words
 #: Messages a session keeps, seconds after which it is forgotten, words of a question that needs no
 #: history, words of a short follow-up.
 KEEP, IDLE_SECONDS, COMPLETE_WORDS, SHORT_WORDS = 20, 6 * 3600, 6, 7
-_REFERS = r"(?i)\b(he|him|his|she|her|hers|it|its|they|them|their|these|those|this|that)\b|\b(tell me more|more info|more details|explain more|what else)\b|^(what about|and|how about|what is|tell me)\b"
+# Word boundaries are spelt out: engines differ in whether \b knows letters beyond ASCII.
+_REFERS = (
+    r"(?i)(?:^|[^\p{L}\p{N}_])(?:he|him|his|she|her|hers|it|its|they|them|their|these|those|this|that|tell me more|more info|more details|explain more|what else)(?:$|[^\p{L}\p{N}_])"
+    r"|^(?:what about|and|how about|what is|tell me)(?:$|[^\p{L}\p{N}_])"
+)
 
 
 def messages_of(chats: DataFrame, key: str, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ from quern.functions import urls as U
 from quern.functions.guard import verdict
 from quern.functions.vectors import fitted, hash_embedding, norm
 from quern.operators import chunking, cleaning
-from quern.operators.sessions import formatted_history, last_messages, messages_of, needs_history, rewritten
+from quern.operators.sessions import _REFERS, formatted_history, last_messages, messages_of, needs_history, rewritten
 from quern.session import read_table
 
 #: The site of the test data.
@@ -264,6 +264,7 @@ ORACLE = {
               FROM n a WHERE a.role = 'user')
         SELECT session_id, turn, message,
           CASE WHEN len(string_split_regex(message, '\s+')) < 6 AND before >= 2 AND message <> '' AND prior IS NOT NULL AND prior <> '' THEN message || ' (' || prior || ')' ELSE message END AS question FROM q""",
+    "follow_ups": rf"""WITH {CHATS_SQL} SELECT session_id, turn, regexp_matches(message, '{_REFERS}') OR len({words_sql('message')}) <= 7 AS needs_history FROM m WHERE role = 'user'""",
     "history_text": rf"""WITH {CHATS_SQL}
         SELECT session_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' || message ELSE 'Assistant: ' || regexp_replace(message, '\[([^\]]+)\]\([^\)]+\)', '\1', 'g') END, chr(10) ORDER BY turn) AS history
         FROM m WHERE role IN ('user', 'assistant') GROUP BY 1""",
