@@ -21,6 +21,7 @@ intact, or standing alone for what is being spoken of – are no case and are le
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -256,14 +257,16 @@ def restore(text: str) -> tuple[str, int, int]:
     singles = [s for s in single_spans(text) if _real(text, s[0], s[1], False)]
     if singles:
         everywhere = Counter(p for _, _, options in singles for p in options)
+        feeds = [m.start() for m in re.finditer("\n", text)]
+        line_of = lambda start: bisect_left(feeds, start)
         lines: dict[int, Counter] = {}
         for start, _, options in singles:
-            lines.setdefault(text.count("\n", 0, start), Counter()).update(list(options))
+            lines.setdefault(line_of(start), Counter()).update(list(options))
         place = {p: i for i, p in enumerate(SINGLE)}
         out, at = [], 0
         chosen: dict[int, tuple[str, str]] = {}
         for start, end, options in singles:
-            number = text.count("\n", 0, start)
+            number = line_of(start)
             line = lines[number]
             pair = min(options, key=lambda p: (-line[p], -everywhere[p], place[p]))
             chosen.setdefault(number, pair)
