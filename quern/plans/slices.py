@@ -14,38 +14,31 @@ def commit_slices(items: DataFrame, target: int = SLICE_CHUNKS, cap: int = 0) ->
 
     ``state`` is ``planned``, ``deferred`` (it would pass ``cap`` chunks in all; the first item is always taken)
     or ``empty``. The counter starts again after each slice, which no window function can do; it is a fold over
-    the ordered sizes. What is folded is one number for each *changed* item of a run – thousands – never the
-    chunks; where a run plans more, it is cut into groups of ``GROUP`` items, largest first, planned each in a
-    task of its own, so that no array outgrows a row.
+    the ordered sizes. Items of one size are alike but for their order, so what is folded is a row for each
+    *distinct* size: its items take up what is left of the open slice, then as many each as a slice needs, and
+    the cap lets the first ones of them pass. The state goes on from size to size, through all items.
     """
-    state = "struct<slice:int,held:int,used:long,out:array<struct<item_key:string,n_chunks:int,slice:int,state:string>>>"
-    order = Window.orderBy(F.desc("n_chunks"), "item_key")
-    numbered = items.where("item_key is not null").select("item_key", F.coalesce("n_chunks", F.lit(0)).cast("int").alias("n_chunks")).withColumn("rank", F.row_number().over(order))
-    # With a cap what fits depends on all items before; without one each group of items plans alone.
-    group = F.lit(0) if cap else F.floor((F.col("rank") - 1) / F.lit(GROUP))
-    gathered = numbered.groupBy(group.alias("grp")).agg(F.array_sort(F.collect_list(F.struct("rank", "item_key", "n_chunks"))).alias("xs"))
+    target = max(1, target)
+    sized = items.where("item_key is not null").select("item_key", F.coalesce("n_chunks", F.lit(0)).cast("int").alias("n_chunks"))
+    numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy("n_chunks").orderBy("item_key")))
+    # Of the numbered items, so that both sides of the join read one shuffle.
+    sizes = numbered.groupBy("n_chunks").agg(F.max("nth").alias("n")).where("n_chunks > 0")
+    gathered = sizes.agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("n_chunks").cast("long").alias("c"), F.col("n").cast("long").alias("n"))))).alias("xs"))
+    # Of each size: items the cap lets pass, the slice and the chunks in it before them, items that close that slice, items of each further slice.
+    state = "struct<slice:long,held:long,used:long,out:array<struct<n_chunks:int,passed:long,slice:long,head:long,each:long>>>"
+    passed = f"CASE WHEN {cap} > 0 THEN least(x.n, greatest(if(a.used = 0, 1L, 0L), ({cap} - a.used) div x.c)) ELSE x.n END"
     fold = f"""
-      aggregate(xs, cast(named_struct('slice', 0, 'held', 0, 'used', 0L, 'out', array()) as {state}), (a, x) ->
-        CASE WHEN x.n_chunks <= 0 THEN
-               named_struct('slice', a.slice, 'held', a.held, 'used', a.used,
-                            'out', concat(a.out, array(named_struct('item_key', x.item_key, 'n_chunks', x.n_chunks, 'slice', cast(null as int), 'state', 'empty'))))
-             WHEN {cap} > 0 AND a.used > 0 AND a.used + x.n_chunks > {cap} THEN
-               named_struct('slice', a.slice, 'held', a.held, 'used', a.used,
-                            'out', concat(a.out, array(named_struct('item_key', x.item_key, 'n_chunks', x.n_chunks, 'slice', cast(null as int), 'state', 'deferred'))))
-             ELSE
-               named_struct('slice', CASE WHEN a.held + x.n_chunks >= {target} THEN a.slice + 1 ELSE a.slice END,
-                            'held', CASE WHEN a.held + x.n_chunks >= {target} THEN 0 ELSE a.held + x.n_chunks END,
-                            'used', a.used + x.n_chunks,
-                            'out', concat(a.out, array(named_struct('item_key', x.item_key, 'n_chunks', x.n_chunks, 'slice', a.slice, 'state', 'planned'))))
-        END)"""
-    planned = gathered.select("grp", F.expr(fold).alias("s"))
-    before = F.coalesce(F.sum(F.col("n_slices")).over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sized = planned.withColumn("n_slices", F.col("s.slice") + F.when(F.col("s.held") > 0, 1).otherwise(0)).withColumn("before", before)
-    return sized.select("before", F.explode("s.out").alias("o")).select("o.item_key", "o.n_chunks", (F.col("o.slice") + F.col("before")).cast("int").alias("slice"), "o.state")
-
-
-#: Items planned in one fold.
-GROUP = 5_000
+      aggregate(xs, cast(named_struct('slice', 0L, 'held', 0L, 'used', 0L, 'out', array()) as {state}), (a, x) ->
+        transform(array(named_struct('a', a, 'x', x, 'k', {passed}, 'head', ({target} - a.held + x.c - 1) div x.c, 'each', ({target} + x.c - 1) div x.c)), y ->
+          named_struct('slice', CASE WHEN y.k < y.head THEN y.a.slice ELSE y.a.slice + 1 + (y.k - y.head) div y.each END,
+                       'held', CASE WHEN y.k < y.head THEN y.a.held + y.k * y.x.c ELSE (y.k - y.head) % y.each * y.x.c END,
+                       'used', y.a.used + y.k * y.x.c,
+                       'out', concat(y.a.out, array(named_struct('n_chunks', cast(y.x.c as int), 'passed', y.k, 'slice', y.a.slice, 'head', y.head, 'each', y.each)))))[0])"""
+    starts = gathered.select(F.explode(F.expr(fold)["out"]).alias("o")).select("o.*")
+    nth = F.col("nth") - 1
+    slice_no = F.when(nth < F.col("passed"), F.col("slice") + F.when(nth < F.col("head"), 0).otherwise(1 + F.floor((nth - F.col("head")) / F.col("each"))))
+    state_of = F.when(F.col("n_chunks") <= 0, "empty").when(nth < F.col("passed"), "planned").otherwise("deferred")
+    return numbered.join(F.broadcast(starts), "n_chunks", "left").select("item_key", "n_chunks", slice_no.cast("int").alias("slice"), state_of.alias("state"))
 
 
 def request_batches(inputs: DataFrame, max_texts: int = BATCH_TEXTS, max_tokens: int = BATCH_TOKENS, max_input: int = INPUT_TOKENS, lane: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Chunking, planning, stores, retrieval filters and sessions."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -43,6 +44,22 @@ def test_slices(spark):
     assert commit_slices(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cap", [0, 1, 600, 20_000])
+def test_slices_carry_the_count_through_all_items(spark, cap):
+    g = random.Random(cap)
+    sizes = [(f"k{i:05}", max(0, g.choice([0, 1, 2, 3, 7, g.randrange(1, 400)]))) for i in range(12_000)]
+    want, at, held, used = {}, 0, 0, 0
+    for key, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        if not n or (cap and used and used + n > cap):
+            want[key] = (None, "deferred" if n else "empty")
+            continue
+        want[key], held, used = (at, "planned"), held + n, used + n
+        if held >= 150:
+            at, held = at + 1, 0
+    got = commit_slices(spark.createDataFrame(sizes, "item_key string, n_chunks int"), 150, cap)
+    assert {r["item_key"]: (r["slice"], r["state"]) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize(("n", "tokens", "sizes"), [(12, 2000, [10, 2]), (150, 10, [100, 50]), (10, 5000, [9, 1])])
 def test_batches(spark, n, tokens, sizes):
     df = spark.createDataFrame([(i, tokens) for i in range(n)], "pos int, n_tokens int")
