@@ -28,6 +28,8 @@ LIMIT, OVERLAP = 750, 110
 RANGE, HALO = 1 << 16, 8192
 #: A piece ends in its last part, from this share of the limit on, if there is a natural boundary there.
 FILL = 0.5
+#: Characters of the parts into which a long word is cut, and tokens of the overlap given up to begin at a word.
+PART, SPARE = 16, 20
 
 _PARAGRAPH, _LINE, _SENTENCE, _WORD = 4, 3, 2, 1
 _SPACES = re.compile(r"\s+")
@@ -72,14 +74,16 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(starts, np.int64), np.array(ends, np.int64), np.array(ranks, np.int8)
 
 
-def _units(text: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between two offsets; a word too long for a piece is cut into parts of 1,000 characters."""
-    starts, ends, ranks = boundaries(text[lo:hi])
-    starts, ends = starts + lo, ends + lo
-    if len(starts) and (ends - starts).max() > 1000:
+def _units(text: str, back: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between ``back`` and ``hi``; one of over four parts is cut into parts, and one around ``lo`` there. A part that begins no word has rank 0."""
+    starts, ends, ranks = boundaries(text[back:hi])
+    starts, ends = starts + back, ends + back
+    if len(starts) and ((ends - starts > 4 * PART) | ((starts < lo) & (lo < ends))).any():
         s, e, r = [], [], []
         for a, b, k in zip(starts.tolist(), ends.tolist(), ranks.tolist()):
-            cuts = [*range(a, b, 1000), b]
+            cuts = [*range(a, b, PART), b] if b - a > 4 * PART else [a, b]
+            if a < lo < b and lo not in cuts:
+                cuts = sorted([*cuts, lo])
             s += cuts[:-1]
             e += cuts[1:]
             r += [k] + [0] * (len(cuts) - 2)
@@ -92,15 +96,17 @@ def lay_out(text: str, lo: int, hi: int, back: int, limit: int, overlap: int) ->
 
     Each piece has at most ``limit`` tokens and each but the last ends at the best boundary that leaves it at
     least ``FILL`` of them; of equal ones the last. The overlap with the piece before is as near to ``overlap``
-    tokens as a word allows, from below, so that a piece never grows past the limit by it.
+    tokens as a word allows, from below, so that a piece never grows past the limit by it; where that would leave
+    out more than ``SPARE`` of them, it begins inside the word.
     """
-    starts, ends, ranks = _units(text, back, hi)
+    starts, ends, ranks = _units(text, back, lo, hi)
     n = len(starts)
     if not n:
         return []
-    # Parts of one long word count as words of their own: an upper bound, so that the limit holds.
+    word = np.cumsum(ranks > 0)
+
     def tokens(i: int, j: int) -> int:
-        return token_count(int(ends[j - 1] - starts[i]), j - i)
+        return token_count(int(ends[j - 1] - starts[i]), int(word[j - 1] - word[i]) + 1)
 
     def furthest(i: int) -> int:
         by_chars = int(np.searchsorted(ends, starts[i] + 4 * limit, side="left"))
@@ -116,7 +122,10 @@ def lay_out(text: str, lo: int, hi: int, back: int, limit: int, overlap: int) ->
         i = j
         while i - 1 >= low and tokens(i - 1, j) <= overlap:
             i -= 1
-        return i
+        whole = i
+        while whole < j and not ranks[whole]:
+            whole += 1
+        return whole if whole < j and tokens(whole, j) >= overlap - SPARE else i
 
     fresh = int(np.searchsorted(starts, lo))  # the first word that no piece holds yet
     if fresh >= n:
@@ -258,8 +267,9 @@ def split_items(rows: DataFrame, key: str = "id", text: str = "text", limit: int
     """Ordered pieces of every item of more than ``limit`` tokens: ``key, piece_no, start_at, end_at, n_tokens, piece``.
 
     Offsets count characters of the text from 0, the end exclusive; ``piece_no`` counts from 1. Every piece has
-    at most ``limit`` tokens – given that a run without white space of over 1,000 characters is cut as need
-    be – and every word lies in a piece. Null keys and texts give nothing; repeated rows give their pieces once.
+    at most ``limit`` tokens – given that a run without white space is cut where no word begins in the last part
+    of a piece – and every word lies in a piece; the next one shares about ``overlap`` tokens with it, also inside
+    such a run. Null keys and texts give nothing; repeated rows give their pieces once.
     """
     ranges = _ranges(rows, key, text, limit)
     pieces = ranges.mapInArrow(_pieces_of(limit, overlap), _PIECES_SCHEMA).dropDuplicates(["key", "digest", "range_no", "at"])

@@ -134,6 +134,25 @@ def test_pieces(spark, text):
     check_pieces(text, splitting.split_items(df).orderBy("piece_no").collect())
 
 
+@pytest.mark.parametrize("text", [
+    "x" * 9000, "".join(chr(97 + i * i % 26) for i in range(200_000)), ("y" * 5000 + " ") * 3, ("z" * 700 + " ") * 40, ("w" * 100 + " ") * 300,
+    "a b c " * 300 + "v" * 30_000 + " d e f" * 300, "u" * 65_530 + " " * 3 + "u" * 9000,
+], ids=["no space", "many ranges", "long words", "words over the overlap", "longer words", "run amid words", "run to the end of a range"])
+def test_the_overlap_goes_into_long_words(spark, text):
+    got = splitting.split_items(spark.createDataFrame([("k", text)], "id string, text string")).orderBy("piece_no").collect()
+    check_pieces(text, got)
+    shared = [splitting.tokens_of(text[b["start_at"] : a["end_at"]]) for a, b in zip(got, got[1:])]
+    assert shared and min(shared) >= 90 and max(shared) <= 110
+    if " " not in text:  # no boundary: pieces are as long as the limit allows
+        assert sorted(r["n_tokens"] for r in got)[len(got) // 2] >= 740
+
+
+def test_words_are_kept_whole_where_they_can_be(spark):
+    text = ("w" * 100 + " ") * 300 + ("z" * 990 + " ") * 30
+    got = splitting.split_items(spark.createDataFrame([("k", text)], "id string, text string")).orderBy("piece_no").collect()
+    assert all(text[r["end_at"]] == " " for r in got[:-1])
+
+
 def test_pieces_end_at_natural_boundaries(spark):
     text = long_text(5, 3000)
     got = splitting.split_items(spark.createDataFrame([("k", text)], "id string, text string")).orderBy("piece_no").collect()
