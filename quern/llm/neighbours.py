@@ -122,7 +122,7 @@ def _plant(trees: int):
 
 def _score(k: int, least: float, reach: int):
     """Scores each vector against those at most ``reach`` places away in its tree: pairs of nodes at or above
-    ``least``, for each vector the ``k`` best."""
+    ``least``, for each vector the ``k`` best and what is within ``SLACK`` of the ``k``-th, as the scores aren't exact."""
 
     def tile(group, nodes, m, lo, hi, begin, end):
         a, b = max(begin, lo - reach), min(end, hi + reach)
@@ -136,8 +136,9 @@ def _score(k: int, least: float, reach: int):
             return None
         order = np.lexsort((nodes[j], -s, i))
         i, j, s = i[order], j[order], s[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        best = rank < k
+        first = np.searchsorted(i, i)
+        last = np.searchsorted(i, i, side="right") - 1
+        best = s >= s[np.minimum(first + k - 1, last)] - SLACK
         return nodes[i[best]], nodes[j[best]], s[best].astype(np.float32)
 
     def run(batches):

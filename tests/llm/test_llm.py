@@ -265,6 +265,14 @@ def test_neighbours_recall(spark):
     assert len(narrow & want) >= 0.9 * len(want)  # windows of 97 of 2,000 strings
 
 
+def test_neighbours_in_dense_clusters(spark):
+    g = np.random.default_rng(4)
+    m = (g.standard_normal((2, 64))[np.arange(500) % 2] + 0.1 * g.standard_normal((500, 64))).astype(np.float32)
+    ids = [f"v{i:05d}" for i in range(len(m))]
+    df = spark.createDataFrame([(i, "p", v.tolist()) for i, v in zip(ids, m)], "id string, embed_provider string, embedding array<float>")
+    assert {tuple(r) for r in neighbours.neighbour_pairs(df).collect()} == brute_pairs(ids, ["p"] * len(ids), m)
+
+
 def test_neighbours_odd_rows(spark):
     v = [1.0] * 64
     w = [1.0] * 63 + [0.9]
