@@ -30,8 +30,6 @@ SAMPLE_PAGES = 4000
 SALTS = 8
 #: Unsettled lines of a page from which on it is solved by running over it.
 LARGE = 400
-#: Lines longer than this aren't counted over the collection.
-LONGEST = 240
 
 # Phrases that stand alone on a line of a page's surroundings, in the languages of the collection.
 _LABELS = {
@@ -123,7 +121,7 @@ def line_features(line: str, pages: int, title: str, after: str = "") -> dict[st
         f["link_mark"] = 1.0
     if _ITEM.match(flat):
         f["item"] = 1.0
-    if pages > 1 and chars <= LONGEST:
+    if pages > 1:
         f["repeated"] = min(5.0, math.log2(pages)) * (0.3 if (wrapped or open_phrase or flat[0].islower()) and not consent and not footer else 0.5 if ends and n <= 6 else 1.0)
     if title and low == title:
         f["title"] = 1.0
@@ -343,8 +341,7 @@ def _line_keys(batches):
         page, number, key = [], [], []
         for p, text in zip(b.column("page").to_pylist(), b.column("text").to_pylist()):
             for i, line in enumerate(text.split("\n"), 1):
-                low = normal_line(line) if len(line) <= 2 * LONGEST else ""
-                if low and len(low) <= LONGEST:
+                if low := normal_line(line):
                     page.append(p)
                     number.append(i)
                     key.append(low)

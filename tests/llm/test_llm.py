@@ -101,6 +101,15 @@ def test_page_body(spark):
     assert boilerplate.page_boilerplate(df.limit(0)).count() == 0
 
 
+def test_long_lines_are_counted_over_the_pages(spark):
+    notice = "This service of the institute is kept by its staff and " + "by the friends of the house and " * 9 + "by all who visit it on any day of the year."
+    name = lambda i: "".join(chr(97 + i // 5**k % 5) for k in range(5))
+    own = lambda i, k: f"The talk of {name(i * 2 + k)} on the history of {name(i * 7 + k)} was held in the old hall and went on until the evening."
+    df = spark.createDataFrame([(f"p{i:02}", "\n".join([own(i, 1), own(i, 2), "", notice, "Share this page", "© 2024 The Institute. All rights reserved."]), None) for i in range(60)], "id string, text string, title string")
+    assert len(notice) > 300 and all({x["line_no"]: x["n"] for x in r["held"]} == {4: 60, 5: 60, 6: 60} for r in boilerplate._pages(df).collect())
+    assert boilerplate.line_features(notice, 60, "")["repeated"] == 5.0
+
+
 # -- problem 3 ----------------------------------------------------------------------------------------------------
 
 
