@@ -34,6 +34,11 @@ def text_hashes(s, d):
     return _docs(s, d).select("doc_id", T.content_hash(c).alias("content_hash"), T.fingerprint(c).alias("fp"), T.dedupe_key(c).alias("dedupe_key"), F.md5(F.substring(T.input_cut(c, 100), 1, 400)).alias("input_md5"))
 
 
+def input_hashes(s, d):
+    """Of what an embedding request takes; ``text_hashes`` states its ``input_md5`` for a cut of 100 tokens."""
+    return _docs(s, d).select("doc_id", F.md5(T.input_cut(F.col("text"))).alias("input_md5"))
+
+
 def clean_texts(s, d):
     return _docs(s, d).select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("clean_md5"), F.md5(T.clean_lines(F.col("text"))).alias("lines_md5"))
 
@@ -204,7 +209,7 @@ m AS (SELECT session_id, turn, max(role) AS role,
 """
 
 QUERIES = {
-    "token_counts": token_counts, "text_hashes": text_hashes, "clean_texts": clean_texts, "title_stems": title_stems, "thin_pages": thin_pages,
+    "token_counts": token_counts, "text_hashes": text_hashes, "input_hashes": input_hashes, "clean_texts": clean_texts, "title_stems": title_stems, "thin_pages": thin_pages,
     "boilerplate_lines": boilerplate_lines, "boilerplate_stripped": boilerplate_stripped, "consecutive_duplicates": consecutive_duplicates,
     "sentence_atoms": sentence_atoms, "chunks_recursive": chunks_recursive, "chunks_packed": chunks_packed, "chunk_store_rows": chunk_store_rows,
     "url_checks": url_checks, "file_types": file_types, "chunk_id_parts": chunk_id_parts, "hash_embed_sparse": hash_embed_sparse, "vector_norms": vector_norms,
@@ -220,6 +225,7 @@ ORACLE = {
     "token_counts": f"SELECT doc_id, {tokens_sql('text')} AS n_tokens FROM documents",
     "text_hashes": f"""SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, sha1(text) AS fp,
         md5(lower({bare(f"regexp_replace(text, '{WS}+', ' ', 'g')")})) AS dedupe_key, md5(left(text, 400)) AS input_md5 FROM documents""",
+    "input_hashes": "SELECT doc_id, md5(left(text, 8192)) AS input_md5 FROM documents",
     "clean_texts": f"""SELECT doc_id, md5({_CLEAN}) AS clean_md5,
         md5(array_to_string(list_filter(list_transform({_LINES}, lambda x: {bare('x')}), lambda x: length(x) > 1), chr(10))) AS lines_md5 FROM documents""",
     "title_stems": f"""SELECT doc_id, array_to_string({stems_sql('title')}, ' ') AS stems, array_to_string({terms_sql('title')}, ' ') AS terms,

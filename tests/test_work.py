@@ -1,11 +1,13 @@
 """Chunking, planning, stores, retrieval filters and sessions."""
 
+import hashlib
 import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quern.operators import chunking, cleaning, embedding, retrieval, sessions, store
 from quern.operators.answers import emphasised, intent, sentences, synthesis, title_matches, without_greeting
 from quern.operators.delta import crawl_diff, decide
@@ -66,6 +68,13 @@ def test_batches(spark, n, tokens, sizes):
     assert [r["count"] for r in request_batches(df).groupBy("batch").count().orderBy("batch").collect()] == sizes
 
 
+def test_input_hashes_see_all_that_is_embedded(spark, tmp_path):
+    texts = ["é" * 400, "é" * 400 + "a", "é" * 8191 + "a", "é" * 8191 + "ab", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, x and hashlib.md5(x[:8192].encode()).hexdigest()) for i, x in enumerate(texts)]
+    assert rows(entry.queries()["input_hashes"](spark, str(tmp_path))) == want
+
+
 def test_misses(spark):
     texts = spark.createDataFrame([(0, "x", 5), (0, "x", 5), (1, "x", 5), (1, "y", 7), (1, "z", 9)], "slice int, fp string, n_tokens int")
     assert rows(first_misses(texts, spark.createDataFrame([("z",)], "fp string"))) == [(0, 10), (1, 7)]
