@@ -1,6 +1,6 @@
 """Text that was decoded with the wrong character encoding.
 
-For all pairs (true encoding, wrong encoding) the garbled form of every character of a repertoire is computed
+For the pairs (true encoding, wrong encoding) of ``WRONG`` and ``SINGLE`` the garbled form of every character of a repertoire is computed
 from the codecs themselves, and put into one multi-pattern automaton. A text is scanned once; where a pattern
 stands in the right surroundings the span is replaced by what it was, and nothing else is touched, so correct
 text beside it stays. Spans that were garbled several times come out by scanning again.
