@@ -3,8 +3,9 @@
 Parent keys are read as integers within a group: an id ``group::ordinal::digest`` has the ordinal as its
 integer, and any other id is a group of its own with the integer 0. The sorted integers of a group are
 compressed into *contiguous runs* ``[start, end]``. A reference is as-of matched to the run that starts at or
-before its integer: beyond the run's end there is no parent, whatever the digest. What falls inside a run is
-checked exactly, by 128 bits of hash of the whole id, for the digest and for the time at which the parent came.
+before its integer: what lies beyond the run's end is an orphan, whatever its digest, and is reported there and
+then. Only what falls inside a run goes on to the exact check, by 128 bits of hash of the whole id, for the digest
+and for the time at which the parent came.
 
 Runs are far fewer than parents (one for each page or section), so the as-of match ships them to ``SALTS``
 partitions each; references are spread over these, and a group that holds a third of all references is split.
@@ -84,11 +85,12 @@ def orphan_references(rows: DataFrame, parents: DataFrame) -> DataFrame:
         .where("is_ref = 1")
         .withColumn("beyond", F.col("run_end").isNull() | (F.col("ord") > F.col("run_end")))
     )
+    out = ["snapshot_no", "chunk_id", "n_rows"]
+    beyond = matched.where("beyond").select(*out, F.lit("missing").alias("reason"))
     there = held.select("h1", "h2", F.lit(True).alias("found"), F.col("created_at").alias("parent_created_at"))
-    # A reference beyond its run is settled: it meets no parent in the exact check and goes past it.
-    checked = matched.join(there, ["h1", "h2"], "left")
-    reason = F.when(F.col("beyond") | F.col("found").isNull(), "missing").when(F.col("parent_created_at") > F.col("snapshot_at"), "later")
-    return checked.withColumn("reason", reason).where("reason is not null").select("snapshot_no", "chunk_id", "n_rows", "reason")
+    inside = matched.where("not beyond").select(*out, "snapshot_at", "h1", "h2").join(there, ["h1", "h2"], "left")
+    reason = F.when(F.col("found").isNull(), "missing").when(F.col("parent_created_at") > F.col("snapshot_at"), "later")
+    return beyond.unionByName(inside.select(*out, reason.alias("reason")).where("reason is not null"))
 
 
 def orphan_report(rows: DataFrame, parents: DataFrame, table: str) -> DataFrame:

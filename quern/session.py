@@ -1,8 +1,8 @@
 """Session settings and shared scratch space.
 
 Intermediate results that must outlive the loss of an executor are written as Parquet tables under the folder
-named by ``spark.checkpoint.dir``, which a cluster points at shared storage. Only where that setting is absent
-(tests, a laptop) a folder of this machine is used.
+named by ``spark.checkpoint.dir``, which a cluster points at shared storage. Only where that setting is absent and the
+master is local (tests, a laptop) a folder of this machine is used; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quern-{spark.sparkContext.applicationId}"

@@ -99,3 +99,15 @@ def test_orphans(spark):
 def test_runs_are_contiguous(spark):
     df = spark.createDataFrame([(1, x) for x in (1, 2, 2, 3, 5, 6, 9)] + [(2, 1)], "grp long, ord int")
     assert rows(key_runs(df)) == [(1, 1, 3), (1, 5, 6), (1, 9, 9), (2, 1, 1)]
+
+
+def test_runs_settle_what_lies_beyond_them(spark, monkeypatch):
+    """The as-of match decides: with every run cut down to its start, parents inside runs count as missing."""
+    from quern.operators import references
+
+    parents = spark.createDataFrame([(f"s::p::{i}::a", T0) for i in range(1, 6)], "id string, created_at timestamp")
+    refs = spark.createDataFrame([(1, T0, [f"s::p::{i}::a" for i in (1, 3, 5, 6)], "x", 1)], REFS)
+    assert rows(orphan_references(refs, parents), "chunk_id") == [("s::p::6::a",)]
+    whole = references.key_runs
+    monkeypatch.setattr(references, "key_runs", lambda held: whole(held).withColumn("end", references.F.col("start")))
+    assert len(rows(orphan_references(refs, parents), "chunk_id")) == 3
