@@ -6,13 +6,15 @@ are so cut alike wherever they stand, with no regard to how the text was wrapped
 chunk too, so that a line is a whole number of chunks and short lines – menus, bylines – are one.
 
 1. one pass over the texts writes the table of lines: source, document, line number, key of the whole line, and
-   the keys of its chunks if there is more than one;
-2. distinct documents are counted for each (source, chunk); a line that is repeated in *t* documents has only
-   chunks that occur in *t* documents, so no line is lost by dropping those that hold a rarer chunk;
-3. whole lines are counted among what is left, which is exact, and the repeated ones are cut.
-
-Keys are fixed-width hashes and documents are counted after a distinct over (chunk, document), so neither a hot
-line nor a hot source meets in one task.
+   the keys of its chunks;
+2. distinct documents are counted for each (source, chunk), and with them the least and greatest key of the lines
+   that hold the chunk. A chunk that stands in one line only counts for that line: its documents are the line's;
+3. a line that has no chunk of its own is repeated only if all its chunks are; such lines, and no others, are then
+   counted whole, which is exact.
+
+Keys are fixed-width hashes and documents are counted after partial sums for each (chunk, document), so neither a
+hot line nor a hot source meets in one task. Lines that hold a large share of all occurrences – there can't be more
+than ``HOT_PARTS`` of them – are looked up by broadcast, the rest by a join.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from quern.session import materialise
 MIN_DOCUMENTS, MIN_SHARE = 5, 0.02
 #: Bytes of normalised text that the rolling hash sees, and the average and least length of a chunk.
 WINDOW, AVERAGE, LEAST = 16, 64, 16
+#: A line is hot from this part of all line occurrences on; so there are at most so many hot lines.
+HOT_PARTS = 10_000
 
 #: What normalisation drops: white space, ASCII digits, ASCII punctuation. (Arrow's RE2 syntax.)
 _DROPPED = r"[\s\x0b\x1c-\x1f\x{85}\pZ0-9!-/:-@\[-`{-~]+"
@@ -134,9 +138,8 @@ def _line_rows(batches):
         spans, begins, chunk_ends = cut_points(data, starts, ends)
         chunk = hashes(begins, chunk_ends).view(np.int64)
         counts = np.bincount(spans, minlength=len(keep))
-        single = counts == 1
-        list_offsets = np.concatenate([[0], np.cumsum(np.where(single, 0, counts))]).astype(np.int32)
-        chunks = pa.ListArray.from_arrays(pa.array(list_offsets), pa.array(chunk[~single[spans]], pa.int64()))
+        list_offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        chunks = pa.ListArray.from_arrays(pa.array(list_offsets), pa.array(chunk, pa.int64()))
         rows = pa.array(parents[keep])
         yield pa.RecordBatch.from_arrays(
             [
@@ -157,15 +160,22 @@ def line_table(rows: DataFrame) -> DataFrame:
     return texts.mapInArrow(_line_rows, _LINES_SCHEMA)
 
 
-def _documents_of(keys: DataFrame, sizes: DataFrame, min_documents: int, min_share: float) -> DataFrame:
-    """The (source, key) pairs in enough distinct documents of their source, with the number of these."""
-    counted = (
-        keys.distinct()
-        .groupBy("source", "key")
-        .agg(F.count("*").alias("n_documents"))
-        .where(F.col("n_documents") >= min_documents)
-    )
-    return counted.join(sizes, "source").where(F.col("n_documents") >= F.col("n_ids") * min_share)
+def _excessive(counted: DataFrame, sizes: DataFrame, min_documents: int, min_share: float) -> DataFrame:
+    """Of rows ``source, n_documents, ...`` those that reach both bounds. Sizes are spread by salt, as one source may
+    hold most of the rows."""
+    n = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = sizes.select("source", "n_ids", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt"))
+    enough = counted.where(F.col("n_documents") >= min_documents).withColumn("salt", F.pmod("key", F.lit(n)).cast("int"))
+    return enough.join(copies, ["source", "salt"]).where(F.col("n_documents") >= F.col("n_ids") * min_share).drop("salt", "n_ids")
+
+
+def frequent_chunks(lines: DataFrame, sizes: DataFrame, min_documents: int, min_share: float) -> DataFrame:
+    """``source, key, n_documents, least, greatest``: the chunks in enough distinct documents of their source, and the
+    least and greatest key of the lines in which they stand."""
+    each = lines.select("source", F.explode("chunks").alias("key"), "document", "line")
+    held = each.groupBy("source", "key", "document").agg(F.min("line").alias("least"), F.max("line").alias("greatest"))
+    counted = held.groupBy("source", "key").agg(F.count("*").alias("n_documents"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    return _excessive(counted, sizes, min_documents, min_share)
 
 
 def repeated_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -185,17 +195,24 @@ def repeated_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, min_shar
         .agg(F.count("*").alias("n_ids"))
     )
     lines = materialise(line_table(rows), "lines").withColumn("source", F.xxhash64("source_id"))
-    whole = F.size("chunks") == 0  # the line is a single chunk
-
-    keys = lines.where(~whole).select("source", F.explode("chunks").alias("key"), "document")
-    frequent = _documents_of(keys, sizes, min_documents, min_share).select("source", F.col("key").alias("chunk"))
-    pieces = lines.where(~whole).select("source", "line", F.explode(F.array_distinct("chunks")).alias("chunk"), F.size(F.array_distinct("chunks")).alias("n")).distinct()
-    # Lines of several chunks, all of them frequent: at most as many as there are distinct lines.
-    candidates = pieces.join(frequent, ["source", "chunk"], "left_semi").groupBy("source", "line", "n").agg(F.count("*").alias("m")).where("m = n").select("source", "line")
-    several = lines.where(~whole).join(candidates, ["source", "line"], "left_semi")
-    to_count = lines.where(whole).select("source", F.col("line").alias("key"), "document").unionByName(several.select("source", F.col("line").alias("key"), "document"))
-    repeated = _documents_of(to_count, sizes, min_documents, min_share).select("source", F.col("key").alias("line"), "n_documents")
-    return lines.join(repeated, ["source", "line"]).select("source_id", "id", "line_no", "n_documents").distinct()
+    chunks = materialise(frequent_chunks(lines, sizes, min_documents, min_share), "chunks")
+    # A chunk of one line alone settles it.
+    settled = chunks.where("least = greatest").groupBy("source", F.col("least").alias("line")).agg(F.max("n_documents").alias("n_documents"))
+    # The others: lines all of whose chunks are frequent and shared with other lines.
+    shared = chunks.where("least <> greatest").select("source", F.col("key").alias("chunk"))
+    own = F.array_distinct("chunks")
+    pieces = lines.select("source", "line", F.explode(own).alias("chunk"), F.size(own).alias("n")).join(shared, ["source", "chunk"], "left_semi").distinct()
+    candidates = pieces.groupBy("source", "line", "n").agg(F.count("*").alias("m")).where("m = n").select("source", "line")
+    documents = lines.join(candidates, ["source", "line"], "left_semi").select("source", F.col("line").alias("key"), "document").distinct()
+    counted = _excessive(documents.groupBy("source", "key").agg(F.count("*").alias("n_documents")), sizes, min_documents, min_share)
+    repeated = materialise(settled.unionByName(counted.select("source", F.col("key").alias("line"), "n_documents")), "repeated")
+
+    least_hot = max(1, lines.count() // HOT_PARTS)
+    hot = F.broadcast(repeated.where(F.col("n_documents") > least_hot))
+    out = ["source_id", "id", "line_no", "n_documents"]
+    often = lines.join(hot, ["source", "line"]).select(*out)
+    seldom = lines.join(hot, ["source", "line"], "left_anti").join(repeated.where(F.col("n_documents") <= least_hot), ["source", "line"]).select(*out)
+    return often.unionByName(seldom).distinct()
 
 
 def without_repeated_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:

@@ -424,3 +424,16 @@ def test_garbled(spark):
     got = {r["doc_id"]: (r["restored"], r["text"][-12:]) for r in encoding.garbled(df).collect()}
     assert got == {2: (False, "f� and Ob�ez"), 3: (True, "Kelsté came"), 6: (True, " Kelsté came")}
     assert encoding.garbled(df.limit(0)).count() == 0
+
+
+def test_chunk_counts_settle_lines(spark, monkeypatch):
+    """The documents counted by chunk decide: with one document less for each chunk, lines at the bound are lost."""
+    notice = "all material on this site is protected and may not be reproduced without the written permission of the institute and its members"
+    data = [(f"d{i}", "s", f"{notice}\nown line number {chr(97 + i) * 9} of this page\nshort") for i in range(5)]
+    data += [(f"e{i}", "s", f"{chr(97 + i) * 9} begins a line whose end is not its own\n{chr(97 + i) * 7}\nshort {notice}") for i in range(5)]
+    df = spark.createDataFrame(data, "id string, source_id string, text string")
+    want = {(f"d{i}", n) for i in range(5) for n in (1, 3)} | {(f"e{i}", 3) for i in range(5)}
+    assert {(r["id"], r["line_no"]) for r in repeated_lines.repeated_lines(df).collect()} == want
+    whole = repeated_lines.frequent_chunks
+    monkeypatch.setattr(repeated_lines, "frequent_chunks", lambda lines, sizes, least, share: whole(lines, sizes, least + 1, share))
+    assert {(r["id"], r["line_no"]) for r in repeated_lines.repeated_lines(df).collect()} < want
