@@ -1,16 +1,22 @@
 """The most similar vectors of every vector, by a hash-prefix forest.
 
-Each tree gives every vector a long hash string: a cross-polytope symbol (the signed axis nearest to the
+Each tree gives every vector a long hash string of 63 bits: a cross-polytope symbol (the signed axis nearest to the
 randomly rotated vector – 7 bits in 64 dimensions) followed by the signs of further random projections. A tree is
-the *sorted array* of these strings. In a sorted array the strings with the longest common prefix with a given
-one stand next to it, and the common prefix only gets shorter on the way out; so a window round a vector is
-what one gets by descending to its longest-prefix match and ascending, on both sides at once, until enough
-candidates are met – the prefix length adapts to how crowded the place is. Windows are scored in tiles by matrix
-products, and pairs above the least cosine go on. At last the trees' candidates are merged and their cosines
-computed exactly from the vectors as stored.
-
-The trees are one table, range-partitioned and sorted by (tree, provider, string): tasks are even however the
-vectors cluster, and stream their range in bounded memory. Exact copies are searched once, as one class.
+the *sorted array* of these strings. The vectors that share the first ``x`` bits with a given one, its cell at
+depth ``x``, are a run of that array.
+
+*Descent.* In each tree the cells of every vector are measured from the deepest depth on, by comparing the strings
+that stand next to each other: the longest prefix it shares with any other, and how many share each shorter one.
+
+*Ascent.* All trees ascend in step. From the deepest depth on, the candidates that the cells of all trees hold
+are added up, and the first depth at which they are ``CANDIDATES`` is the vector's own: deep where vectors are crowded,
+shallow where they are sparse. In every tree it meets its cell at that depth, and is scored against it by matrix
+products; pairs above the least cosine go on. At last the trees' candidates are merged and their cosines computed
+exactly from the vectors as stored.
+
+A tree is cut into blocks of even size at the quantiles of a bounded sample, by provider, string and class, so that
+blocks are even however the vectors cluster. A cell that reaches over the end of its block is looked up in the
+next one too, so what is found doesn't depend on the blocks. Exact copies are searched once, as one class.
 """
 
 from __future__ import annotations
@@ -27,8 +33,14 @@ from quern.session import materialise
 
 #: Length of the vectors: longer ones are cut, shorter ones filled with zeros (fixed by the data's description).
 DIMENSIONS = 64
-#: Trees of the forest, strings seen on either side of a vector in each, and strings scored at once.
-TREES, REACH, TILE = 16, 640, 256
+#: Trees of the forest, candidates at which the ascent ends, and strings scored at once.
+TREES, CANDIDATES, TILE = 12, 1024, 256
+#: Strings on either side that a vector meets at most in one tree, where a cell is larger even at the greatest depth.
+REACH = 640
+#: Depths at which cells are measured, in bits.
+DEPTHS = (*range(7, 27), 30, 36, 44, 63)
+#: Rows of a block, blocks of a tree at most, and vectors sampled for their ends at most.
+BLOCK_ROWS, MOST_BLOCKS, SAMPLE_ROWS = 100_000, 2_000, 100_000
 #: Providers whose vectors aren't compared.
 EXCLUDED = ("legacy:unknown",)
 #: Tasks over which a class of exact copies is spread.
@@ -36,7 +48,10 @@ SALTS = 32
 #: Tolerance of the scores of 8-bit vectors against the least cosine; what it lets through is scored again exactly.
 SLACK = 0.015
 
-_TREE_SCHEMA = "tree int, provider string, code long, node long, vector binary"
+_CODE_SCHEMA = "block int, space long, code long, node long"
+_TREE_SCHEMA = "block int, space long, code long, node long, depth int, own boolean, vector binary"
+#: Counts of four depths are packed into a long, each up to this, so that sums over 16 trees keep apart.
+_PACK, _MOST = 4, 4095
 
 
 def usable_vectors(rows: DataFrame, key: str = "id", vector: str = "embedding", provider: str = "embed_provider") -> DataFrame:
@@ -96,92 +111,187 @@ def _bytes(unit: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(DIMENSIONS), len(unit), [None, pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    m = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIMENSIONS).astype(np.float32)
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    m = _matrix(column)
+    m = m / np.abs(m).max(axis=1, keepdims=True)  # keeps the squares of very long or short vectors finite
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _plant(trees: int):
+def _keys(space: np.ndarray, code: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Byte strings whose order is that of (space, code, node)."""
+    wide = np.stack([space, code, node], axis=1).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(wide.astype(">u8")).view("S24").reshape(-1)
+
+
+def block_ends(sample: pa.Table, trees: int, blocks: int) -> list[np.ndarray]:
+    """For each tree the keys at which its blocks end, from the quantiles of a sample of vectors."""
+    forest, ends = Forest(trees), []
+    column = sample.column("vector").combine_chunks() if sample.num_rows else None
+    unit = _unit_rows(column) if sample.num_rows else np.empty((0, DIMENSIONS), np.float32)
+    space, node = (sample.column(c).to_numpy().astype(np.int64) for c in ("space", "node"))
+    for t in range(trees):
+        keys = np.sort(_keys(space, forest.codes(unit, t), node))
+        ends.append(keys[[len(keys) * i // blocks for i in range(1, blocks)]] if len(keys) else np.empty(0, "S24"))
+    return ends
+
+
+def _strings(ends: list[np.ndarray]):
+    """The hash strings of all trees, each with the block it belongs to."""
+
     def run(batches):
-        forest = Forest(trees)
+        forest, blocks = Forest(len(ends)), len(ends[0]) + 1
         for b in batches:
             if not b.num_rows:
                 continue
-            m = _matrix(b.column("vector"))
-            m = m / np.abs(m).max(axis=1, keepdims=True)  # keeps the squares of very long or short vectors finite
-            unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+            unit = _unit_rows(b.column("vector"))
+            space, node = b.column("space").to_numpy(), b.column("node").to_numpy()
+            for t, cut in enumerate(ends):
+                code = forest.codes(unit, t)
+                block = t * blocks + np.searchsorted(cut, _keys(space, code, node), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), b.column("space"), pa.array(code), b.column("node")], names=["block", "space", "code", "node"])
+
+    return run
+
+
+def cell_sizes(space: np.ndarray, code: np.ndarray, depth: int) -> np.ndarray:
+    """For each string of a sorted array, how many others share its first ``depth`` bits."""
+    same = (space[1:] == space[:-1]) & ((code[1:] ^ code[:-1]) >> np.int64(63 - depth) == 0)
+    starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    sizes = np.diff(np.append(starts, len(code)))
+    return np.repeat(sizes - 1, sizes)
+
+
+def _read_all(batches, names: list[str]) -> list:
+    held = [b for b in batches if b.num_rows]
+    table = pa.Table.from_batches(held) if held else None
+    return [table.column(n).combine_chunks() for n in names] if table is not None else []
+
+
+_COUNT_COLUMNS = [f"c{i}" for i in range(len(DEPTHS) // _PACK)]
+
+
+def _descend(batches):
+    """The cell sizes of a block's strings at all depths, packed."""
+    columns = _read_all(batches, ["space", "code", "node"])
+    if not columns:
+        return
+    space, code, node = (c.to_numpy() for c in columns)
+    packed = [np.zeros(len(code), np.int64) for _ in _COUNT_COLUMNS]
+    for i, depth in enumerate(DEPTHS):
+        packed[i // _PACK] += np.minimum(cell_sizes(space, code, depth), _MOST) << (16 * (i % _PACK))
+    yield pa.RecordBatch.from_arrays([pa.array(node), *map(pa.array, packed)], names=["node", *_COUNT_COLUMNS])
+
+
+def depths(strings: DataFrame, blocks: int, candidates: int) -> DataFrame:
+    """``node, depth``: the depth at which the cells of all trees together first hold ``candidates`` others."""
+    ordered = strings.repartitionById(blocks, "block").sortWithinPartitions("space", "code", "node")
+    counts = ordered.mapInArrow(_descend, "node long, " + ", ".join(f"{c} long" for c in _COUNT_COLUMNS))
+    sums = counts.groupBy("node").agg(*(F.sum(c).alias(c) for c in _COUNT_COLUMNS))
+    at = lambda i: F.shiftright(F.col(_COUNT_COLUMNS[i // _PACK]), 16 * (i % _PACK)).bitwiseAND(F.lit(0xFFFF))
+    steps = [F.when(at(i) >= candidates, F.lit(DEPTHS[i])) for i in reversed(range(len(DEPTHS)))]
+    return sums.select("node", F.coalesce(*steps, F.lit(DEPTHS[0])).alias("depth"))
+
+
+def _cells(space: np.ndarray, code: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest code of each string's cell."""
+    rest = (np.int64(1) << (63 - depth).astype(np.int64)) - np.int64(1)
+    return code & ~rest, code | rest
+
+
+def _plant(ends: list[np.ndarray]):
+    """The rows of all trees, each in its block, and once more in a neighbouring block into which its cell reaches."""
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+    def run(batches):
+        forest, blocks = Forest(len(ends)), len(ends[0]) + 1
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            unit = _unit_rows(b.column("vector"))
             small = _bytes(unit)
-            for t in range(trees):
+            space, node, depth = (b.column(c).to_numpy() for c in ("space", "node", "depth"))
+            for t, cut in enumerate(ends):
+                code = forest.codes(unit, t)
+                own = np.searchsorted(cut, _keys(space, code, node), side="right")
+                low, high = _cells(space, code, depth)
+                before = np.flatnonzero(np.searchsorted(cut, _keys(space, low, np.full(n, least)), side="right") < own)
+                after = np.flatnonzero(np.searchsorted(cut, _keys(space, high, np.full(n, most)), side="right") > own)
+                at = np.concatenate([np.arange(n), before, after])
+                block = t * blocks + np.concatenate([own, own[before] - 1, own[after] + 1])
+                take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b.num_rows, t, np.int32)), b.column("provider"), pa.array(forest.codes(unit, t)), b.column("node"), small],
-                    names=["tree", "provider", "code", "node", "vector"],
-                )
+                    [pa.array(block.astype(np.int32)), b.column("space").take(take), pa.array(code[at]), b.column("node").take(take),
+                     b.column("depth").take(take), pa.array(np.arange(len(at)) < n), small.take(take)],
+                    names=["block", "space", "code", "node", "depth", "own", "vector"],
+                )
 
     return run
 
 
 def _score(k: int, least: float, reach: int):
-    """Scores each vector against those at most ``reach`` places away in its tree: pairs of nodes at or above
-    ``least``, for each vector the ``k`` best and what is within ``SLACK`` of the ``k``-th, as the scores aren't exact."""
-
-    def tile(group, nodes, m, lo, hi, begin, end):
-        a, b = max(begin, lo - reach), min(end, hi + reach)
-        g = m[lo:hi] @ m[a:b].T
-        i, j = np.nonzero(g >= least)
-        s = g[i, j]
-        i, j = i + lo, j + a
-        fit = (i != j) & (np.abs(i - j) <= reach) & (group[i] == group[j]) & (nodes[i] != nodes[j])
-        i, j, s = i[fit], j[fit], s[fit]
-        if not len(i):
-            return None
-        order = np.lexsort((nodes[j], -s, i))
-        i, j, s = i[order], j[order], s[order]
-        first = np.searchsorted(i, i)
-        last = np.searchsorted(i, i, side="right") - 1
-        best = s >= s[np.minimum(first + k - 1, last)] - SLACK
-        return nodes[i[best]], nodes[j[best]], s[best].astype(np.float32)
+    """Scores each string of a block against the block's part of its cell: pairs of nodes at or above ``least``, for
+    each the ``k`` best and what is within ``SLACK`` of the ``k``-th, as the scores aren't exact."""
 
     def run(batches):
-        group, nodes, m = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.float32)
-        names: dict[tuple, int] = {}
-        done = 0  # rows of the buffer that have been scored
-
-        def emit(stop):
-            nonlocal done
-            found = []
-            while done < stop:
-                hi = min(done + TILE, stop)
-                if (out := tile(group, nodes, m, done, hi, 0, len(nodes))) is not None:
-                    found.append(out)
-                done = hi
-            if found:
-                a, b, s = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "score"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        columns = _read_all(batches, ["space", "code", "node", "depth", "own", "vector"])
+        if not columns:
+            return
+        space, code, node, depth = (c.to_numpy() for c in columns[:4])
+        own = columns[4].to_numpy(zero_copy_only=False)
+        m = np.frombuffer(b"".join(columns[5].to_pylist()), np.int8).reshape(-1, DIMENSIONS)
+        scale = 1 / np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.int32).astype(np.float32))
+        here = np.flatnonzero(own)  # what the block holds; the other rows only ask
+        place = np.cumsum(own) - own
+        low, high = _cells(space, code, depth)
+        first, last = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
+        held_space, held_code = space[here], code[here]
+        for s in np.unique(space):  # sorted, so each space is a run
+            a, b = np.searchsorted(held_space, [s, s + 1] if s < np.iinfo(np.int64).max else [s, s], side="left")
+            b = len(held_space) if s == np.iinfo(np.int64).max else b
+            mine = np.flatnonzero(space == s)
+            first[mine] = a + np.searchsorted(held_code[a:b], low[mine], side="left")
+            last[mine] = a + np.searchsorted(held_code[a:b], high[mine], side="right")
+        first, last = np.maximum(first, place - reach), np.minimum(last, place + reach + 1)
+        held, nodes, weight = m[here], node[here], scale[here]
+        for lo in range(0, len(code), TILE):
+            hi = min(lo + TILE, len(code))
+            a, b = int(first[lo:hi].min()), int(last[lo:hi].max())
+            if a >= b:
                 continue
-            pairs = zip(batch.column("tree").to_pylist(), batch.column("provider").to_pylist())
-            group = np.append(group, np.fromiter((names.setdefault(p, len(names)) for p in pairs), np.int64, batch.num_rows))
-            nodes = np.append(nodes, batch.column("node").to_numpy())
-            m = np.concatenate([m, _units(batch.column("vector"))])
-            yield from emit(max(done, len(nodes) - reach))  # what has its whole window
-            drop = max(0, done - reach)
-            group, nodes, m, done = group[drop:], nodes[drop:], m[drop:], done - drop
-        yield from emit(len(nodes))
+            g = (m[lo:hi].astype(np.float32) * scale[lo:hi, None]) @ (held[a:b].astype(np.float32) * weight[a:b, None]).T
+            i, j = np.nonzero(g >= least)
+            score = g[i, j]
+            i, j = i + lo, j + a
+            fit = (j >= first[i]) & (j < last[i]) & (nodes[j] != node[i])
+            i, j, score = i[fit], j[fit], score[fit]
+            if not len(i):
+                continue
+            order = np.lexsort((nodes[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            head = np.searchsorted(i, i)
+            tail = np.searchsorted(i, i, side="right") - 1
+            best = score >= score[np.minimum(head + k - 1, tail)] - SLACK
+            yield pa.RecordBatch.from_arrays([pa.array(node[i[best]]), pa.array(nodes[j[best]]), pa.array(score[best].astype(np.float32))], names=["a", "b", "score"])
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, k: int, min_cosine: float, trees: int = TREES, reach: int = REACH) -> DataFrame:
-    """Candidate pairs of nodes ``a, b`` (``b`` for ``a``) from the whole forest, with the best rough score."""
-    planted = vectors.mapInArrow(_plant(trees), _TREE_SCHEMA)
-    ordered = planted.repartitionByRange("tree", "provider", "code", "node").sortWithinPartitions("tree", "provider", "code", "node")
-    scored = ordered.mapInArrow(_score(k, min_cosine - SLACK, reach), "a long, b long, score float")
-    return scored.groupBy("a", "b").agg(F.max("score").alias("score"))
+def similar_pairs(vectors: DataFrame, n: int, k: int, min_cosine: float, trees: int = TREES, candidates: int = CANDIDATES, reach: int = REACH) -> DataFrame:
+    """Candidate pairs of nodes ``a, b`` (``b`` for ``a``) from the whole forest.
+
+    ``vectors``: ``node, space, vector``, ``n`` rows, one for each node.
+    """
+    blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)))
+    some = vectors if n <= SAMPLE_ROWS else vectors.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(int((1 << 20) * 0.9 * SAMPLE_ROWS / n)))
+    ends = block_ends(some.select("space", "node", "vector").toArrow() if blocks > 1 else some.limit(0).select("space", "node", "vector").toArrow(), trees, blocks)
+    asked = depths(vectors.select("space", "node", "vector").mapInArrow(_strings(ends), _CODE_SCHEMA), trees * blocks, candidates)
+    planted = vectors.join(asked, "node").select("space", "node", "vector", "depth").mapInArrow(_plant(ends), _TREE_SCHEMA)
+    ordered = planted.repartitionById(trees * blocks, "block").sortWithinPartitions("space", "code", "node")
+    return ordered.mapInArrow(_score(k, min_cosine - SLACK, reach), "a long, b long, score float").select("a", "b").distinct()
 
 
-def nearest(rows: DataFrame, k: int = 10, min_cosine: float = 0.85, trees: int = TREES, reach: int = REACH, key: str = "id", vector: str = "embedding", provider: str = "embed_provider") -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, trees: int = TREES, candidates: int = CANDIDATES, reach: int = REACH, key: str = "id", vector: str = "embedding", provider: str = "embed_provider") -> DataFrame:
     """For every key its ``k`` most similar keys of the same provider with a cosine of at least ``min_cosine``.
 
     Returns ``key_a, key_b, cosine, rank``: ``key_b`` is the ``rank``-th most similar of ``key_a``. Repeated keys
@@ -193,8 +303,11 @@ def nearest(rows: DataFrame, k: int = 10, min_cosine: float = 0.85, trees: int =
     """
     members = materialise(classes(usable_vectors(rows, key, vector, provider)).select("key", "provider", "node", "vector"), "members")
     keys = members.select("key", "node").distinct()
-    distinct = members.dropDuplicates(["node"]).select("node", "provider", "vector")
-    pairs = similar_pairs(distinct, k, min_cosine, trees, reach).select("a", "b")
+    # Bucketed by node, so that what joins to it shuffles no vectors.
+    one = members.dropDuplicates(["node"]).select("node", F.xxhash64("provider").alias("space"), "vector")
+    distinct = materialise(one, "distinct_vectors", bucket_by=(max(12, members.count() // 500_000), ["node"]))
+    n = distinct.count()
+    pairs = similar_pairs(distinct, n, k, min_cosine, trees, candidates, reach)
 
     # Exact cosines of the candidate pairs, from the vectors as stored.
     side = lambda n: distinct.select(F.col("node").alias(n), F.col("vector").alias(f"v_{n}"))
@@ -224,7 +337,7 @@ def nearest(rows: DataFrame, k: int = 10, min_cosine: float = 0.85, trees: int =
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def neighbour_pairs(rows: DataFrame, k: int = 10, min_cosine: float = 0.85, **options) -> DataFrame:
+def neighbour_pairs(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, **options) -> DataFrame:
     """Distinct unordered pairs ``id_a < id_b`` of which one at least is among the ``k`` nearest of the other."""
     found = nearest(rows, k, min_cosine, **options)
     return found.select(F.least("key_a", "key_b").alias("id_a"), F.greatest("key_a", "key_b").alias("id_b")).distinct()

@@ -45,7 +45,7 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbour_pairs(read_table(spark, d, "vectors"))
+    return neighbour_pairs(read_table(spark, d, "vectors"), min_cosine=0.85)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -268,10 +268,10 @@ def test_neighbours_recall(spark):
     ids, providers = [f"v{i:05d}" for i in range(len(m))], ["P" if i % 3 else "q" for i in range(len(m))]
     df = spark.createDataFrame([(i, p if n % 2 else f" {p.upper()} ", v.tolist(), n) for n, (i, p, v) in enumerate(zip(ids, providers, m))], "id string, embed_provider string, embedding array<float>, node int")
     want = brute_pairs(ids, [p.lower() for p in providers], m)
-    got = {tuple(r) for r in neighbours.neighbour_pairs(df).collect()}
+    got = {tuple(r) for r in neighbours.neighbour_pairs(df, min_cosine=0.85).collect()}
     assert len(want) > 1000 and len(got & want) >= 0.97 * len(want)
-    narrow = {tuple(r) for r in neighbours.neighbour_pairs(df, reach=48).collect()}
-    assert len(narrow & want) >= 0.9 * len(want)  # windows of 97 of 2,000 strings
+    narrow = {tuple(r) for r in neighbours.neighbour_pairs(df, min_cosine=0.85, candidates=512).collect()}
+    assert len(narrow & want) >= 0.9 * len(want)  
 
 
 def test_neighbours_in_dense_clusters(spark):
@@ -279,7 +279,7 @@ def test_neighbours_in_dense_clusters(spark):
     m = (g.standard_normal((2, 64))[np.arange(500) % 2] + 0.1 * g.standard_normal((500, 64))).astype(np.float32)
     ids = [f"v{i:05d}" for i in range(len(m))]
     df = spark.createDataFrame([(i, "p", v.tolist()) for i, v in zip(ids, m)], "id string, embed_provider string, embedding array<float>")
-    assert {tuple(r) for r in neighbours.neighbour_pairs(df).collect()} == brute_pairs(ids, ["p"] * len(ids), m)
+    assert {tuple(r) for r in neighbours.neighbour_pairs(df, min_cosine=0.85).collect()} == brute_pairs(ids, ["p"] * len(ids), m)
 
 
 def test_neighbours_odd_rows(spark):
@@ -288,14 +288,14 @@ def test_neighbours_odd_rows(spark):
     data = [("a", "p", v), ("a", "p", v), ("b", "P ", [2.0] * 64), ("c", "p", w), ("d", "p", v + [5.0]), ("e", "p", [1.0] * 63), ("f", "q", v), ("g", None, v), ("h", "", v), ("i", " Legacy:Unknown", v), ("j", "p", None),
             ("k", "p", [0.0] * 64), ("l", "p", []), (None, "p", v), ("m", "p", [-1.0] * 64), ("n", "q", [float("nan")] + [1.0] * 63)]
     df = spark.createDataFrame(data, "id string, embed_provider string, embedding array<float>")
-    got = {tuple(r) for r in neighbours.neighbour_pairs(df).collect()}
+    got = {tuple(r) for r in neighbours.neighbour_pairs(df, min_cosine=0.85).collect()}
     assert got == {tuple(sorted(p)) for p in itertools.combinations("abcde", 2)} | {("f", "n")}
-    assert neighbours.neighbour_pairs(df.limit(0)).count() == 0
+    assert neighbours.neighbour_pairs(df.limit(0), min_cosine=0.85).count() == 0
 
 
 def test_a_class_of_copies_gives_no_pairs_beyond_k(spark):
     data = [(f"c{i:04d}", "p", [1.0] * 64) for i in range(700)] + [("z", "p", [1.0] * 63 + [0.8])]
-    found = neighbours.nearest(spark.createDataFrame(data, "id string, embed_provider string, embedding array<float>"))
+    found = neighbours.nearest(spark.createDataFrame(data, "id string, embed_provider string, embedding array<float>"), min_cosine=0.85)
     assert found.groupBy("key_a").count().agg(F.max("count"), F.min("count")).first() == (10, 10)
     assert found.count() == 7010
 
@@ -437,3 +437,29 @@ def test_chunk_counts_settle_lines(spark, monkeypatch):
     whole = repeated_lines.frequent_chunks
     monkeypatch.setattr(repeated_lines, "frequent_chunks", lambda lines, sizes, least, share: whole(lines, sizes, least + 1, share))
     assert {(r["id"], r["line_no"]) for r in repeated_lines.repeated_lines(df).collect()} < want
+
+
+def _vector_frame(spark, m):
+    return spark.createDataFrame([(f"v{i:05d}", "p", v.tolist()) for i, v in enumerate(m)], "id string, embed_provider string, embedding array<float>")
+
+
+def test_cells_against_brute_force():
+    g = np.random.default_rng(1)
+    code = np.sort(g.integers(0, 1 << 63, 400) >> g.integers(0, 40, 400) << 3)
+    space = np.sort(g.integers(0, 3, 400))
+    order = np.lexsort((code, space))
+    space, code = space[order], code[order]
+    for depth in (1, 7, 23, 63):
+        want = [sum(space[i] == space[j] and code[i] >> (63 - depth) == code[j] >> (63 - depth) for j in range(400)) - 1 for i in range(400)]
+        assert neighbours.cell_sizes(space, code, depth).tolist() == want
+
+
+def test_ascent_decides_and_blocks_do_not(spark, monkeypatch):
+    df = _vector_frame(spark, vectors(3000, 200))
+    pairs = lambda: {tuple(r) for r in neighbours.neighbour_pairs(df, min_cosine=0.85, candidates=256).collect()}
+    whole = pairs()
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 250)
+    assert pairs() == whole  # thirteen blocks a tree; cells that reach over an end are looked up on both sides
+    steps = neighbours.depths
+    monkeypatch.setattr(neighbours, "depths", lambda *a: steps(*a).withColumn("depth", F.lit(63)))
+    assert len(pairs()) < 0.9 * len(whole)  # without the ascent only equal strings meet
