@@ -115,8 +115,8 @@ class Engine:
         asked = rewritten(both).where(F.col("turn") == turn).first()["question"]
         hits = self.search(asked)
         queries = self.spark.createDataFrame([(0, asked)], "query_id long, query string")
-        answer = next((r["answer"] for r in A.answers(hits, queries).collect()), "")
-        reply = A.without_greeting(answer) if turn > 1 and answer else answer
+        answer = F.when(F.lit(turn > 1), A.without_greeting(F.col("answer"))).otherwise(F.col("answer"))
+        reply = next((r["reply"] for r in A.answers(hits, queries).select(answer.alias("reply")).collect()), "")
         sources = [r.asDict() for r in A.citations(hits).drop("query_id").orderBy(F.desc("score")).collect()]
         self._remember(session_id, [(session_id, turn, "user", bare, now), (session_id, turn + 1, "assistant", reply, now)])
         return {"reply": reply, "sources": sources, "guardrail_triggered": None, "session_id": session_id}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.urls import resolved_link
+from quern.functions.urls import absolute_link, page_link
 
 # Elements and classes that hold no content, attributes that hold links, and void elements.
 NO_CONTENT = {"script", "style", "noscript", "iframe", "svg", "header", "footer", "nav", "aside", "form", "img", "video", "audio", "canvas", "picture", "figure", "source"}
@@ -90,14 +90,14 @@ class _Page(HTMLParser):
 
 
 def parse_page(url: str, html: str | None, allowed_hosts: tuple[str, ...] = ()) -> tuple:
-    """Title, text, and distinct links (the first anchor holds) of a page. Empty input gives an empty page."""
+    """Title, text, and distinct absolute references (the first anchor holds) of a page. Empty input gives an empty page."""
     page = _Page()
     page.feed(html or "")
     page.close()
     found: dict[str, str] = {}
 
     def add(link: str, anchor: str = "") -> None:
-        if (target := resolved_link(link, url)) is not None:
+        if (target := absolute_link(link, url)) is not None:
             found.setdefault(target, re.sub(r"\s+", " ", anchor).strip())
 
     for link, held in page.anchors:
@@ -140,7 +140,11 @@ def pages_from_html(raw: DataFrame, allowed_hosts: tuple[str, ...] = ()) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["url", "title", "content", "links", "is_thin_hub"])
 
     parsed = rows.select("url", "html").mapInArrow(run, "url string, title string, content string, links array<struct<url:string,anchor:string>>, is_thin_hub boolean")
-    return parsed.select("url", "title", "content", F.md5("content").alias("hash"), "links", "is_thin_hub")
+    # References that lead to pages, each page once.
+    links = F.filter(F.transform("links", lambda x: F.struct(page_link(x["url"]).alias("url"), x["anchor"].alias("anchor"))), lambda x: x["url"].isNotNull())
+    once = F.expr("filter(links, (x, i) -> array_position(links.url, x.url) = i + 1)")
+    kept = parsed.withColumn("links", links).withColumn("links", once)
+    return kept.where("content <> '' or size(links) > 0").select("url", "title", "content", F.md5("content").alias("hash"), "links", "is_thin_hub")
 
 
 def link_edges(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from quern.api import Busy, Engine, pages_as_items
 from quern.functions.text import content_hash
 from quern.operators.embedding import LocalHashEmbedder
 from quern.operators.reports import reachable
-from quern.sources.html import link_edges, pages_from_html, parse_page
+from quern.sources.html import link_edges, pages_from_html
 from quern.sources.readers import read_csv_bytes, read_docx_bytes, read_files, section_items
 from quern.streaming.ingest import DeltaIngest, run_available
 from tests.conftest import rows
@@ -22,13 +22,15 @@ HTML = """<html><head><title>T</title></head><body><nav><a href='/menu'>Menu</a>
 <footer>Foot</footer></body>"""
 
 
-def test_links_through_all_channels():
-    title, text, links = parse_page("https://s.example/d/page.php", HTML, ("s.example",))
-    assert title == "Head" and "Body text of the page" in text and "Menu" not in text and "Foot" not in text
-    assert {u for u, _ in links} >= {
+def test_links_through_all_channels(spark):
+    page = pages_from_html(spark.createDataFrame([("https://s.example/d/page.php", HTML)], "url string, html string"), ("s.example",)).first()
+    assert page["title"] == "Head" and "Body text of the page" in page["content"] and "Menu" not in page["content"] and "Foot" not in page["content"]
+    links = [x["url"] for x in page["links"]]
+    assert len(links) == len(set(links)) and set(links) >= {
         "https://s.example/menu", "https://s.example/abs.php", "https://www.linkedin.com/in/prof-x", "https://s.example/d/tab.php", "https://s.example/d/btn.php",
         "https://lab.s.example/deep", "https://s.example/d/rel/route.html",
     }
+    assert next(x["anchor"] for x in page["links"] if x["url"] == "https://s.example/abs.php") == "Abs"
 
 
 def test_pages(spark):

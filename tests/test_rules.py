@@ -84,8 +84,8 @@ def test_urls(spark):
         ("x?y=1&amp;z=2", "https://s.example/d/x?y=1&z=2"), ("http://[bad", None),
     ],
 )
-def test_resolved_link(href, want):
-    assert U.resolved_link(href, "https://s.example/d/page.php") == want
+def test_links(spark, href, want):
+    assert value(spark, U.page_link(F.lit(U.absolute_link(href, "https://s.example/d/page.php")).cast("string"))) == want
 
 
 def test_guard(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quern.operators import chunking, cleaning, embedding, retrieval, sessions, store
-from quern.operators.answers import emphasised, intent, sentences, synthesis, title_matches, without_greeting
+from quern.operators import answers as said
 from quern.operators.delta import crawl_diff, decide
 from quern.plans.slices import commit_slices, first_misses, request_batches
 from tests.conftest import rows
@@ -182,19 +182,30 @@ def test_embed_each_text_once(spark):
         embedding.RemoteEmbedder("far:1").embed(["x"])
 
 
-def test_answers():
-    hits = [
-        {"text": "Dr. Ann Lee heads the library. Fees: 20 per year for members", "source_name": "Library", "section": "", "time": "2"},
-        {"text": "- Library hours: 9 to 17\nnothing", "source_name": "Hours", "section": "", "time": "1"},
-    ]
-    said = synthesis("who heads the library", hits)
-    assert said.startswith("**Library:**") and "Hours" not in said
-    assert "Hours" in synthesis("list all about the library", hits)
-    assert synthesis("one line on the library", hits).count("\n") == 0
-    assert synthesis("anything", []) == ""
-    assert title_matches("cse", "Computer Science Engineering") and not title_matches("abc", "Computer Science")
-    assert intent("give 3 points")["lines"] == 3 and intent("briefly")["brief"]
-    assert len(sentences("Prof. Smith teaches optics to the second year students here. " * 5)) == 5
-    assert emphasised("Fees: 20") == "* **Fees**: 20"
-    assert without_greeting("Hello! I would be happy to help. the library opens.") == "The library opens."
-    assert without_greeting("Hello!") == "Hello!"
+def test_answers(spark):
+    hits = spark.createDataFrame(
+        [(q, 1, "Dr. Ann Lee heads the library. Fees: 20 per year for members", "Library", "", "2") for q in (1, 2, 3)]
+        + [(q, 2, "- Library hours: 9 to 17\nnothing\n(Library hours: 9 to 17", "Hours", None, "1") for q in (1, 2, 3)] + [(4, 1, None, None, None, None)],
+        "query_id long, rank int, text string, source_name string, section string, time string",
+    )
+    asked = spark.createDataFrame([(1, "who heads the library"), (2, "list all about the library"), (3, "one line on the library"), (4, None), (5, "x")], "query_id long, query string")
+    got = {r["query_id"]: r["answer"] for r in said.answers(hits, asked).collect()}
+    assert got[1] == "**Library:**\n* **Dr. Ann** Lee heads the library. Fees: 20 per year for members"
+    assert got[2] == got[1] + "\n\n**Hours:**\n* **Library hours**: 9 to 17"
+    assert got[3] == "**Library**: Dr. Ann** Lee heads the library. Fees: 20 per year for members"
+    assert got[4] == "" and 5 not in got
+    assert said.answers(hits.limit(0), asked).count() == 0
+
+
+def test_answer_rules(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    for term, title, want in (("cse", "Computer Science Engineering", True), ("abc", "Computer Science", False), ("coe", "College of Engineering", True), ("ce", "College of Engineering", True), ("eng", "College of Engineering", True), ("", "x", False)):
+        assert one(said.title_matches(F.lit(term), F.lit(title))) is want
+    wants = said.question_columns(spark.createDataFrame([(1, "give 3 points on fees"), (2, "briefly"), (3, "all the fees"), (4, "the 12"), (5, None)], "query_id int, query string"))
+    assert [tuple(r)[2:4] for r in wants.orderBy("query_id").collect()] == [(3, 1), (4, 1), (50, 4), (8, 1), (8, 1)]
+    assert wants.where("query_id = 4").first()["stems"] == ["the"]
+    assert len(one(said.lines_of(F.lit("Prof. Smith teaches optics to the second year students here. " * 5)))) == 5
+    assert one(said.lines_of(F.lit(None).cast("string"))) == []
+    assert one(said.emphasised(F.lit("Fees: 20"))) == "* **Fees**: 20" and one(said.emphasised(F.lit("- "))) == ""
+    assert one(said.without_greeting(F.lit("Hello! I would be happy to help. the library opens."))) == "The library opens."
+    assert one(said.without_greeting(F.lit("Hello!"))) == "Hello!"
