@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from quern.llm.leakage import leaked_items, without_leaks
 from quern.llm.mixing import mixture, mixture_report
 from quern.llm.neighbours import neighbour_pairs
 from quern.llm.repeated_lines import repeated_lines, without_repeated_lines
-from quern.llm.splitting import oversized, split_items
-from quern.session import read_table
+from quern.llm.splitting import oversized, split_files, split_items
+from quern.session import read_table, scratch_dir
 
 
 def _website(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +38,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_items(read_table(spark, d, "vectors"))
 
 
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """The texts as files of many megabytes, split by byte ranges: ``file_no, piece_no, start_byte, n_tokens, digest``."""
+    texts = read_table(spark, d, "vectors").where("text is not null")
+    n = 4 + texts.count() // 50_000
+    path = f"{scratch_dir(spark)}/texts-{uuid.uuid4().hex[:12]}"
+    texts.repartition(n, "id").sortWithinPartitions("id", "text").select("text").write.option("lineSep", "\n\n").text(path)
+    pieces = split_files(spark, path)
+    return pieces.select(F.regexp_extract("path", "part-([0-9]+)", 1).cast("int").alias("file_no"), "piece_no", "start_byte", "n_tokens", F.md5("piece").alias("digest"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(read_table(spark, d, "vectors")).select("id", "line_no").distinct()
 
@@ -100,7 +112,7 @@ eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELEC
 found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
+QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
     "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean,
     "p8_mixture": p8_mixture, "p8_report": p8_report,
     "p9_found": p9_found, "p9_restored": p9_restored}

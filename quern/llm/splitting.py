@@ -1,12 +1,14 @@
 """Splitting oversized items at natural boundaries.
 
-Items are cut into *ranges* of ``RANGE`` characters, each read with a halo on both sides; no worker ever holds
-more than a range. In its range a worker finds the boundaries – paragraph, line, sentence, word – and the
-*anchor*: the best boundary near the range's end, which the next worker finds too, in its left halo. Between two
-anchors pieces are laid out greedily, each as long as the limit allows and ending at the best boundary in its
-last part; a piece starts ``overlap`` tokens before the last one's end. The boundary tables are stitched by
-prefix sums over the ranges: of lengths, to know what is oversized; of pieces, to number them. Pieces are
-emitted by offset.
+Items are cut into *ranges* – of ``RANGE`` characters of a text, or as many bytes of a file – each read with a halo on
+both sides. In its range a worker finds the boundaries – paragraph, line, sentence, word – and the *anchor*: the best
+boundary near the range's end, which the next worker finds too, in its left halo. Between two anchors pieces are laid
+out greedily, each as long as the limit allows and ending at the best boundary in its last part; a piece starts
+``overlap`` tokens before the last one's end. The boundary tables, a row for each range, are stitched by prefix sums over
+the ranges: of lengths, to know what is oversized; of pieces, to number them. Pieces are emitted by offset.
+
+The ranges of a text are cut where it is read, in one pass over it; those of files are tasks of their own, read by
+offset from the file system that the path names, and no worker ever holds more than a range of a file.
 
 Tokens of a text: ``floor(max(chars / 4, words * 1.3)) + 1`` for the text stripped of surrounding white space,
 0 for a blank text; words are runs without white space.
@@ -14,11 +16,11 @@ Tokens of a text: ``floor(max(chars / 4, words * 1.3)) + 1`` for the text stripp
 
 from __future__ import annotations
 
-import os
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -183,9 +185,10 @@ def _range_stats(segment: str, left: int, core: int, first: bool) -> tuple[int,
     return words, (len(own) - len(bare) if bare else -1), (len(own.rstrip()) - 1 if bare else -1)
 
 
-_RANGE_COLUMNS = ["key", "digest", "range_no", "n_ranges", "left", "core", "segment"]
-_STATS_SCHEMA = "key string, digest long, range_no int, words long, first_char long, last_char long"
-_PIECES_SCHEMA = "key string, digest long, n_ranges int, range_no int, at int, start_at long, end_at long, n_tokens int, piece string"
+#: Ranges between two partial sums of a prefix sum.
+SUM_BLOCK = 4096
+
+_TABLE_SCHEMA = "key string, digest long, n_ranges int, range_no int, words long, first_char long, last_char long, starts array<long>, ends array<long>, tokens array<int>"
 
 
 def _may_exceed(text: Column, limit: int) -> Column:
@@ -194,73 +197,87 @@ def _may_exceed(text: Column, limit: int) -> Column:
     return F.length(text) > F.lit(min(int(2 * (limit - 1) / 1.3) - 2, 4 * (limit - 1)))
 
 
-def _ranges(rows: DataFrame, key: str, text: str, limit: int) -> DataFrame:
-    """A row for each range of each item that may be oversized, made where the text is read.
-
-    An item is a (key, text): ``digest`` tells apart different texts under one key.
-    """
-    n = F.ceil(F.length("_text") / F.lit(RANGE)).cast("int")
-    return (
-        rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("_text"))
-        .where(F.col("key").isNotNull() & F.col("_text").isNotNull() & _may_exceed(F.col("_text"), limit))
-        .select("key", "_text", F.xxhash64("_text").alias("digest"), n.alias("n_ranges"), F.explode(F.sequence(F.lit(0), n - 1)).alias("range_no"))
-        .withColumn("left", F.when(F.col("range_no") > 0, F.lit(HALO)).otherwise(F.lit(0)))
-        .withColumn("core", F.least(F.lit(RANGE), F.length("_text") - F.col("range_no") * RANGE))
-        .withColumn("segment", F.expr(f"substring(_text, range_no * {RANGE} - left + 1, left + core + {HALO})"))
-        .select(*_RANGE_COLUMNS)
-    )
-
-
 def _emit(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
 
 
-_STATS_TYPES = [("key", pa.string()), ("digest", pa.int64()), ("range_no", pa.int32()), ("words", pa.int64()), ("first_char", pa.int64()), ("last_char", pa.int64())]
-_PIECE_TYPES = [
-    ("key", pa.string()), ("digest", pa.int64()), ("n_ranges", pa.int32()), ("range_no", pa.int32()), ("at", pa.int32()),
-    ("start_at", pa.int64()), ("end_at", pa.int64()), ("n_tokens", pa.int32()), ("piece", pa.string()),
+_TABLE_TYPES = [
+    ("key", pa.string()), ("digest", pa.int64()), ("n_ranges", pa.int32()), ("range_no", pa.int32()), ("words", pa.int64()), ("first_char", pa.int64()), ("last_char", pa.int64()),
+    ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32())), ("pieces", pa.list_(pa.string())),
 ]
 
 
-def _stats(batches):
-    for b in batches:
-        rows = []
-        for key, digest, k, _, left, core, segment in zip(*(b.column(c).to_pylist() for c in _RANGE_COLUMNS)):
-            words, a, z = _range_stats(segment, left, core, k == 0)
-            rows.append((key, digest, k, words, k * RANGE + a if a >= 0 else None, k * RANGE + z if z >= 0 else None))
-        yield _emit(rows, _STATS_TYPES)
+def range_table(text: str, limit: int, overlap: int):
+    """The boundary table of a text, a row for each range: its words, first and last character, and pieces by offset. The
+    lengths are summed up first: a text within the limit has no table, as no piece of it is needed."""
+    ranges, words, first, last = [], 0, None, None
+    for at in range(0, len(text), RANGE):
+        left, core = HALO if at else 0, min(RANGE, len(text) - at)
+        segment = text[at - left : at + core + HALO]
+        n, a, z = _range_stats(segment, left, core, at == 0)
+        words, first, last = words + n, at + a if a >= 0 and first is None else first, at + z if z >= 0 else last
+        ranges.append((segment, left, core, n, at + a if a >= 0 else None, at + z if z >= 0 else None))
+    if first is None or token_count(last - first + 1, words) <= limit:
+        return
+    for k, (segment, left, core, n, a, z) in enumerate(ranges):
+        base = k * RANGE - left
+        pieces = range_pieces(segment, left, core, k == 0, k == len(ranges) - 1, limit, overlap)
+        yield len(ranges), k, n, a, z, [base + s for s, _ in pieces], [base + e for _, e in pieces]
 
 
-def _pieces_of(limit: int, overlap: int):
+def _tables_of(limit: int, overlap: int, with_text: bool):
+    types = _TABLE_TYPES if with_text else _TABLE_TYPES[:-1]
+
     def run(batches):
         for b in batches:
             rows = []
-            for key, digest, k, n, left, core, segment in zip(*(b.column(c).to_pylist() for c in _RANGE_COLUMNS)):
-                if n == 1 and tokens_of(segment) <= limit:
-                    continue
-                for at, (s, e) in enumerate(range_pieces(segment, left, core, k == 0, k == n - 1, limit, overlap)):
-                    rows.append((key, digest, n, k, at, k * RANGE - left + s, k * RANGE - left + e, tokens_of(segment[s:e]), segment[s:e]))
-            yield _emit(rows, _PIECE_TYPES)
+            for key, digest, text in zip(*(b.column(c).to_pylist() for c in ("key", "digest", "text"))):
+                for n, k, words, a, z, starts, ends in range_table(text, limit, overlap):
+                    pieces = [text[s:e] for s, e in zip(starts, ends)]
+                    rows.append((key, digest, n, k, words, a, z, starts, ends, [tokens_of(x) for x in pieces], *([pieces] if with_text else [])))
+            yield _emit(rows, types)
 
     return run
 
 
-def _totals(stats: DataFrame, limit: int) -> DataFrame:
-    """Items over the limit, from the tables of their ranges. Repeated rows of an item count once."""
-    sums = stats.distinct().groupBy("key", "digest").agg(F.sum("words").alias("words"), (F.max("last_char") - F.min("first_char") + 1).alias("chars"))
+def boundary_tables(rows: DataFrame, key: str, text: str, limit: int, overlap: int, with_text: bool = False) -> DataFrame:
+    """The boundary tables of all items that may be oversized, a row for each range, each once.
+
+    An item is a (key, text): ``digest`` tells apart different texts under one key.
+    """
+    known = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull() & _may_exceed(F.col("text"), limit))
+    schema = _TABLE_SCHEMA + (", pieces array<string>" if with_text else "")
+    return known.select("key", F.xxhash64("text").alias("digest"), "text").mapInArrow(_tables_of(limit, overlap, with_text), schema).dropDuplicates(["key", "digest", "range_no"])
+
+
+def sums_before(counts: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """``keys, order, before``: the sum of ``value`` in the rows before, in two steps, so that no window holds more than the
+    rows of a block or the blocks of a key."""
+    blocks = counts.withColumn("_block", F.expr(f"{order} div {SUM_BLOCK}"))
+    whole = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.groupBy(*keys, "_block").agg(F.sum(value).alias("_n")).select(*keys, "_block", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(base, [*keys, "_block"]).select(*keys, order, (F.col("_base") + F.col("_own")).cast("int").alias("before"))
+
+
+def _stitched(tables: DataFrame, limit: int) -> DataFrame:
+    """Items over the limit, from the sums over the tables of their ranges: ``key, digest, n_tokens, n_pieces``."""
+    sums = tables.groupBy("key", "digest").agg(
+        F.sum("words").alias("words"), (F.max("last_char") - F.min("first_char") + 1).alias("chars"), F.sum(F.size("starts")).alias("n_pieces")
+    )
     n = F.floor(F.greatest(F.col("chars") / F.lit(4.0), F.col("words") * F.lit(1.3).cast("double"))) + 1
-    return sums.where("chars > 0").select("key", "digest", n.cast("int").alias("n_tokens")).where(F.col("n_tokens") > limit)
+    return sums.where("chars > 0").select("key", "digest", n.cast("int").alias("n_tokens"), "n_pieces").where(F.col("n_tokens") > limit)
 
 
-def oversized(rows: DataFrame, key: str = "id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """``key, n_tokens`` of the items with more than ``limit`` tokens, distinct.
+def oversized(rows: DataFrame, key: str = "id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``key, n_tokens, n_pieces`` of the items of more than ``limit`` tokens, which come out in more than one piece; distinct.
 
     Stored token counts aren't looked at, and all other columns are ignored. Rows with a null key or text are no
     items; a text repeated under its key counts once, different texts under one key count each.
     """
-    stats = _ranges(rows, key, text, limit).mapInArrow(_stats, _STATS_SCHEMA)
-    return _totals(stats, limit).select(F.col("key").alias(key), "n_tokens").distinct()
+    found = _stitched(boundary_tables(rows, key, text, limit, overlap), limit).where("n_pieces > 1")
+    return found.select(F.col("key").alias(key), "n_tokens", "n_pieces").distinct()
 
 
 def split_items(rows: DataFrame, key: str = "id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -271,26 +288,20 @@ def split_items(rows: DataFrame, key: str = "id", text: str = "text", limit: int
     of a piece – and every word lies in a piece; the next one shares about ``overlap`` tokens with it, also inside
     such a run. Null keys and texts give nothing; repeated rows give their pieces once.
     """
-    ranges = _ranges(rows, key, text, limit)
-    pieces = ranges.mapInArrow(_pieces_of(limit, overlap), _PIECES_SCHEMA).dropDuplicates(["key", "digest", "range_no", "at"])
-    one = pieces.where("n_ranges = 1").withColumn("piece_no", F.col("at") + 1)
-    # Items of several ranges: the pieces before a range are the prefix sum over the ranges' counts.
-    many = pieces.where("n_ranges > 1")
-    counts = many.groupBy("key", "digest", "range_no").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("key", "digest").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("key", "digest", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("before"))
-    over = _totals(ranges.where("n_ranges > 1").mapInArrow(_stats, _STATS_SCHEMA), limit).select("key", "digest")
-    many = many.join(over, ["key", "digest"], "left_semi").join(counts, ["key", "digest", "range_no"]).withColumn("piece_no", F.col("before") + F.col("at") + 1)
-    out = [F.col("key").alias(key), "piece_no", "start_at", "end_at", "n_tokens", "piece"]
-    return one.select(*out).unionByName(many.select(*out))
-
-
-def _file_segment(path: str, start: int, core: int, size: int) -> tuple[str, int, int, int]:
+    tables = boundary_tables(rows, key, text, limit, overlap, with_text=True)
+    one = tables.where("n_ranges = 1").withColumn("before", F.lit(0))
+    many = tables.where("n_ranges > 1")
+    before = sums_before(many.select("key", "digest", "range_no", F.size("starts").alias("n")), ["key", "digest"], "range_no", "n")
+    many = many.join(before, ["key", "digest", "range_no"])
+    zipped = F.posexplode(F.arrays_zip("starts", "ends", "tokens", "pieces")).alias("at", "p")
+    exploded = one.unionByName(many.select(*one.columns)).select("key", "before", zipped)
+    return exploded.select(
+        F.col("key").alias(key), (F.col("before") + F.col("at") + 1).alias("piece_no"), F.col("p.starts").alias("start_at"), F.col("p.ends").alias("end_at"), F.col("p.tokens").alias("n_tokens"), F.col("p.pieces").alias("piece")
+    )
+
+
+def _file_segment(data: bytes, lo: int, start: int, core: int) -> tuple[str, int, int, int]:
     """The text of a byte range with its halos, cut to whole characters: segment, left, core (characters), its first byte."""
-    lo, hi = max(0, start - HALO), min(size, start + core + HALO)
-    with open(path, "rb") as f:
-        f.seek(lo)
-        data = f.read(hi - lo)
 
     def whole(at: int) -> int:
         while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
@@ -305,31 +316,35 @@ def _file_segment(path: str, start: int, core: int, size: int) -> tuple[str, int
     return left + own + right, len(left), len(own), lo + a
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of UTF-8 files of any size on a file system that all workers mount: ``path, piece_no, start_byte, piece``.
+def split_files(spark: SparkSession, paths: str | list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Pieces of UTF-8 files of any size: ``path, piece_no, start_byte, n_tokens, piece``.
 
-    Each task reads one range of ``RANGE`` bytes with its halos; no file is loaded whole. A file within the limit
-    comes out as one piece, an empty or blank one as none.
+    ``paths``: files, folders or patterns on any file system that Spark lists and Arrow opens – mounted, HDFS, object
+    stores. Each task reads one range of ``RANGE`` bytes with its halos by offset; no file is loaded whole. A file within
+    the limit comes out as one piece, an empty or blank one as none.
     """
-    files = [(p, os.path.getsize(p)) for p in paths]
-    table = spark.createDataFrame(files, "path string, size long").where("size > 0")
+    # Of the files only names and lengths are read here: their contents are columns that nobody asks for.
+    table = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size")).where("size > 0")
     ranges = table.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"cast((size - 1) div {RANGE} as long)"))).alias("k"))
-    ranges = ranges.repartition(max(1, min(2000, sum(s // RANGE + 1 for _, s in files))), "path", "k")
+    ranges = ranges.repartition("path", "k")
 
     def read(batches):
         for b in batches:
             for path, size, k in zip(*(b.column(c).to_pylist() for c in ("path", "size", "k"))):
-                core = min(RANGE, size - k * RANGE)
-                segment, left, own, first_byte = _file_segment(path, k * RANGE, core, size)
+                start, core = k * RANGE, min(RANGE, size - k * RANGE)
+                lo, hi = max(0, start - HALO), min(size, start + core + HALO)
+                system, place = pafs.FileSystem.from_uri(path)
+                with system.open_input_file(place) as f:
+                    data = f.read_at(hi - lo, lo)
+                segment, left, own, first_byte = _file_segment(data, lo, start, core)
                 last = k == (size - 1) // RANGE
-                rows = [
-                    (path, k, at, first_byte + len(segment[:s].encode()), segment[s:e])
-                    for at, (s, e) in enumerate(range_pieces(segment, left, own, k == 0, last, limit, overlap))
-                ]
-                yield _emit(rows, [("path", pa.string()), ("k", pa.int64()), ("at", pa.int32()), ("start_byte", pa.int64()), ("piece", pa.string())])
+                rows, at_byte, at_char = [], first_byte, 0
+                for at, (s, e) in enumerate(range_pieces(segment, left, own, k == 0, last, limit, overlap)):
+                    at_byte, at_char = at_byte + len(segment[at_char:s].encode()), s
+                    rows.append((path, k, at, at_byte, tokens_of(segment[s:e]), segment[s:e]))
+                yield _emit(rows, [("path", pa.string()), ("k", pa.int64()), ("at", pa.int32()), ("start_byte", pa.int64()), ("n_tokens", pa.int32()), ("piece", pa.string())])
 
-    pieces = ranges.mapInArrow(read, "path string, k long, at int, start_byte long, piece string")
+    pieces = ranges.mapInArrow(read, "path string, k long, at int, start_byte long, n_tokens int, piece string")
     counts = pieces.groupBy("path", "k").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("path", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("before"))
-    return pieces.join(counts, ["path", "k"]).select("path", (F.col("before") + F.col("at") + 1).alias("piece_no"), "start_byte", "piece")
+    before = sums_before(counts, ["path"], "k", "n")
+    return pieces.join(before, ["path", "k"]).select("path", (F.col("before") + F.col("at") + 1).alias("piece_no"), "start_byte", "n_tokens", "piece")

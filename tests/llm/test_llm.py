@@ -463,3 +463,27 @@ def test_ascent_decides_and_blocks_do_not(spark, monkeypatch):
     steps = neighbours.depths
     monkeypatch.setattr(neighbours, "depths", lambda *a: steps(*a).withColumn("depth", F.lit(63)))
     assert len(pairs()) < 0.9 * len(whole)  # without the ascent only equal strings meet
+
+
+def test_boundaries_decide_what_is_oversized(spark, monkeypatch):
+    df = spark.createDataFrame([("k", "one word and another " * 400), ("s", "short")], "id string, text string")
+    assert rows(splitting.oversized(df), "id") == [("k",)]
+    tables = splitting.boundary_tables
+    monkeypatch.setattr(splitting, "boundary_tables", lambda *a, **o: tables(*a, **o).withColumn("starts", F.slice("starts", 1, 1)))
+    assert splitting.oversized(df).count() == 0  # a text in which no cut is found isn't one to cut
+
+
+def test_prefix_sums_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "SUM_BLOCK", 3)
+    df = spark.createDataFrame([("a", i, i * i) for i in range(11)] + [("b", 5, 7)], "key string, at int, n int")
+    assert rows(splitting.sums_before(df, ["key"], "at", "n"), "key", "at", "before") == sorted([("a", i, sum(j * j for j in range(i))) for i in range(11)] + [("b", 5, 0)], key=repr)
+
+
+def test_a_text_of_many_ranges_in_linear_time(spark):
+    import time
+
+    text = "Some words of a very long text. " * 1_000_000
+    df = spark.createDataFrame([("k", text)], "id string, text string")
+    t = time.time()
+    got = splitting.split_items(df).agg(F.count("*"), F.max("piece_no"), F.max("n_tokens"), F.max("end_at")).first()
+    assert got[0] == got[1] > 10_000 and got[2] <= 750 and got[3] == len(text) - 1 and time.time() - t < 60
