@@ -112,6 +112,16 @@ eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELEC
 found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
 """
 
+_P7_RUNS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+eg AS (SELECT item_id, j, array_to_string(w[j:j+12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS j FROM e)),
+m AS (SELECT DISTINCT doc_id, item_id, i, j FROM dg JOIN eg USING (g)),
+s AS (SELECT doc_id, item_id, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM m),
+r AS (SELECT doc_id, item_id, count(*) + 12 AS n_words FROM s GROUP BY doc_id, item_id, diagonal, run)
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
     "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean,
     "p8_mixture": p8_mixture, "p8_report": p8_report,
@@ -127,6 +137,7 @@ ORACLE = {
         array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(coalesce(ns, []), i::INT)), chr(10)) AS clean_text
       FROM vectors v LEFT JOIN cut USING (id)""",
     "p7_found": _P7 + "SELECT doc_id, item_id FROM found",
+    "p7_items": _P7_RUNS + "SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(n_words)::INT AS longest FROM r GROUP BY 1",
     "p7_clean": _P7 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
     "p5_found": """
 WITH u AS (

@@ -487,3 +487,35 @@ def test_a_text_of_many_ranges_in_linear_time(spark):
     t = time.time()
     got = splitting.split_items(df).agg(F.count("*"), F.max("piece_no"), F.max("n_tokens"), F.max("end_at")).first()
     assert got[0] == got[1] > 10_000 and got[2] <= 750 and got[3] == len(text) - 1 and time.time() - t < 60
+
+
+def test_longest_matches_against_brute_force(monkeypatch):
+    g = random.Random(8)
+    for round_ in range(30):
+        size = g.choice((2, 3, 12))
+        text = lambda n: " ".join(f"w{g.randrange(size)}" for _ in range(n))  # noqa: E731, B023
+        texts, items = [text(g.randrange(60)) for _ in range(8)], [text(g.randrange(40)) for _ in range(6)]
+        side = leakage.Items(list(range(6)), items, 4)
+        owner, words = leakage.split_words(leakage.pa.array(texts))
+        numbers = leakage.pc.fill_null(leakage.pc.index_in(words, value_set=side.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        want = {}
+        for d, t in enumerate(texts):
+            for i, x in enumerate(items):
+                a, b = t.split(), x.split()
+                best = max((n for p in range(len(a)) for q in range(len(b)) for n in [next((m for m in range(len(a) + len(b)) if p + m >= len(a) or q + m >= len(b) or a[p + m] != b[q + m]))]), default=0)
+                if best >= 4:
+                    want[d, i] = best
+        found = list(zip(*(x.tolist() for x in leakage.longest_matches(side, owner, numbers))))
+        assert {(d, i): n for d, i, n, _, _ in found} == want and len(found) == len(want)
+        for d, i, n, p, q in found:
+            assert texts[d].split()[p : p + n] == items[i].split()[q : q + n]
+
+
+def test_repetitive_texts_take_linear_time(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "again " * 10_000), (2, "again and " * 5_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "again " * 10_000)], "item_id long, text string")
+    t = time.time()
+    assert [tuple(r) for r in leakage.leaked_items(docs, items).select("doc_id", "item_id", "n_words").collect()] == [(1, 7, 10_000)]
+    assert time.time() - t < 20
