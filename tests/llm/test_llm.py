@@ -519,3 +519,42 @@ def test_repetitive_texts_take_linear_time(spark):
     t = time.time()
     assert [tuple(r) for r in leakage.leaked_items(docs, items).select("doc_id", "item_id", "n_words").collect()] == [(1, 7, 10_000)]
     assert time.time() - t < 20
+
+
+SCRIPTS = {
+    "fr": "Où est passé l’élève déçu ? Ça coûte 5 €.", "de": "Größe und Äpfel für Mädchen – schön", "es": "¿Dónde está el niño? ¡Qué año!", "hi": "यह एक हिन्दी वाक्य है",
+    "ru": "Это русское предложение о погоде", "uk": "надії та мрії їхні дії", "el": "Αυτή είναι μια ελληνική πρόταση", "ar": "مرحبا بالعالم هذا نص", "he": "שלום עולם זה טקסט",
+    "th": "ภาษาไทยเป็นภาษา", "ko": "한국어 문장입니다", "ja": "日本語の文章です。これは試験です。", "zh": "中文文本，这是测试", "ta": "தமிழ் மொழி வாக்கியம்", "emoji": "well done 😀🎉 indeed",
+    "pl": "Zażółć gęślą jaźń", "cs": "Příliš žluťoučký kůň",
+}
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+def test_round_trips_over_all_encodings(name):
+    text = SCRIPTS[name]
+    assert encoding.restore(text) == (text, 0, 0)
+    mixed = "A line of correct text.\n{}\nNoch eine Zeile, schön und gut."
+    for wrong in encoding.WRONG:
+        seen = encoding.read_as(text.encode(), wrong)
+        if seen is None or seen == text:
+            continue
+        out, fixed, lost = encoding.restore(mixed.format(seen))
+        assert fixed and (lost or out == mixed.format(text)), (wrong, out)
+    for wrong in encoding.WIDE:
+        try:
+            seen = text.encode().decode(wrong)
+        except UnicodeDecodeError:
+            continue
+        out, fixed, lost = encoding.restore(seen)
+        assert not fixed or lost or out == text, (wrong, out)
+
+
+def test_other_pairs_of_encodings():
+    zh, ko, ru = "这是一个简单的测试文本，用于检查", "이것은 간단한 테스트 문장입니다", "Привет мир Это хороший текст"
+    assert encoding.restore(zh.encode("gbk").decode("latin-1")) == (zh, 1, 0)
+    assert encoding.restore(ko.encode("euc_kr").decode("latin-1"))[2] > 0  # found, but what it was can't be told from Chinese
+    assert encoding.restore(ru.encode("koi8_r").decode("cp1251")) == (ru, 1, 0)
+    assert encoding.restore(ru.encode("cp1251").decode("koi8_r")) == (ru, 1, 0)
+    assert encoding.restore("café naïve Größe ‘x’s".encode().decode("gbk"))[0] == "café naïve Größe ‘x’s"
+    for right in ("模型很好，iPhone模型", "3D模型", "ПРИВЕТ МИР", "iPHONE", "ÄÖÜäöü ßÀÉÈÊ", "«Élève» – ‘été’…", "not́e", "3 × 4 × 5", "ÀàÂâÇçÉéÈèÊê"):
+        assert encoding.restore(right) == (right, 0, 0), right
