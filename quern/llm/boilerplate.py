@@ -8,8 +8,8 @@ have one other line between them. The minimum cut is the labelling with the leas
 without any mark of its own goes with the side box it stands in, and a short heading with its paragraph.
 
 The classifier has two parts: structure (weights below, in log-odds), among it the number of pages that hold
-the same line, counted over the whole collection; and words, a naive Bayes fitted on a bounded sample of lines
-of which structure alone is sure.
+the same line, counted over the whole collection; and words, a naive Bayes fitted on the lines of a bounded sample of
+pages of which structure alone is sure. Words are counted where the pages are; only sums come to the driver.
 """
 
 from __future__ import annotations
@@ -24,12 +24,10 @@ from pyspark.sql import functions as F
 
 from quern.session import materialise
 
-#: Pages whose lines the word classifier is fitted on at most.
-SAMPLE_PAGES = 4000
-#: Copies of the table of line counts, over which the lines of all pages are spread.
-SALTS = 8
-#: Unsettled lines of a page from which on it is solved by running over it.
-LARGE = 400
+#: Pages on whose lines the word classifier is fitted, about (a sample by hash where there are more).
+SAMPLE_PAGES = 3200
+#: A line is hot from this part of all lines on; so there are at most so many hot lines.
+HOT_PARTS = 10_000
 
 # Phrases that stand alone on a line of a page's surroundings, in the languages of the collection.
 _LABELS = {
@@ -160,28 +158,39 @@ class LineClassifier:
         return self.structure(line, pages, title, after) + lexical
 
 
-def fit_words(pages: list[tuple[list[str], dict[int, int], str]]) -> dict[str, float]:
-    """Log-odds of words, from lines whose structure alone leaves no doubt."""
+def _count_words(batches):
+    """Of the lines whose structure alone leaves no doubt, how many hold each word: as content and as boilerplate. The row
+    without a word has the sums."""
     plain = LineClassifier()
-    counts: dict[str, list[int]] = {}
-    total = [0, 0]
-    for lines, held, title in pages:
-        for number, line in enumerate(lines, 1):
-            bare = line.strip()
-            if not bare:
-                continue
-            s = plain.structure(bare, held.get(number, 1), title)
-            if abs(s) < 3 or _SPACE.sub(" ", bare).lower() == title:
-                continue  # a page's title is a teaser elsewhere
-            k = int(s > 0)
-            for w in set(_WORD.findall(bare.lower())):
-                counts.setdefault(w, [0, 0])[k] += 1
-                total[k] += 1
-    if not all(total):
+    for b in batches:
+        counts: dict[str, list[int]] = {"": [0, 0]}
+        for text, title, held in zip(*(b.column(c).to_pylist() for c in ("text", "title", "held"))):
+            pages, name = {x["line_no"]: x["n"] for x in held or ()}, _SPACE.sub(" ", title or "").strip().lower()
+            for number, line in enumerate(text.split("\n"), 1):
+                bare = line.strip()
+                if not bare:
+                    continue
+                s = plain.structure(bare, pages.get(number, 1), name)
+                if abs(s) < 3 or _SPACE.sub(" ", bare).lower() == name:
+                    continue  # a page's title is a teaser elsewhere
+                found = set(_WORD.findall(bare.lower()))
+                for w in found:
+                    counts.setdefault(w, [0, 0])[s > 0] += 1
+                counts[""][s > 0] += len(found)
+        names = list(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([counts[w][0] for w in names], pa.int64()), pa.array([counts[w][1] for w in names], pa.int64())], names=["word", "content", "other"]
+        )
+
+
+def fit_words(pages: DataFrame) -> dict[str, float]:
+    """Log-odds of words that at least five lines hold, from ``text, title, held`` of some pages."""
+    sums = pages.select("text", "title", "held").mapInArrow(_count_words, "word string, content long, other long").groupBy("word").agg(F.sum("content").alias("a"), F.sum("other").alias("b"))
+    rows = {r["word"]: (r["a"], r["b"]) for r in sums.where("word = '' or a + b >= 5").collect()}
+    content, other = rows.pop("", (0, 0))
+    if not content or not other:
         return {}
-    return {
-        w: math.log((b + 1) / (total[1] + 100)) - math.log((a + 1) / (total[0] + 100)) for w, (a, b) in counts.items() if a + b >= 5
-    }
+    return {w: math.log((b + 1) / (other + 100)) - math.log((a + 1) / (content + 100)) for w, (a, b) in sorted(rows.items())}
 
 
 def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -190,8 +199,7 @@ def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[boo
 
     Nodes whose own cost outweighs all their edges are settled first, which shifts the edges' costs to their
     neighbours and settles more; what is left is solved by maximum flow. Both steps are exact. A node with no
-    preference at all is false. What is left of a very long page, where edges reach no further than two lines, is
-    solved by running over it instead, which gives the same least cost in a time that grows with its length.
+    preference at all is false.
     """
     n = len(unary)
     u = list(unary)
@@ -214,70 +222,47 @@ def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[boo
         near[i] = {}
     rest = [i for i in range(n) if label[i] is None]
     if rest:
-        place = {i: k for k, i in enumerate(rest)}
-        narrow = len(rest) > LARGE and all(abs(place[i] - place[j]) <= 2 for i in rest for j in near[i])
-        sides = _banded([u[i] for i in rest], [{place[j]: c for j, c in near[i].items()} for i in rest]) if narrow else _flow({i: u[i] for i in rest}, {i: near[i] for i in rest})
-        for i, side in zip(rest, sides):
+        for i, side in zip(rest, _flow({i: u[i] for i in rest}, {i: near[i] for i in rest})):
             label[i] = side
     return [bool(x) for x in label]
 
 
 def _flow(unary: dict[int, float], near: dict[int, dict[int, float]]) -> list[bool]:
-    """Maximum flow by shortest augmenting paths; true is the source's side of the minimum cut."""
-    s, t = -1, -2
-    residual: dict[int, dict[int, float]] = {i: dict(near[i]) for i in unary}
-    residual[s], residual[t] = {}, {}
-    for i, x in unary.items():
-        if x > 0:
-            residual[s][i] = x
-            residual[i].setdefault(s, 0.0)
-        elif x < 0:
-            residual[i][t] = -x
-            residual[t].setdefault(i, 0.0)
-    while True:
-        back: dict[int, int] = {s: s}
-        queue = deque([s])
-        while queue and t not in back:
-            i = queue.popleft()
-            for j, c in residual[i].items():
-                if c > 1e-12 and j not in back:
-                    back[j] = i
-                    queue.append(j)
-        if t not in back:
-            return [i in back for i in unary]
-        path, i = [], t
-        while i != s:
-            path.append((back[i], i))
-            i = back[i]
-        c = min(residual[a][b] for a, b in path)
-        for a, b in path:
-            residual[a][b] -= c
-            residual[b][a] = residual[b].get(a, 0.0) + c
-
-
-def _banded(unary: list[float], near: list[dict[int, float]]) -> list[bool]:
-    """The least-cost labelling of nodes in a row whose edges reach at most two places on: over the states of the
-    last two nodes, the best cost so far and the way there."""
-    cost = lambda i, x: max(0.0, -unary[i]) if x else max(0.0, unary[i])
-    best = {(False, x): cost(0, x) for x in (False, True)}  # (node before, node); before the first: false
-    ways: list[dict] = []
-    for i in range(1, len(unary)):
-        one, two = near[i].get(i - 1, 0.0), near[i].get(i - 2, 0.0)
-        step: dict = {}
-        way: dict = {}
-        for (a, b), total in best.items():
-            for x in (False, True):
-                c = total + cost(i, x) + (one if x != b else 0.0) + (two if i > 1 and x != a else 0.0)
-                if (b, x) not in step or c < step[b, x]:
-                    step[b, x], way[b, x] = c, a
-        best = step
-        ways.append(way)
-    state = min(best, key=best.__getitem__)
-    labels = [state[1]]
-    for way in reversed(ways):
-        labels.append(state[0])
-        state = (way[state], state[0])
-    return labels[::-1]
+    """Maximum flow by augmenting paths, one source node after the other; true is the source's side of the minimum cut.
+
+    A path is looked for from the node outwards, so it ends at the nearest place with room. Where none is left,
+    all that was reached stays on the source's side for good: no later path leads through it, as none leads out. So
+    the time grows with a page's length, its edges being short.
+    """
+    residual = {i: dict(near[i]) for i in unary}
+    room = {i: max(0.0, -x) for i, x in unary.items()}
+    closed: set[int] = set()
+    for s, left in unary.items():
+        while left > 1e-12 and s not in closed:
+            back: dict[int, int] = {s: s}
+            queue, end = deque([s]), None
+            while queue:
+                i = queue.popleft()
+                if room[i] > 1e-12:
+                    end = i
+                    break
+                for j, c in residual[i].items():
+                    if c > 1e-12 and j not in back and j not in closed:
+                        back[j] = i
+                        queue.append(j)
+            if end is None:
+                closed.update(back)
+                break
+            path, i = [], end
+            while i != s:
+                path.append((back[i], i))
+                i = back[i]
+            c = min([left, room[end], *(residual[a][b] for a, b in path)])
+            left, room[end] = left - c, room[end] - c
+            for a, b in path:
+                residual[a][b] -= c
+                residual[b][a] = residual[b].get(a, 0.0) + c
+    return [i in closed for i in unary]
 
 
 def _shape(line: str) -> int:
@@ -363,27 +348,17 @@ def _label(classifier: LineClassifier):
 
 def _pages(rows: DataFrame) -> DataFrame:
     """``page, id, text, title, held``: a row for each id, with the counts of its lines over all pages."""
-    own = (
-        rows.where("id is not null and text is not null")
-        .groupBy(F.xxhash64("id").alias("page"), "id")
-        .agg(F.max(F.struct("text", "title")).alias("v"))
-        .select("page", "id", "v.text", "v.title")
-    )
-    keyed = (
-        rows.where("id is not null and text is not null")
-        .select(F.xxhash64("id").alias("page"), "text")
-        .mapInArrow(_line_keys, "page long, line_no int, line string")
-        .select("page", "line_no", F.xxhash64("line").alias("key"))
-    )
-    lines = materialise(keyed, "page-lines").distinct()  # counted, looked up and sampled: cut into lines once
-    counts = lines.select("page", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    counts = counts.select("key", F.col("n").cast("int").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    held = (
-        lines.withColumn("salt", F.pmod("page", F.lit(SALTS)))
-        .join(counts, ["key", "salt"])
-        .groupBy("page")
-        .agg(F.collect_list(F.struct("line_no", "n")).alias("held"))  # bounded by the lines of one page
-    )
+    # Shuffled by page once: the aggregate and the join both find it so.
+    known = rows.where("id is not null and text is not null").withColumn("page", F.xxhash64("id"))
+    own = known.repartition("page").groupBy("page", "id").agg(F.max(F.struct("text", "title")).alias("v")).select("page", "id", "v.text", "v.title")
+    keyed = known.select("page", "text").mapInArrow(_line_keys, "page long, line_no int, line string").select("page", "line_no", F.xxhash64("line").alias("key"))
+    lines = materialise(keyed, "page-lines")  # counted, looked up and sampled: cut into lines once
+    counts = lines.groupBy("key", "page").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    counts = materialise(counts, "line-counts")
+    least_hot = max(1, lines.count() // HOT_PARTS)
+    hot, seldom = F.broadcast(counts.where(F.col("n") > least_hot)), counts.where(F.col("n") <= least_hot)
+    met = lines.join(hot, "key").unionByName(lines.join(hot, "key", "left_anti").join(seldom, "key"))
+    held = met.groupBy("page").agg(F.collect_set(F.struct("line_no", "n")).alias("held"))  # bounded by the lines of one page
     return own.join(held, "page", "left")
 
 
@@ -396,9 +371,7 @@ def page_boilerplate(rows: DataFrame) -> DataFrame:
     """
     pages = _pages(rows.select("id", "text", "title"))
     n = max(1, rows.count())
-    part = pages.where(F.pmod("page", F.lit(1 << 20)) < F.lit(min(1 << 20, int((1 << 20) * SAMPLE_PAGES * 0.8 / n))))
-    sample = part.select("text", "title", "held").limit(SAMPLE_PAGES).collect()  # the limit is never reached but by chance
-    words = fit_words([(r["text"].split("\n"), {x["line_no"]: x["n"] for x in r["held"] or ()}, _SPACE.sub(" ", r["title"] or "").strip().lower()) for r in sample])
+    words = fit_words(pages.where(F.pmod("page", F.lit(1 << 20)) < F.lit(min(1 << 20, int((1 << 20) * SAMPLE_PAGES / n)))))
     return pages.select("id", "text", "title", "held").mapInArrow(_label(LineClassifier(words)), "id string, line_no int")
 
 
