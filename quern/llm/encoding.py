@@ -108,6 +108,9 @@ class Tables:
                     if seen:
                         heads.setdefault(seen, []).append(wrong)
         self.heads = heads
+        #: Every pattern lies within a run of characters that stand for bytes from 128 on; the others needn't be scanned.
+        high = {c for table in self.bytes_of.values() for c in table}
+        self.run = re.compile("[" + "".join(re.escape(c) for c in sorted(high)) + "]{2,}|\ufffd")
         self.multi: dict[str, dict[str, str]] = {}  # garbled -> {wrong encoding: character}
         for a, b in _REPERTOIRE:
             for c in range(a, b):
@@ -157,6 +160,7 @@ class Tables:
         plain = set("·…–—-’‘“”„«»‹›/×°•\xa0\xad€$%§©®™")
         symbols = {c for c in strange if not c.isalpha()} - plain
         self.weak = strange & plain
+        self.odd_char = re.compile(cls(cyrillic | other | symbols | capital))
         self.odd = ahocorasick.Automaton()
         for c in cyrillic | other | symbols | capital:
             self.odd.add_word(c, c)
@@ -262,7 +266,7 @@ def multi_spans(text: str) -> list[tuple[int, int, dict[str, str] | None]]:
         votes[wrong] += sum(b - a for a, b, _ in spans)
         found.extend((a, b, text[a:b], {wrong: c}) for a, b, c in spans)
 
-    for last, seen in t.automaton.iter(text):
+    for last, seen in (hit for run in t.run.finditer(text) for hit in t.automaton.iter(text, *run.span())):
         start, end = last + 1 - len(seen), last + 1
         if seen in t.heads:
             for wrong, (stop, char) in _ruled(text, start).items():
@@ -411,6 +415,8 @@ def single_spans(text: str) -> list[tuple[int, int, dict[tuple[str, str], str]]]
     """Words garbled one to one: start, end, and the word as each pair of encodings would have it."""
     t = tables()
     spans: list[tuple[int, int, dict]] = []
+    if not t.odd_char.search(text):
+        return spans
     for last, _ in t.odd.iter(text):
         if spans and last < spans[-1][1] or not (hit := t.odd_word.match(text, last)):
             continue
