@@ -1,15 +1,17 @@
 """Mixing sources to target shares.
 
 Every document gets a *rate*, the number of times it is to occur. A naive Bayes classifier, fitted on documents
-labelled by their source, gives each document a soft membership in the target domains. Rates are fitted by
+labelled by their source, gives each document the evidence of its words for each target domain; biases are calibrated so that
+over all documents the expected tokens of a domain are those that its source has. Rates are then fitted by
 projected-gradient least squares, distributed over the documents, with two sets of residuals: the tokens of each
 source against its target, and the *expected* tokens of each domain – by soft membership – against the same.
 The first decide the shares; the second decide which documents of a source carry them: those that look like
-what the mixture lacks. Rates stay between 0 and the source's cap, and become whole numbers by error diffusion
-over tokens, so that the rounding of one document is made up for by the next.
+what the mixture lacks. Steps go on until the squares hardly fall any more; one that raises them is taken back and halved.
+Rates stay between 0 and the source's cap, and become whole numbers by error diffusion over tokens, so that the rounding of
+one document is made up for by the next.
 
-The state between two steps is one number for each source and domain; rates are functions of these and are
-recomputed where they are needed. No document, label or rate is sent to the driver.
+The state between two steps is one number for each source and domain; rates are functions of these, written to the table
+from time to time. No document, label or rate is sent to the driver.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ from quern.session import materialise
 TOKENIZER = os.environ.get("QUERN_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Labelled rows on which the classifier is fitted at most (a sample by hash where there are more).
 SAMPLE_ROWS = 200_000
-#: Hashed features of the classifier; steps of the gradient descent; weight of the expected totals.
-FEATURES, STEPS, SOFT_WEIGHT = 8192, 12, 0.3
+#: Hashed features of the classifier; weight of the expected totals.
+FEATURES, SOFT_WEIGHT = 8192, 0.3
+#: The descent ends when a step lowers the squares by less than this part, or by ``STEPS`` trials; rates are written
+#: every so many steps. Calibration ends when all expected totals are within ``CALIBRATED`` of the real ones, or by ``ROUNDS``.
+TOLERANCE, STEPS, WRITTEN = 0.01, 40, 8
+CALIBRATED, ROUNDS = 0.05, 6
 #: Documents in a group of the rounding.
 ROUNDING_ROWS = 4096
 #: Name of the class of all documents whose source has no target.
@@ -113,99 +119,152 @@ def _memberships(path: str, weights: np.ndarray):
                 tokens.append(len(ids))
                 # The evidence of a text grows with the root of its length, as its words aren't independent.
                 z = by_token[ids].sum(0) / np.sqrt(len(ids)) if ids else np.zeros(weights.shape[1], np.float32)
-                z = np.exp(z - z.max())
-                post.append(z / z.sum())
+                post.append(z - z.max())
             flat = pa.array(np.concatenate(post).astype(np.float32)) if post else pa.array([], pa.float32())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(post) + 1, dtype=np.int32) * weights.shape[1]), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("label"), pa.array(tokens, pa.int64()), lists], names=["doc_id", "source", "label", "n_tokens", "membership"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("label"), pa.array(tokens, pa.int64()), lists], names=["doc_id", "source", "label", "n_tokens", "evidence"])
 
     return run
 
 
 class Fit:
-    """The fitted rates: a function of a document's label, tokens and membership.
+    """The fitted rates: a function of a document's label, tokens and evidence.
 
-    ``start`` holds the rate of each source at the outset; ``steps`` the multipliers of source and domain totals
-    of every step of the descent. At last a source with too many tokens is scaled down by ``scale``, and one with
-    too few moved by ``lift`` of the way to its cap: either meets the target exactly and keeps within the cap.
+    ``bias`` turns evidence into memberships. ``start`` holds the rate of each source at the outset; ``steps`` the
+    multipliers of source and domain totals of every step of the descent since rates were written. At last a source with too
+    many tokens is scaled down by ``scale``, and one with too few moved by ``lift`` of the way to its cap: either meets the
+    target exactly and keeps within the cap.
     """
 
-    def __init__(self, start: np.ndarray, caps: np.ndarray):
+    def __init__(self, start: np.ndarray, caps: np.ndarray, bias: np.ndarray | None = None):
         self.start, self.caps, self.steps = start, caps, []
+        self.bias = np.zeros(len(start)) if bias is None else bias
         self.scale, self.lift = np.ones(len(start)), np.zeros(len(start))
 
-    def rates(self, label: np.ndarray, membership: np.ndarray) -> np.ndarray:
-        rate, cap = self.start[label].copy(), self.caps[label]
+    def memberships(self, evidence: np.ndarray) -> np.ndarray:
+        z = evidence + self.bias
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True)
+
+    def rates(self, label: np.ndarray, membership: np.ndarray, written: np.ndarray | None = None) -> np.ndarray:
+        rate, cap = self.start[label].copy() if written is None else written.copy(), self.caps[label]
         for u, v in self.steps:
             rate = np.clip(rate - (u[label] + membership @ v) * self.start[label], 0, cap)
         room = np.where(np.isfinite(cap), cap - rate, 0.0)
         return np.clip(rate * self.scale[label] + self.lift[label] * room, 0, cap)
 
 
-def _batch_arrays(b: pa.RecordBatch, classes: int):
+def _batch_arrays(b: pa.RecordBatch, fit: Fit):
+    """Labels, tokens, memberships and rates of a batch."""
     label = b.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
     tokens = b.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64)
-    membership = b.column("membership").flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
-    return label, tokens, membership
+    membership = fit.memberships(b.column("evidence").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(fit.start)).astype(np.float64))
+    written = b.column("rate").to_numpy(zero_copy_only=False) if "rate" in b.schema.names else None
+    return label, tokens, membership, fit.rates(label, membership, written)
+
 
+def _totals(fit: Fit):
+    classes = len(fit.start)
 
-def _totals(fit: Fit, classes: int):
     def run(batches):
         hard, soft = np.zeros(classes), np.zeros(classes)
         for b in batches:
-            label, tokens, membership = _batch_arrays(b, classes)
-            mass = fit.rates(label, membership) * tokens
-            hard += np.bincount(label, mass, classes)
-            soft += mass @ membership
+            label, tokens, membership, rate = _batch_arrays(b, fit)
+            hard += np.bincount(label, rate * tokens, classes)
+            soft += (rate * tokens) @ membership
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes, dtype=np.int32)), pa.array(hard), pa.array(soft)], names=["k", "hard", "soft"])
 
     return run
 
 
-def _sum_totals(table: DataFrame, fit: Fit, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = table.mapInArrow(_totals(fit, classes), "k int, hard double, soft double").groupBy("k").agg(F.sum("hard"), F.sum("soft")).collect()
-    hard, soft = np.zeros(classes), np.zeros(classes)
-    for k, h, s in rows:
+def _sum_totals(table: DataFrame, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each source and expected tokens of each domain."""
+    hard, soft = np.zeros(len(fit.start)), np.zeros(len(fit.start))
+    for k, h, s in table.mapInArrow(_totals(fit), "k int, hard double, soft double").groupBy("k").agg(F.sum("hard"), F.sum("soft")).collect():
         hard[k], soft[k] = h, s
     return hard, soft
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, available: np.ndarray, caps: np.ndarray) -> Fit:
+def _written_rates(fit: Fit):
+    def run(batches):
+        for b in batches:
+            rate = pa.array(_batch_arrays(b, fit)[3])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "label", "n_tokens", "evidence")), rate], names=["doc_id", "source", "label", "n_tokens", "evidence", "rate"])
+
+    return run
+
+
+def calibrated(table: DataFrame, available: np.ndarray) -> np.ndarray:
+    """Biases at which the expected tokens of each domain, over all documents, are those of its source."""
+    bias = np.zeros(len(available))
+    there = available > 0
+    for _ in range(ROUNDS if there.any() else 0):
+        _, soft = _sum_totals(table, Fit(np.ones(len(available)), np.full(len(available), np.inf), bias))
+        off = np.log(available[there] / np.maximum(soft[there], 1e-9))
+        if np.abs(off).max() < CALIBRATED:
+            break
+        bias = bias.copy()
+        bias[there] += off
+        bias[~there] = -30.0  # no document stands for a domain that has none
+    return bias
+
+
+def fit_rates(table: DataFrame, targets: np.ndarray, available: np.ndarray, caps: np.ndarray) -> tuple[DataFrame, Fit]:
     """Projected-gradient least squares over the documents of ``table``; ``targets`` are tokens for each class.
 
     The descent starts from the rates that meet the sources' targets evenly – they are feasible, as the total is
-    chosen so – and a step divides each residual by its target, which makes the steps alike for large and small
-    sources.
+    chosen so. A squared residual is divided by its target, and a step by the tokens of a document and its first rate, which makes
+    steps alike for large and small sources and texts. Returns the table, with the rates written last, and the fit.
     """
     classes = len(targets)
     start = np.divide(targets, available, out=np.zeros(classes), where=available > 0)
-    fit = Fit(start, caps)
-    wanted = np.maximum(targets, 1.0)
-    for step in range(STEPS):
-        hard, soft = _sum_totals(table, fit, classes)
+    fit = Fit(start, caps, calibrated(table, available))
+    aims = targets > 0
+    wanted = np.where(aims, targets, np.inf)
+
+    def squares(hard, soft):
         u, v = (hard - targets) / wanted, (soft - targets) / wanted
-        u, v = np.where(targets > 0, u, 0.0), np.where(targets > 0, v, 1.0)
-        damp = 0.5 / (1 + 0.1 * step)
-        fit.steps.append((damp * np.clip(u, -1, 1), damp * SOFT_WEIGHT * np.clip(v, -1, 1)))
+        return u, v, float((wanted[aims] * (u[aims] ** 2 + SOFT_WEIGHT * v[aims] ** 2)).sum())
+
+    if not aims.any():
+        return table, fit
+    u, v, height = squares(*_sum_totals(table, fit))
+    pace = 0.5
+    for _ in range(STEPS):
+        fit.steps.append((pace * u, pace * SOFT_WEIGHT * v))
+        new_u, new_v, new_height = squares(*_sum_totals(table, fit))
+        if new_height >= height:
+            fit.steps.pop()
+            pace /= 2
+            if pace < 1e-3:
+                break
+            continue
+        done = height - new_height < TOLERANCE * height
+        u, v, height = new_u, new_v, new_height
+        if done:
+            break
+        if len(fit.steps) >= WRITTEN:
+            columns = "doc_id long, source string, label int, n_tokens long, evidence array<float>, rate double"
+            table = materialise(table.mapInArrow(_written_rates(fit), columns), "rates")
+            fit.steps = []
     # The sources' totals hold exactly, whatever the soft residuals ask for.
-    hard, _ = _sum_totals(table, fit, classes)
+    hard, _ = _sum_totals(table, fit)
     for k in range(classes):
         room = caps[k] * available[k] - hard[k] if available[k] else 0.0
         if hard[k] < targets[k] and np.isfinite(room) and room > 0:
             fit.lift[k] = min(1.0, (targets[k] - hard[k]) / room)
         elif hard[k] > 0:
             fit.scale[k] = targets[k] / hard[k]
-    return fit
+    return table, fit
 
 
-def _round_rates(fit: Fit, classes: int):
+def _round_rates(fit: Fit):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("place", "ascending"), ("doc_id", "ascending")])
         b = table.combine_chunks().to_batches()[0] if table.num_rows else None
         if b is None:
             return pa.table({"doc_id": pa.array([], pa.int64()), "source": pa.array([], pa.string()), "n_tokens": pa.array([], pa.int64()), "repeats": pa.array([], pa.int32())})
-        label, tokens, membership = _batch_arrays(b, classes)
-        rate = fit.rates(label, membership)
+        label, tokens, _, rate = _batch_arrays(b, fit)
         cap = fit.caps[label]
         whole = np.floor(rate + 1e-9)
         repeats = whole.astype(np.int64)
@@ -225,8 +284,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     """``(rows, plan)``: how often each document occurs, and what was aimed at.
 
     ``rows``: ``doc_id, source, n_tokens, repeats`` of the documents taken at least once. ``plan``: for each target
-    ``(source, target_share, share, cap, tokens available, tokens wanted)``, where ``share`` is the target among
-    the sources that have tokens: a source without documents can't contribute, and the others share its part.
+    ``(source, target_share, share, cap, tokens available, tokens wanted, expected share)``, where ``expected`` is by soft
+    membership and ``share`` is the target among the sources that have tokens: a source without documents can't contribute, and the others share its part.
     The total is ``total_tokens`` or, by default, the tokens of all targeted sources, and never more than the
     caps allow: then every share is reached. Documents with a null id, source or text, and those of sources
     without a target, are left out; an empty text has no tokens and isn't taken. Repeated ids are documents of
@@ -247,7 +306,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     weights = fit_classifier(sample.select("label", "text"), classes, tokenizer_path)
 
     listed = labelled.where(F.col("label") < classes - 1).select("doc_id", "source", "label", "text")
-    table = materialise(listed.mapInArrow(_memberships(tokenizer_path, weights), "doc_id long, source string, label int, n_tokens long, membership array<float>"), "memberships").where("n_tokens > 0")
+    table = materialise(listed.mapInArrow(_memberships(tokenizer_path, weights), "doc_id long, source string, label int, n_tokens long, evidence array<float>"), "memberships").where("n_tokens > 0")
 
     available, rows = np.zeros(classes), np.zeros(classes, np.int64)
     for k, t, m in table.groupBy("label").agg(F.sum("n_tokens"), F.count("*")).collect():
@@ -258,26 +317,29 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     most = min((available[k] * caps[k] / share[k] for k in range(classes) if share[k] > 0), default=0.0)
     total = min(most, float(available[:-1].sum() if total_tokens is None else total_tokens))
     wanted = share * total
-    fit = fit_rates(table, wanted, available, caps)
+    table, fit = fit_rates(table, wanted, available, caps)
+    _, soft = _sum_totals(table, fit)
 
     groups = F.array(*[F.lit(int(max(1, -(-m // ROUNDING_ROWS)))) for m in rows])
     placed = table.withColumn("place", F.xxhash64("doc_id")).withColumn("part", F.pmod(F.col("place"), F.element_at(groups, F.col("label") + 1)))
-    mixed = placed.groupBy("label", "part").applyInArrow(_round_rates(fit, classes), "doc_id long, source string, n_tokens long, repeats int")
-    plan = [(s, t, float(share[k]), c, int(available[k]), float(wanted[k])) for k, (s, t, c) in enumerate(goals)]
+    mixed = placed.groupBy("label", "part").applyInArrow(_round_rates(fit), "doc_id long, source string, n_tokens long, repeats int")
+    plan = [(s, t, float(share[k]), c, int(available[k]), float(wanted[k]), float(soft[k] / max(soft.sum(), 1e-9))) for k, (s, t, c) in enumerate(goals)]
     return mixed, plan
 
 
 def mixture_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     """The shares really reached, a row for each target: ``source, target_share, share_aimed_at, max_repeats,
-    tokens_available, tokens_mixed, share_reached, most_repeats``."""
+    tokens_available, tokens_mixed, share_reached, share_expected, most_repeats``; the share expected is that of the domain by
+    soft membership, before rates are made whole."""
     mixed, plan = mixture(documents, targets, **options)
     spark = documents.sparkSession
-    aims = spark.createDataFrame(plan, "source string, target_share double, share_aimed_at double, max_repeats int, tokens_available long, tokens_wanted double")
+    aims = spark.createDataFrame(plan, "source string, target_share double, share_aimed_at double, max_repeats int, tokens_available long, tokens_wanted double, share_expected double")
     sums = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_mixed"), F.max("repeats").alias("most_repeats"))
     total = sums.agg(F.sum("tokens_mixed").alias("total"))
     return aims.join(sums, "source", "left").crossJoin(F.broadcast(total)).select(
         "source", "target_share", "share_aimed_at", "max_repeats", "tokens_available",
         F.coalesce("tokens_mixed", F.lit(0)).alias("tokens_mixed"),
         F.coalesce(F.col("tokens_mixed") / F.col("total"), F.lit(0.0)).alias("share_reached"),
+        "share_expected",
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
     )

@@ -564,3 +564,18 @@ def test_other_pairs_of_encodings():
     assert encoding.restore("café naïve Größe ‘x’s".encode().decode("gbk"))[0] == "café naïve Größe ‘x’s"
     for right in ("模型很好，iPhone模型", "3D模型", "ПРИВЕТ МИР", "iPHONE", "ÄÖÜäöü ßÀÉÈÊ", "«Élève» – ‘été’…", "not́e", "3 × 4 × 5", "ÀàÂâÇçÉéÈèÊê"):
         assert encoding.restore(right) == (right, 0, 0), right
+
+
+def test_the_squares_fall_and_expected_shares_come_near(spark):
+    """Documents of one source are of two kinds; those that look like what the mixture lacks are taken more often."""
+    g = random.Random(5)
+    kinds = {"a": "apple pear plum cherry", "b": "iron zinc lead copper"}
+    text = lambda k: " ".join(g.choice(kinds[k].split()) for _ in range(40))
+    docs = [(i, "a", text("a" if i % 3 else "b")) for i in range(1500)] + [(2000 + i, "b", text("b")) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.3, 4), ("b", 0.7, 2)], "source string, target_share double, max_repeats int")
+    mixed, plan = mixing.mixture(df, targets)
+    kind = {d: "b" if "zinc" in t or "iron" in t else "a" for d, _, t in docs}
+    taken = {k: sum(r["repeats"] for r in mixed.where("source = 'a'").collect() if kind[r["doc_id"]] == k) for k in "ab"}
+    assert taken["a"] / 1000 < 0.8 * taken["b"] / 500 or taken["b"] / 500 < 0.8 * taken["a"] / 1000
+    assert sum(p[-1] for p in plan) == pytest.approx(1, abs=0.01)
