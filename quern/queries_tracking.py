@@ -14,7 +14,7 @@ LISTING_SNAPSHOT = 5
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    registry = snapshot_changes(read_table(spark, d, "ingestion_registry")).withColumn("tbl", F.lit("ingestion_registry"))
+    registry = snapshot_changes(read_table(spark, d, "ingestion_registry")).drop("old_value", "new_value").withColumn("tbl", F.lit("ingestion_registry"))
     vectors = listing_changes(read_table(spark, d, "vectors_prior"), read_table(spark, d, "vectors"), LISTING_SNAPSHOT).withColumn("tbl", F.lit("vectors"))
     return registry.unionByName(vectors).select("tbl", "snapshot_no", "source_id", "item_key", "change_type")
 
@@ -23,6 +23,12 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("tbl", "snapshot_no", "change_type").agg(F.count("*").alias("n"))
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """The digests before and after, of the records that changed."""
+    changes = snapshot_changes(read_table(spark, d, "ingestion_registry")).where("change_type = 'changed'")
+    return changes.select("snapshot_no", "source_id", "item_key", F.col("old_value").alias("old_digest"), F.col("new_value").alias("new_digest"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(read_table(spark, d, "ingestion_registry"), read_table(spark, d, "vectors")).select("snapshot_no", "chunk_id")
 
@@ -81,11 +87,15 @@ checked AS (
   FROM refs r LEFT JOIN par p ON p.id = r.chunk_id)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_values": p2_values, "p6_found": p6_found, "p6_report": p6_report}
 
 ORACLE = {
     "p2_found": _P2 + "SELECT tbl, snapshot_no, source_id, item_key, change_type FROM found",
     "p2_counts": _P2 + "SELECT tbl, snapshot_no, change_type, count(*) AS n FROM found GROUP BY ALL",
+    "p2_values": _P2
+    + """SELECT p.snapshot_no, n.source_id, n.item_key, o.digest AS old_digest, n.digest AS new_digest
+      FROM pairs p JOIN cur n ON n.source_id = p.source_id AND n.snapshot_no = p.snapshot_no
+      JOIN cur o ON o.source_id = p.source_id AND o.snapshot_no = p.prev AND o.item_key = n.item_key WHERE n.digest <> o.digest""",
     "p6_found": _P6 + "SELECT snapshot_no, chunk_id FROM checked WHERE reason IS NOT NULL",
     "p6_report": _P6
     + """SELECT 'ingestion_registry' AS tbl, snapshot_no, count(*) AS n_references,

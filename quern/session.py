@@ -48,6 +48,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared scratch space, which goes when the application ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _CREATED[path] = (spark,)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
