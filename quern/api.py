@@ -95,8 +95,8 @@ class Engine:
         """The relevant hits of a question, best first."""
         k = k or self.settings["top_k"]
         asked = self.spark.createDataFrame([(0, question)], "query_id long, query string")
-        chunks = self.chunks().select("id", "source_id", "source_name", "item_key", "text", F.lit(None).cast("string").alias("title"), F.col("item_key").alias("section"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("timestamp").alias("time"))
-        dense = Q.text_scores(asked, chunks, max(40, Q.pool_size(k)))
+        chunks = self.chunks().select("id", "source_id", "source_name", "item_key", "text", F.lit(None).cast("string").alias("title"), F.col("item_key").alias("section"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("timestamp").alias("time"), "embed_provider", "embedding")
+        dense = Q.dense_scores(asked, chunks, self.embedder, max(40, Q.pool_size(k)))
         hits = Q.rerank(Q.pool(Q.hybrid_candidates(asked, chunks, dense), k), asked, chunks, k)
         return Q.relevant(hits, asked, k)
 

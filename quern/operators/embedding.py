@@ -58,6 +58,10 @@ class LocalHashEmbedder(Embedder):
         self.dimensions = dimensions
 
     def embed(self, texts: list[str]) -> np.ndarray:
+        return self.exact(texts).astype(np.float32)
+
+    def exact(self, texts: list[str]) -> np.ndarray:
+        """The vectors in float64."""
         out = np.zeros((len(texts), self.dimensions))
         places: dict[str, tuple[int, float]] = {}
         for row, text in zip(out, texts):
@@ -68,7 +72,7 @@ class LocalHashEmbedder(Embedder):
                 bucket, sign = places[token]
                 row[bucket] += sign / i**0.5
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(lengths > 0, lengths, 1)).astype(np.float32)
+        return out / np.where(lengths > 0, lengths, 1)
 
 
 class RemoteEmbedder(Embedder):
@@ -86,6 +90,13 @@ class RemoteEmbedder(Embedder):
         return False
 
 
+def embed_query(embedder: Embedder, text: str) -> np.ndarray:
+    """The vector of a question in the embedder's space, of unit length; zero for a blank one."""
+    v = np.asarray(embedder.embed([(text or "").strip()])[0], np.float64)
+    length = np.linalg.norm(v)
+    return v / length if length > 0 else v
+
+
 def embed_column(embedder: Embedder):
     """An Arrow UDF from texts to vectors."""
 

@@ -12,7 +12,7 @@ from quern.operators import retrieval as Q
 from quern.operators.sessions import sessions
 from quern.queries_delta import _U, NEW, PROVIDER, _registry, _unique, _vectors
 from quern.queries_text import filter_stems_sql, stems_sql, terms_sql
-from quern.session import read_table
+from quern.session import materialise, read_table
 from quern.sources.readers import csv_sections as sections_of_rows
 from quern.streaming.ingest import deduplicated, run_available, session_stream, windowed_counts
 
@@ -23,9 +23,13 @@ def _queries(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(s, d):
+    """A row for each id. Written once: it is read for each kind of score, and for the texts of the pools."""
     m = lambda k: F.element_at("metadata", F.lit(k))
-    return _unique(s, d).select(
-        "id", "source_id", "source_name", "item_key", "text", m("title").alias("title"), m("section_title").alias("section"), Q.hit_time().alias("ts"), Q.hit_time().alias("time")
+    return materialise(
+        _unique(s, d).select(
+            "id", "source_id", "source_name", "item_key", "text", m("title").alias("title"), m("section_title").alias("section"), Q.hit_time().alias("ts"), Q.hit_time().alias("time")
+        ),
+        "chunks",
     )
 
 
@@ -38,7 +42,7 @@ def retrieve_dense_topk(s, d):
 def retrieve_in_space(s, d):
     rows = read_table(s, d, "embeddings").where("embedding is not null")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("space"), F.col("embedding").alias("vector"))
-    return Q.scored_by_expression(asked, rows.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("space"), F.col("embedding").alias("vector")), 5).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+    return Q.vector_topk(asked, rows.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("space"), F.col("embedding").alias("vector")), 5).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
 
 
 def retrieve_dense_text(s, d):
@@ -48,7 +52,7 @@ def retrieve_dense_text(s, d):
 def _pool(s, d):
     asked, chunks = _queries(s, d), _chunks(s, d)
     dense = Q.text_scores(asked, chunks, max(40, Q.pool_size()))
-    return asked, Q.pool(Q.hybrid_candidates(asked, chunks, dense))
+    return asked, chunks, Q.pool(Q.hybrid_candidates(asked, chunks, dense))
 
 
 def hybrid_score(s, d):
@@ -57,12 +61,12 @@ def hybrid_score(s, d):
 
 
 def retrieve_capped(s, d):
-    return _pool(s, d)[1].select("query_id", "id", "pos", "score")
+    return _pool(s, d)[2].select("query_id", "id", "pos", "score")
 
 
 def _reranked(s, d):
-    asked, pooled = _pool(s, d)
-    return asked, Q.rerank(pooled, asked, _chunks(s, d))
+    asked, chunks, pooled = _pool(s, d)
+    return asked, Q.rerank(pooled, asked, chunks)
 
 
 def rerank(s, d):
@@ -300,6 +304,54 @@ v3 AS (SELECT *, sum(keep::INT) OVER (PARTITION BY query_id) AS kept FROM v2),
 rv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM v3 WHERE keep OR (kept = 0 AND rank = 1))
 """
 )
+_SINGULAR = "CASE WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END"
+_ASKED_FOR = lambda words: rf"regexp_matches(q, '(^|[^a-z0-9_])({words})($|[^a-z0-9_])')"
+_LABEL = A._LABEL.replace("\t", "\\t")
+_NAME = rf"^(({A.TITLES})[.]?[ \t]+[A-Za-z .''’]+?)([ \t,:(–-].*)$"
+_TITLED = """({t} <> '' AND {n} <> '' AND (contains({n}, {t}) OR contains({t}, {n}) OR {t} = array_to_string(list_transform({p}, lambda w: left(w, 1)), '')
+  OR {t} = array_to_string(list_transform(list_filter({p}, lambda w: w NOT IN {small}), lambda w: left(w, 1)), '') OR (length({t}) >= 3 AND len(list_filter({p}, lambda w: starts_with(w, {t}))) > 0)))"""
+_titled = lambda name: _TITLED.format(t="s", n=f"lower(trim({name}))", p=f"regexp_extract_all(lower(trim({name})), '[a-z]+')", small=A.SMALL_WORDS)
+_MARKS = A.MARKS.replace("\t", "\\t")
+_SYNTHESIS = (
+    _RELEVANT
+    + rf""", a0 AS (SELECT query_id, lower(query) AS q, regexp_extract_all(lower(query), '[a-z0-9_-]+') AS f FROM ask),
+a1 AS (SELECT *, list_filter(f, lambda w: NOT regexp_full_match(w, '[0-9]+')) AS spoken FROM a0),
+a2 AS (SELECT *, list_filter(spoken, lambda w: length(w) >= 2 AND w NOT IN {A.FILLERS}) AS topical,
+  regexp_extract(q, '(^|[^a-z0-9_])([0-9]{{1,4}}) *(line|point|bullet|sentence|item|entry|detail)s?($|[^a-z0-9_])', 2) AS number,
+  {_ASKED_FOR('one +line|single +(sentence|line|point)|in +(a +word|short|nutshell)')} AS one, {_ASKED_FOR('brief|briefly|summary|concise|overview')} AS brief,
+  {_ASKED_FOR('all|every|entire|complete|whole|full|roster')} AS everything FROM a1),
+qu AS (SELECT query_id, one, list_transform(CASE WHEN len(topical) > 0 THEN topical ELSE spoken END, lambda w: {_SINGULAR}) AS stems,
+  CASE WHEN number <> '' THEN number::INT WHEN one THEN 1 WHEN brief THEN {A.BRIEF} WHEN everything THEN {A.COMPLETE} ELSE {A.USUAL} END AS n_lines,
+  CASE WHEN everything AND NOT brief AND NOT one THEN {A.SOURCES} ELSE 1 END AS n_sources FROM a2),
+ht AS (SELECT rv.query_id, row_number() OVER (PARTITION BY rv.query_id ORDER BY rank) AS nth, text, ts AS time, coalesce(nullif(source_name, ''), 'Records') AS source, coalesce(section, '') AS sect, qu.stems
+  FROM rv JOIN qu ON qu.query_id = rv.query_id WHERE place <= 6),
+l0 AS (SELECT *, len(list_filter(stems, lambda s: {_titled('source')} OR {_titled('sect')})) > 0 AS is_topic,
+  list_filter(list_transform(string_split_regex(text, '\r\n|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM ht WHERE nth <= {A.HITS}),
+l1 AS (SELECT * EXCLUDE (ls), flatten(list_transform(ls, lambda x: CASE WHEN length(x) <= {A.LONG_LINE} OR regexp_matches(x, '^[-*•0-9|]') THEN [x]
+  ELSE list_filter(list_transform(string_split(regexp_replace(regexp_replace(x, '(^|[^A-Za-z.])({A.ABBREVIATIONS})[.][ \t]+', '\1\2.␟', 'g'), '([.!?])[ \t]+', '\1{A.CUT}', 'g'), '{A.CUT}'), lambda y: trim(replace(y, '␟', ' '))), lambda y: length(y) > 15) END)) AS ls FROM l0),
+l2 AS (SELECT * EXCLUDE (ls), unnest(ls) AS line, unnest(range(len(ls))) AS place FROM l1),
+l3 AS (SELECT query_id, source, time, line, nth * 1000000 + place AS pos, is_topic, lower(line) AS low, trim(regexp_replace(line, '{_MARKS}', '')) AS bare,
+  regexp_matches(line, '(^|[^A-Za-z])({A.TITLES})[.]?[ \t]+[A-Z]') OR regexp_matches(line, '^{_LABEL}') AS is_named, nth <= {A.TOP} AS is_top, regexp_matches(line, '[0-9]') AS has_digit,
+  regexp_matches(line, '^[-*•0-9.]') AS is_item, regexp_replace(lower(line), '[^a-z0-9]', '', 'g') AS letters, len(list_filter(stems, lambda s: contains(lower(line), s) OR (length(s) >= 4 AND contains(lower(line), left(s, 4))))) AS n_stems FROM l2),
+l4 AS (SELECT *, 3.0 * n_stems + 3.0 * is_named::INT + 3.0 * is_topic::INT + 2.0 * is_top::INT + has_digit::INT + is_item::INT AS score FROM l3
+  WHERE length(bare) >= {A.LEAST_CHARS} AND (len(string_split_regex(bare, '[ \t]+')) >= {A.LEAST_WORDS} OR has_digit OR is_named) AND (n_stems > 0 OR is_topic OR is_top)),
+l5 AS (SELECT query_id, list([{{'pos': pos, 'letters': letters, 'line': line, 'source': source, 'time': time, 'score': score}}] ORDER BY pos) AS xs FROM l4 GROUP BY 1),
+l6 AS (SELECT query_id, unnest(list_reduce(xs, lambda a, y: CASE WHEN len(list_filter(a, lambda z: z.letters = y[1].letters
+  OR (length(y[1].letters) > {A.SAME_CHARS} AND (contains(z.letters, y[1].letters) OR contains(y[1].letters, z.letters))))) > 0 THEN a ELSE a || y END)) AS x FROM l5),
+l7 AS (SELECT query_id, x.source AS source, x.score AS score, x.time AS time, x.pos AS pos, CASE WHEN len(string_split(x.line, '(')) > len(string_split(x.line, ')')) THEN x.line || ')' ELSE x.line END AS line FROM l6),
+l8 AS (SELECT * REPLACE (CASE WHEN len(string_split(line, '[')) > len(string_split(line, ']')) THEN line || ']' ELSE line END AS line) FROM l7),
+l9 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, time DESC NULLS LAST, pos) AS ord, coalesce(nullif(trim(regexp_replace(trim(line), '(?i)^(\Q' || replace(source, '\E', '') || '\E[ \t]*)+', '')), ''), trim(line)) AS said FROM l8),
+m0 AS (SELECT query_id, source, said, min(ord) AS ord FROM l9 GROUP BY ALL),
+m1 AS (SELECT *, min(ord) OVER (PARTITION BY query_id, source) AS first, row_number() OVER (PARTITION BY query_id, source ORDER BY ord) AS nth_line FROM m0),
+m2 AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS nth_source FROM m1),
+m3 AS (SELECT m2.*, one, trim(regexp_replace(trim(said), '{_MARKS}', '')) AS item FROM m2 JOIN qu USING (query_id) WHERE nth_source <= n_sources AND nth_line <= CASE WHEN one THEN 1 ELSE n_lines END),
+m4 AS (SELECT *, trim(regexp_extract(item, '{_NAME}', 3)) AS rest, trim(regexp_extract(item, '^{_LABEL}[ \t]*(.+)$', 1)) AS label FROM m3),
+m5 AS (SELECT *, CASE WHEN item = '' THEN '' WHEN contains(item, '**') THEN '* ' || item
+  WHEN regexp_matches(item, '{_NAME}') THEN '* **' || trim(regexp_extract(item, '{_NAME}', 1)) || '** ' || CASE WHEN regexp_matches(rest, '^[,:]') THEN ' -' || substr(rest, 2) ELSE rest END
+  WHEN label <> '' AND NOT regexp_matches(lower(label), '^({"|".join(A.CLAUSES)})') THEN '* **' || label || '**: ' || trim(regexp_extract(item, '^{_LABEL}[ \t]*(.+)$', 2)) ELSE '* ' || item END AS md FROM m4),
+m6 AS (SELECT query_id, nth_source, CASE WHEN any_value(one) THEN '**' || source || '**: ' || regexp_replace(arg_min(md, nth_line), '^[* ]+', '') ELSE '**' || source || ':**' || chr(10) || string_agg(md, chr(10) ORDER BY nth_line) END AS block FROM m5 GROUP BY query_id, source, nth_source)
+"""
+)
 _CASES = " ".join(
     "WHEN " + " OR ".join(f"contains(b, '{w}')" for w in words) + f" THEN '{name}'" for name, words in R.CATEGORIES
 )
@@ -328,6 +380,8 @@ ORACLE = {
     "rerank": f"WITH {_RERANK} SELECT query_id, id, rank, rerank_score FROM re",
     "relevance_filter": f"WITH {_RELEVANT} SELECT query_id, id, place FROM rv WHERE place <= 6",
     "citations": f"WITH {_RELEVANT} SELECT query_id, source_name, coalesce(section, '') AS section, round(max(rerank_score), 3) AS score FROM rv WHERE place <= 6 GROUP BY 1, 2, 3",
+    "synthesis": f"""WITH {_SYNTHESIS} SELECT h.query_id, coalesce(b.answer, '') AS answer FROM (SELECT DISTINCT query_id FROM ht) h
+      LEFT JOIN (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY nth_source) AS answer FROM m6 GROUP BY 1) b USING (query_id)""",
     "vocabulary": "SELECT DISTINCT unnest(regexp_extract_all(lower(x), '[a-z]{4,}')) AS word FROM (SELECT text AS x FROM vectors UNION ALL SELECT source_name FROM vectors)",
     "space_stats": f"""SELECT count(*) AS chunks, count(DISTINCT source_id) AS sources, count(DISTINCT embed_provider) AS spaces, sum(coalesce(tokens, 0))::BIGINT AS tokens,
       count(*) FILTER (embed_provider IS DISTINCT FROM '{PROVIDER}') AS stale FROM vectors""",
