@@ -28,6 +28,8 @@ from quern.session import materialise
 SAMPLE_PAGES = 3200
 #: A line is hot from this part of all lines on; so there are at most so many hot lines.
 HOT_PARTS = 10_000
+#: Lines that a task labels, about.
+TASK_LINES = 20_000
 
 # Phrases that stand alone on a line of a page's surroundings, in the languages of the collection.
 _LABELS = {
@@ -348,17 +350,19 @@ def _label(classifier: LineClassifier):
 
 def _pages(rows: DataFrame) -> DataFrame:
     """``page, id, text, title, held``: a row for each id, with the counts of its lines over all pages."""
-    # Shuffled by page once: the aggregate and the join both find it so.
     known = rows.where("id is not null and text is not null").withColumn("page", F.xxhash64("id"))
-    own = known.repartition("page").groupBy("page", "id").agg(F.max(F.struct("text", "title")).alias("v")).select("page", "id", "v.text", "v.title")
     keyed = known.select("page", "text").mapInArrow(_line_keys, "page long, line_no int, line string").select("page", "line_no", F.xxhash64("line").alias("key"))
     lines = materialise(keyed, "page-lines")  # counted, looked up and sampled: cut into lines once
+    n_lines, parts = lines.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = lines.groupBy("key", "page").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 1")
     counts = materialise(counts, "line-counts")
-    least_hot = max(1, lines.count() // HOT_PARTS)
+    least_hot = max(1, n_lines // HOT_PARTS)
     hot, seldom = F.broadcast(counts.where(F.col("n") > least_hot)), counts.where(F.col("n") <= least_hot)
     met = lines.join(hot, "key").unionByName(lines.join(hot, "key", "left_anti").join(seldom, "key"))
-    held = met.groupBy("page").agg(F.collect_set(F.struct("line_no", "n")).alias("held"))  # bounded by the lines of one page
+    # Shuffled by page once, into as many parts as there are tasks' worth of lines: labelling costs time, not bytes.
+    n = max(parts, min(n_lines // TASK_LINES, 100 * parts))
+    own = known.repartition(n, "page").groupBy("page", "id").agg(F.max(F.struct("text", "title")).alias("v")).select("page", "id", "v.text", "v.title")
+    held = met.repartition(n, "page").groupBy("page").agg(F.collect_set(F.struct("line_no", "n")).alias("held"))  # bounded by the lines of one page
     return own.join(held, "page", "left")
 
 
