@@ -12,16 +12,29 @@ from quern.operators import store as S
 from quern.operators.reports import regrouped_text
 from quern.plans import slices as P
 from quern.queries_text import WS, bare
-from quern.session import read_table
+from quern.session import read_table, scratch_path
 
 PROVIDER = "gemini:text-alpha-2"
-#: The snapshots compared, and the time of the earlier one.
-OLD, NEW, THEN = 4, 5, "2025-03-24 03:00:00"
+#: The snapshots compared: the last two there are, by their place from the end.
+OLD, NEW = 1, 0
 NOW = "2025-04-01 00:00:00"
 
 
+def _last_two(s: SparkSession, d: str) -> list:
+    """Number and time of the last two snapshots, the newest first."""
+    times = read_table(s, d, "ingestion_registry").where("snapshot_no is not null").groupBy("snapshot_no").agg(F.max("snapshot_at").cast("timestamp_ntz").alias("at"))
+    return times.orderBy(F.desc("snapshot_no")).limit(2).collect()
+
+
+def _then(s: SparkSession, d: str):
+    """The time of the earlier snapshot; null if there is only one."""
+    two = _last_two(s, d)
+    return F.lit(str(two[OLD]["at"]) if len(two) > OLD else None).cast("timestamp")
+
+
 def _registry(s: SparkSession, d: str, n: int) -> DataFrame:
-    rows = read_table(s, d, "ingestion_registry").where(F.col("snapshot_no") == n)
+    two = _last_two(s, d)
+    rows = read_table(s, d, "ingestion_registry").where(F.col("snapshot_no") == (two[n]["snapshot_no"] if len(two) > n else None))
     return S.latest(rows, ["source_id", "item_key"], [F.desc("delivered_at"), F.desc_nulls_last("content_hash"), F.desc_nulls_last("status")])
 
 
@@ -29,8 +42,8 @@ def _vectors(s, d):
     return read_table(s, d, "vectors")
 
 
-def _earlier(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("created_at") < F.lit(THEN).cast("timestamp"))
+def _earlier(s, d, rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("created_at") < _then(s, d))
 
 
 def _unique(s, d):
@@ -76,8 +89,8 @@ def crawl_state_merge(s, d):
 
 
 def knowledge_upsert(s, d):
-    old = regrouped_text(_earlier(_vectors(s, d)))
-    then = F.lit(THEN).cast("timestamp")
+    old = regrouped_text(_earlier(s, d, _vectors(s, d)))
+    then = _then(s, d)
     bare_text = F.regexp_replace("text", rf"^{WS}+|{WS}+$", "")
     stored = old.select("source_id", "item_key", F.col("item_key").alias("title"), bare_text.alias("text"), F.md5(bare_text).alias("hash"), then.alias("first_seen"), then.alias("last_seen"), then.alias("updated"))
     incoming = regrouped_text(_vectors(s, d)).withColumn("title", F.lit(None).cast("string"))
@@ -118,8 +131,8 @@ def unique_chunks(s, d):
 
 def append_anti_join(s, d):
     rows = _unique(s, d)
-    new = rows.where(F.col("created_at") >= F.lit(THEN).cast("timestamp"))
-    return S.appendable(_earlier(rows), new, [F.col("id")]).select("id")
+    new = rows.where(F.col("created_at") >= _then(s, d))
+    return S.appendable(_earlier(s, d, rows), new, [F.col("id")]).select("id")
 
 
 def index_merge(s, d):
@@ -141,7 +154,10 @@ def pending_reembed(s, d):
 
 
 def source_deleted(s, d):
-    return _vectors(s, d).where(F.col("source_id") != "website").select("id").distinct()
+    store = S.VersionedStore(s, scratch_path(s, "deleted"))
+    store.write(_vectors(s, d).select("id", "source_id"))
+    store.delete(F.col("source_id") == "website")
+    return store.read().select("id").distinct()
 
 
 def _sizes(s, d):
@@ -168,17 +184,17 @@ def budget_prefix(s, d):
 
 def cache_misses(s, d):
     texts = _vectors(s, d).select(F.weekofyear("created_at").alias("slice"), F.sha1("text").alias("fp"), F.length("text").cast("long").alias("n_tokens"))
-    cache = _earlier(_vectors(s, d)).where("tokens is not null").select(F.sha1("text").alias("fp"))
+    cache = _earlier(s, d, _vectors(s, d)).where("tokens is not null").select(F.sha1("text").alias("fp"))
     return P.first_misses(texts, cache)
 
 
 def cache_hit_rate(s, d):
-    cache = _earlier(_vectors(s, d)).select(F.lit(PROVIDER).alias("space"), F.sha1("text").alias("fp")).distinct().withColumn("vector", F.lit(1))
+    cache = _earlier(s, d, _vectors(s, d)).select(F.lit(PROVIDER).alias("space"), F.sha1("text").alias("fp")).distinct().withColumn("vector", F.lit(1))
     return E.hit_rate(E.cache_lookup(_vectors(s, d).select("text"), cache, PROVIDER))
 
 
 def cache_stored(s, d):
-    old = _earlier(_vectors(s, d)).select(F.lit(PROVIDER).alias("space"), F.sha1("text").alias("fp")).distinct()
+    old = _earlier(s, d, _vectors(s, d)).select(F.lit(PROVIDER).alias("space"), F.sha1("text").alias("fp")).distinct()
     return E.cache_store(old, _vectors(s, d).select(F.lit(PROVIDER).alias("space"), F.sha1("text").alias("fp")), 1_000_000)
 
 
@@ -197,9 +213,18 @@ def duplicate_digests(s, d):
     return rows.withColumn("n", F.row_number().over(w)).where("n > 1").select("id", "source_id", "n")
 
 
+def duplicate_documents(s, d):
+    """Documents whose normalised text an earlier one has."""
+    rows = read_table(s, d, "documents").select("doc_id", dedupe_key(F.col("text")).alias("digest"))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))).where("n > 1").select("doc_id", "n")
+
+
 _REG = """(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, item_key ORDER BY delivered_at DESC, content_hash DESC NULLS LAST, status DESC NULLS LAST) AS rn
            FROM ingestion_registry WHERE snapshot_no = {n}) WHERE rn = 1)"""
-_O, _N = _REG.format(n=OLD), _REG.format(n=NEW)
+_LAST = "(SELECT max(snapshot_no) FROM ingestion_registry)"
+_BEFORE = f"(SELECT max(snapshot_no) FROM ingestion_registry WHERE snapshot_no < {_LAST})"
+_O, _N = _REG.format(n=_BEFORE), _REG.format(n=_LAST)
+_THEN = f"(SELECT max(snapshot_at)::TIMESTAMP FROM ingestion_registry WHERE snapshot_no = {_BEFORE})"
 _U = """u AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, embed_provider DESC NULLS LAST, tokens DESC NULLS LAST,
          item_key DESC NULLS LAST, content_hash DESC NULLS LAST, source_name DESC NULLS LAST) AS rn FROM vectors) WHERE rn = 1)"""
 _DECIDE = f"""o AS {_O}, n AS {_N},
@@ -242,7 +267,7 @@ QUERIES = {
     "append_anti_join": append_anti_join, "index_merge": index_merge, "latest_per_id": latest_per_id, "remap_sources": remap_sources, "pending_reembed": pending_reembed,
     "source_deleted": source_deleted, "commit_slices": commit_slices, "commit_slices_capped": commit_slices_capped, "request_batches": request_batches,
     "budget_prefix": budget_prefix, "cache_misses": cache_misses, "cache_hit_rate": cache_hit_rate, "cache_stored": cache_stored, "token_ledger": token_ledger,
-    "budget_status": budget_status, "duplicate_digests": duplicate_digests,
+    "budget_status": budget_status, "duplicate_digests": duplicate_digests, "duplicate_documents": duplicate_documents,
 }
 
 ORACLE = {
@@ -264,13 +289,13 @@ ORACLE = {
           CASE WHEN b > 0 THEN b || ' updated page' || CASE WHEN b > 1 THEN 's' ELSE '' END END, CASE WHEN c > 0 THEN c || ' deleted page' || CASE WHEN c > 1 THEN 's' ELSE '' END || ' purged' END) END AS summary FROM k""",
     "crawl_state_merge": f"""WITH {_CRAWL} SELECT url, hash FROM cn UNION ALL
       SELECT url, hash FROM co WHERE url NOT IN (SELECT url FROM cn) AND url NOT IN (SELECT url FROM ch WHERE change_type = 'DELETED')""",
-    "knowledge_upsert": f"""WITH a AS (SELECT source_id, item_key, md5({bare('text')}) AS h FROM {_regrouped(f"AND created_at < TIMESTAMP '{THEN}'")}),
+    "knowledge_upsert": f"""WITH a AS (SELECT source_id, item_key, md5({bare('text')}) AS h FROM {_regrouped(f"AND created_at < {_THEN}")}),
       b AS (SELECT source_id, item_key, CASE WHEN length({bare('text')}) > 0 THEN md5({bare('text')}) END AS h FROM {_regrouped('')}),
       j AS (SELECT source_id, item_key, a.h AS ah, b.h AS bh, CASE WHEN a.h IS NULL THEN CASE WHEN b.h IS NOT NULL THEN 'new' END WHEN b.h IS NULL THEN 'kept' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS change
             FROM a FULL JOIN b USING (source_id, item_key))
       SELECT source_id, item_key, item_key AS title, CASE WHEN change IN ('new', 'updated') THEN bh ELSE ah END AS hash,
-        CASE WHEN change = 'new' THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{THEN}' END AS first_seen, CASE WHEN change = 'kept' THEN TIMESTAMP '{THEN}' ELSE TIMESTAMP '{NOW}' END AS last_seen,
-        CASE WHEN change IN ('new', 'updated') THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{THEN}' END AS updated, change FROM j WHERE change IS NOT NULL""",
+        CASE WHEN change = 'new' THEN TIMESTAMP '{NOW}' ELSE {_THEN} END AS first_seen, CASE WHEN change = 'kept' THEN {_THEN} ELSE TIMESTAMP '{NOW}' END AS last_seen,
+        CASE WHEN change IN ('new', 'updated') THEN TIMESTAMP '{NOW}' ELSE {_THEN} END AS updated, change FROM j WHERE change IS NOT NULL""",
     "registry_record": f"""WITH o AS {_O}, n AS {_N}
       SELECT n.source_id, n.item_key, coalesce(n.title, o.title, n.item_key) AS title, n.content_hash, coalesce(len(n.chunk_ids), 0)::INT AS chunk_count, coalesce(n.token_count, 0) AS token_count,
         coalesce(o.first_seen::TIMESTAMP, TIMESTAMP '{NOW}') AS first_seen, coalesce(o.revision, 0) + 1 AS revision
@@ -287,8 +312,8 @@ ORACLE = {
       FROM g ANTI JOIN (SELECT * FROM o WHERE len(chunk_ids) > 0) x USING (source_id, item_key)""",
     "registry_chunk_ids": f"SELECT DISTINCT c AS chunk_id FROM (SELECT unnest(chunk_ids) AS c FROM {_O}) WHERE c IS NOT NULL",
     "unique_chunks": f"WITH {_U} SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_id, item_key, {_DIGEST} ORDER BY id) AS n FROM u) WHERE n = 1",
-    "append_anti_join": f"""WITH {_U}, l AS (SELECT id, {_DIGEST} AS dg FROM u WHERE created_at < TIMESTAMP '{THEN}'),
-      n AS (SELECT id, {_DIGEST} AS dg, row_number() OVER (PARTITION BY source_id, item_key, {_DIGEST} ORDER BY id) AS k FROM u WHERE created_at >= TIMESTAMP '{THEN}')
+    "append_anti_join": f"""WITH {_U}, l AS (SELECT id, {_DIGEST} AS dg FROM u WHERE created_at < {_THEN}),
+      n AS (SELECT id, {_DIGEST} AS dg, row_number() OVER (PARTITION BY source_id, item_key, {_DIGEST} ORDER BY id) AS k FROM u WHERE created_at >= {_THEN})
       SELECT id FROM n WHERE k = 1 AND id NOT IN (SELECT id FROM l) AND dg NOT IN (SELECT dg FROM l)""",
     "index_merge": "SELECT DISTINCT id FROM vectors UNION SELECT DISTINCT id FROM vectors_prior",
     "latest_per_id": f"WITH {_U} SELECT id, updated_at::TIMESTAMP AS updated_at FROM u",
@@ -307,14 +332,15 @@ ORACLE = {
     "budget_prefix": """WITH s AS (SELECT snapshot_no AS slice, sum(coalesce(token_count, 0))::BIGINT AS miss_tokens FROM ingestion_registry GROUP BY 1)
       SELECT slice, miss_tokens, sum(miss_tokens) OVER (ORDER BY slice)::BIGINT AS running, sum(miss_tokens) OVER (ORDER BY slice) <= 150000 AS affordable FROM s""",
     "cache_misses": f"""WITH t AS (SELECT weekofyear(created_at)::INT AS slice, sha1(text) AS fp, length(text) AS n FROM vectors),
-      c AS (SELECT DISTINCT sha1(text) AS fp FROM vectors WHERE created_at < TIMESTAMP '{THEN}' AND tokens IS NOT NULL),
+      c AS (SELECT DISTINCT sha1(text) AS fp FROM vectors WHERE created_at < {_THEN} AND tokens IS NOT NULL),
       m AS (SELECT slice, n, min(slice) OVER (PARTITION BY fp) AS first FROM t WHERE fp NOT IN (SELECT fp FROM c))
       SELECT slice, coalesce((SELECT sum(n) FROM m WHERE m.slice = s.slice AND m.first = s.slice), 0)::BIGINT AS miss_tokens FROM (SELECT DISTINCT slice FROM t) s""",
-    "cache_hit_rate": f"""WITH c AS (SELECT DISTINCT sha1(text) AS fp FROM vectors WHERE created_at < TIMESTAMP '{THEN}'), h AS (SELECT sha1(text) IN (SELECT fp FROM c) AS hit FROM vectors)
+    "cache_hit_rate": f"""WITH c AS (SELECT DISTINCT sha1(text) AS fp FROM vectors WHERE created_at < {_THEN}), h AS (SELECT sha1(text) IN (SELECT fp FROM c) AS hit FROM vectors)
       SELECT count(*) FILTER (hit) AS hits, count(*) AS total, round(count(*) FILTER (hit) / count(*)::DOUBLE, 3) AS rate FROM h""",
     "cache_stored": f"SELECT DISTINCT '{PROVIDER}' AS space, sha1(text) AS fp FROM vectors",
     "token_ledger": "SELECT ts::DATE AS day, sum(floor(value))::BIGINT AS tokens, count(*) AS requests, 0::BIGINT AS cached_tokens FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 60",
     "budget_status": """WITH l AS (SELECT ts::DATE AS day, sum(floor(value))::BIGINT AS tokens FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 60)
       SELECT day, tokens AS spent, greatest(0, 4000 - tokens)::BIGINT AS remaining, tokens >= 4000 AS exhausted FROM l""",
+    "duplicate_documents": f"SELECT doc_id, n FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_DIGEST} ORDER BY doc_id)::INT AS n FROM documents) WHERE n > 1",
     "duplicate_digests": f"WITH {_U} SELECT id, source_id, n FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id, {_DIGEST} ORDER BY id)::INT AS n FROM u) WHERE n > 1",
 }

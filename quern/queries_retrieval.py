@@ -357,7 +357,7 @@ _CASES = " ".join(
 )
 _PAGES = "pg AS (SELECT url, max(title) AS title, max(length) AS length FROM crawl_state GROUP BY 1)"
 _REG5 = """(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, item_key ORDER BY delivered_at DESC, content_hash DESC NULLS LAST, status DESC NULLS LAST) AS rn
-           FROM ingestion_registry WHERE snapshot_no = 5) WHERE rn = 1)"""
+           FROM ingestion_registry WHERE snapshot_no = (SELECT max(snapshot_no) FROM ingestion_registry)) WHERE rn = 1)"""
 
 QUERIES = {
     "retrieve_dense_topk": retrieve_dense_topk, "retrieve_in_space": retrieve_in_space, "retrieve_dense_text": retrieve_dense_text, "hybrid_score": hybrid_score,
