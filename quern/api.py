@@ -21,6 +21,7 @@ from quern.operators.embedding import Embedder, LocalHashEmbedder, embed_documen
 from quern.operators.sessions import last_messages, rewritten
 from quern.operators.store import VersionedStore, pending
 from quern.sources.readers import read_files, section_items
+from quern.session import materialise
 from quern.streaming.ingest import DeltaIngest
 
 #: Longest question taken.
@@ -86,7 +87,7 @@ class Engine:
         n = old.count()
         if n:
             fresh = embed_documents(old, self.embedder)
-            self.ingest.chunks.write(chunks.join(old.select("id"), "id", "left_anti").unionByName(fresh))
+            self.ingest.chunks.upsert(materialise(fresh, "reembedded"), ["id"])
         return n
 
     # -- questions ---------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import fingerprint
 from quern.functions.vectors import LOCAL_SPACE
+from quern.plans.slices import BATCH_TEXTS, BATCH_TOKENS, INPUT_TOKENS
 
 #: Vectors a cache holds, days a ledger keeps.
 CACHE_VECTORS, LEDGER_DAYS = 200_000, 60
@@ -97,11 +99,34 @@ def embed_query(embedder: Embedder, text: str) -> np.ndarray:
     return v / length if length > 0 else v
 
 
+def requests(texts: list[str], max_texts: int = BATCH_TEXTS, max_tokens: int = BATCH_TOKENS, max_input: int = INPUT_TOKENS) -> Iterator[list[str]]:
+    """Texts in order, cut to what an input may hold, in requests of at most so many texts and tokens."""
+    held: list[str] = []
+    tokens = 0
+    for text in texts:
+        text = text[: 4 * max_input]
+        n = min(max_input, token_count(text))
+        if held and (len(held) >= max_texts or tokens + n > max_tokens):
+            yield held
+            held, tokens = [], 0
+        held.append(text)
+        tokens += n
+    if held:
+        yield held
+
+
+def token_count(text: str) -> int:
+    """Tokens by rule of thumb, as ``functions.text.count_tokens`` counts them."""
+    bare = text.strip()
+    return int(max(len(bare) / 4, len(bare.split()) * 1.3)) + 1 if bare else 0
+
+
 def embed_column(embedder: Embedder):
-    """An Arrow UDF from texts to vectors."""
+    """An Arrow UDF from texts to vectors, request by request."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(embedder.embed(texts.fillna("").tolist())), index=texts.index)
+        vectors = [v for part in requests(texts.fillna("").tolist()) for v in embedder.embed(part)]
+        return pd.Series(vectors, index=texts.index)
 
     return F.pandas_udf(run, "array<float>")
 

@@ -12,7 +12,8 @@ from quern.operators import retrieval as Q
 from quern.operators.sessions import sessions
 from quern.queries_delta import _U, NEW, PROVIDER, _registry, _unique, _vectors
 from quern.queries_text import filter_stems_sql, stems_sql, terms_sql
-from quern.session import materialise, read_table
+from quern.operators.store import VersionedStore
+from quern.session import materialise, read_table, scratch_path
 from quern.sources.readers import csv_sections as sections_of_rows
 from quern.streaming.ingest import deduplicated, run_available, session_stream, windowed_counts
 
@@ -200,18 +201,23 @@ def _event_stream(s: SparkSession, d: str) -> DataFrame:
 
 def _collected(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives when it is read to its end, gathered batch by batch in the shared folder."""
-    import uuid
-
-    from quern.session import scratch_dir
-
-    base = f"{scratch_dir(s)}/{name}-{uuid.uuid4().hex[:12]}"
+    base = scratch_path(s, name)
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def stream_dedupe(s, d):
-    return _collected(s, deduplicated(_event_stream(s, d), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"), "dedupe")
+    """Distinct keys of a stream: near repeats are dropped by state of a day, far ones by the table of keys seen."""
+    store = VersionedStore(s, scratch_path(s, "seen"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        seen = store.read()
+        new = batch.distinct()
+        store.append(new if seen is None else new.join(seen, ["user_id", "event_type"], "left_anti"), number)
+
+    run_available(deduplicated(_event_stream(s, d), ["user_id", "event_type"], "ts", "1 day").select("user_id", "event_type"), step, scratch_path(s, "seen-state"))
+    return store.read()
 
 
 def stream_windows(s, d):
@@ -220,23 +226,11 @@ def stream_windows(s, d):
 
 
 def stream_batches(s, d):
-    """Rows by user, summed over micro-batches into a table that each batch moves forward."""
-    import uuid
-
-    from quern.operators.store import VersionedStore
-    from quern.session import scratch_dir
-
-    base = f"{scratch_dir(s)}/batches-{uuid.uuid4().hex[:12]}"
-    store = VersionedStore(s, f"{base}/table")
-
-    def step(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("user_id").agg(F.count("*").alias("n"))
-        old = store.read()
-        both = new if old is None else old.unionByName(new)
-        store.write(both.groupBy("user_id").agg(F.sum("n").alias("n")))
-
-    run_available(_event_stream(s, d), step, f"{base}/state")
-    return store.read()
+    """Rows by user: each micro-batch appends its sums under its number, so one that is repeated counts once."""
+    store = VersionedStore(s, scratch_path(s, "sums"))
+    step = lambda batch, number: store.append(batch.groupBy("user_id").agg(F.count("*").alias("n")), number)
+    run_available(_event_stream(s, d), step, scratch_path(s, "sums-state"))
+    return store.read().groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
 def stream_sessions(s, d):

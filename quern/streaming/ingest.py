@@ -1,8 +1,8 @@
 """Incremental runs and sessions as streams.
 
 A daily run is a stream read to its end (``availableNow``): what is new since the last run, and nothing twice.
-State across runs – registry and store – lives in versioned tables that ``foreachBatch`` moves forward; a batch
-that is repeated after a failure finds its rows done and changes nothing.
+State across runs – registry and store – lives in versioned tables that ``foreachBatch`` moves forward. A table keeps
+the number of the last batch with its version, so a batch that is repeated after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -10,31 +10,42 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from quern.operators.chunking import chunk_rows
-from quern.operators.delta import KEY, decide
+from quern.functions.text import content_hash, dedupe_key, fingerprint, stripped
+from quern.operators.delta import KEY, decide, registry_record
 from quern.operators.embedding import Embedder, embed_documents
-from quern.operators.store import VersionedStore, append_update
-from quern.functions.text import content_hash, stripped
+from quern.operators.store import VersionedStore, unique_chunks
+from quern.plans.slices import SLICE_CHUNKS, affordable, commit_slices, first_misses
+from quern.session import materialise
 
 #: Seconds after which an idle session is forgotten, messages it keeps.
 IDLE_SECONDS, KEEP = 6 * 3600, 20
+#: Hours without a message after which a user's state is dropped: long after their session has ended.
+STATE_HOURS = 48
 
 
 class DeltaIngest:
-    """Pages to the vector store, only what changed: hash, decide, chunk, embed, append, record."""
+    """Pages to the vector store, only what changed: hash, decide, chunk, plan, and then slice by slice embed, append, record.
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, mode: str = "append_only", method: str = "recursive"):
+    A slice is committed before the next begins: its chunks are appended and then its items recorded. A run that fails in
+    the middle so keeps the slices that were done, and the next one goes on with the rest; chunks that were appended but not
+    recorded are live and aren't appended again. Slices that the token budget doesn't pay for wait for another run.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, mode: str = "append_only", method: str = "recursive", slice_chunks: int = SLICE_CHUNKS, most_chunks: int = 0):
         self.spark, self.embedder, self.mode, self.method = spark, embedder, mode, method
+        self.slice_chunks, self.most_chunks = slice_chunks, most_chunks
         self.chunks = VersionedStore(spark, f"{path}/chunks")
         self.registry = VersionedStore(spark, f"{path}/registry")
 
-    def run(self, pages: DataFrame, now: Column | None = None) -> dict[str, int]:
-        """Takes ``source_id, source_name, source_type, item_key, text`` in; returns counts by reason."""
+    def run(self, pages: DataFrame, now: Column | None = None, budget: int = 0, spent: int = 0) -> dict[str, int]:
+        """Takes ``source_id, source_name, source_type, item_key, text`` in; returns counts by reason, and as ``deferred`` the
+        items left for another run, if there are any. ``budget``: tokens of the day, 0 for no limit; ``spent``: those used."""
         now = F.current_timestamp() if now is None else now
         fresh = (
             pages.where("source_id is not null and item_key is not null")
@@ -45,27 +56,63 @@ class DeltaIngest:
         )
         registry = self.registry.read()
         known = registry if registry is not None else self._empty_registry()
-        decided = decide(fresh, known, self.embedder.space).cache()
+        decided = materialise(decide(fresh, known, self.embedder.space), "decided")
         counts = {r["reason"]: r["n"] for r in decided.groupBy("reason").agg(F.count("*").alias("n")).collect()}
-        work = fresh.join(decided.where("reason <> 'unchanged'").select(*KEY), KEY, "left_semi")
-        if sum(n for reason, n in counts.items() if reason != "unchanged"):
-            made = embed_documents(chunk_rows(work, self.method), self.embedder)
-            live = self.chunks.read()
-            after = append_update(live, made, [F.col("ordinal")], self.mode, work) if live is not None else append_update(made.limit(0), made, [F.col("ordinal")])
-            self.chunks.write(after)
-            kept = self.chunks.read().join(made.select("id").distinct(), "id", "left_semi")
-            held = kept.groupBy(*KEY).agg(F.array_sort(F.collect_set("id")).alias("chunk_ids"), F.sum("tokens").alias("token_count"))
-            rows = work.join(held, KEY, "left").select(
-                *KEY, F.col("source_name").alias("title"), "content_hash", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"),
-                F.coalesce("token_count", F.lit(0)).cast("bigint").alias("token_count"), F.lit(self.embedder.space).alias("embed_provider"),
-            )
-            from quern.operators.delta import registry_record
-
-            recorded = registry_record(known, rows, now)
-            self.registry.write(known.join(recorded.select(*KEY), KEY, "left_anti").unionByName(recorded))
-        decided.unpersist()
+        if not any(n for reason, n in counts.items() if reason != "unchanged"):
+            return counts
+        work = materialise(fresh.join(decided.where("reason <> 'unchanged'").select(*KEY), KEY, "left_semi"), "work")
+        made = materialise(chunk_rows(work, self.method), "made")
+        items, chunks, there, last = self._planned(work, made, budget, spent)
+        for n in range(last + 1):
+            self._commit(chunks.where(F.col("slice") == n).drop("slice"), items.where(F.col("slice") == n).drop("slice"), there, known, now)
+        if waiting := items.where(F.col("slice").isNull() | (F.col("slice") > last)).count():
+            counts["deferred"] = waiting
         return counts
 
+    def _planned(self, work: DataFrame, made: DataFrame, budget: int, spent: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+        """Items with their slice, new chunks with theirs, chunks of the items that are live, and the last slice to be done now.
+        The store is read here, once for all slices."""
+        key = F.to_json(F.struct(*KEY)).alias("item")
+        sizes = work.select(*KEY).join(made.groupBy(*KEY).agg(F.count("*").cast("int").alias("n")), KEY, "left").select(key.alias("item_key"), F.coalesce("n", F.lit(0)).alias("n_chunks"))
+        plan = commit_slices(sizes, self.slice_chunks, self.most_chunks).select(F.col("item_key").alias("item"), F.when(F.col("state") == "empty", 0).otherwise(F.col("slice")).alias("slice"))
+        items = materialise(work.withColumn("item", key).join(plan, "item").drop("item"), "items")
+        # What is live already, or comes in an earlier slice, isn't appended again.
+        unique = unique_chunks(made, [F.col("ordinal")]).join(items.select(*KEY, "slice").where("slice is not null"), KEY).withColumn("_digest", dedupe_key(F.col("text")))
+        live = self.chunks.read()
+        there = made.select(*KEY, "id", "tokens").limit(0)
+        if live is not None:
+            if self.mode == "replace":
+                live = live.join(work.select(*KEY), KEY, "left_anti")
+            there = materialise(made.select(*KEY, "id", "tokens").distinct().join(live.select(*KEY, "id").distinct(), [*KEY, "id"], "left_semi"), "live-chunks")
+            unique = unique.join(live.select("id").distinct(), "id", "left_anti").join(live.select(dedupe_key(F.col("text")).alias("_digest")).distinct(), "_digest", "left_anti")
+        for c in ("_digest", "id"):
+            unique = unique.withColumn("_first", F.min("slice").over(Window.partitionBy(c))).where("slice = _first")
+        chunks = materialise(unique.drop("_digest", "_first"), "new-chunks")
+        last = items.agg(F.max("slice")).first()[0]
+        last = -1 if last is None else last
+        if budget:
+            slices = items.select("slice").distinct().where("slice is not null")
+            misses = first_misses(chunks.select("slice", fingerprint(F.col("text")).alias("fp"), F.col("tokens").alias("n_tokens")), self.spark.createDataFrame([], "fp string"))
+            paid = affordable(slices.join(misses, "slice", "left").select("slice", F.coalesce("miss_tokens", F.lit(0)).alias("miss_tokens")), budget, spent)
+            first_not = paid.where("not affordable").agg(F.min("slice")).first()[0]
+            last = last if first_not is None else first_not - 1
+        return items, chunks, there, last
+
+    def _commit(self, chunks: DataFrame, items: DataFrame, there: DataFrame, known: DataFrame, now: Column) -> None:
+        """One slice: vectors, chunks, and then the record of its items."""
+        vectors = materialise(embed_documents(chunks, self.embedder), "vectors")
+        if self.mode == "replace":
+            self.chunks.upsert(vectors, KEY, replaced=items)
+        else:
+            self.chunks.append(vectors)
+        held = chunks.select(*KEY, "id", "tokens").unionByName(there.join(items.select(*KEY), KEY, "left_semi"))
+        sums = held.groupBy(*KEY).agg(F.array_sort(F.collect_set("id")).alias("chunk_ids"), F.sum("tokens").alias("token_count"))
+        rows = items.join(sums, KEY, "left").select(
+            *KEY, F.col("source_name").alias("title"), "content_hash", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"),
+            F.coalesce("token_count", F.lit(0)).cast("bigint").alias("token_count"), F.lit(self.embedder.space).alias("embed_provider"),
+        )
+        self.registry.upsert(registry_record(known, rows, now), KEY)
+
     def _empty_registry(self) -> DataFrame:
         return self.spark.createDataFrame(
             [],
@@ -94,23 +141,25 @@ def windowed_counts(stream: DataFrame, ts: str, keys: list[str], width: str = "1
 class SessionWindow(StatefulProcessor):
     """Keeps the last messages of each session, and forgets a session that was idle for longer than the limit.
 
-    Emits for every message the session's number and how many messages it now holds.
+    Emits for every message the session's number and how many messages it now holds. The state of a user from whom
+    nothing came for ``STATE_HOURS`` is dropped altogether.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "session_no long, n long, last double")
+        self.held = handle.getValueState("held", "session_no long, events array<long>, last double", STATE_HOURS * 3_600_000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        number, n, last = self.held.get() or (0, 0, None)
+        number, events, last = self.held.get() or (0, [], None)
+        events = list(events)
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out = []
         for event, ts in zip(frame["event_id"], frame["ts"]):
             at = ts.timestamp()
             if last is not None and at - last > IDLE_SECONDS:
-                number, n = number + 1, 0
-            n, last = min(KEEP, n + 1), at if last is None else max(last, at)
-            out.append((key[0], event, number, n))
-        self.held.update((number, n, last))
+                number, events = number + 1, []
+            events, last = [*events, int(event)][-KEEP:], at if last is None else max(last, at)
+            out.append((key[0], event, number, len(events)))
+        self.held.update((number, events, last))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "session_no", "held"])
 
     def close(self) -> None:
@@ -124,5 +173,5 @@ def session_stream(stream: DataFrame) -> DataFrame:
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return stream.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=SessionWindow(), outputStructType="user_id long, event_id long, session_no long, held long", outputMode="Append", timeMode="None"
+        statefulProcessor=SessionWindow(), outputStructType="user_id long, event_id long, session_no long, held long", outputMode="Append", timeMode="ProcessingTime"
     )

@@ -124,6 +124,74 @@ def test_replace_mode(spark, tmp_path):
     assert ingest.chunks.read().count() == 1
 
 
+class Failing(LocalHashEmbedder):
+    """Fails at texts that hold a word."""
+
+    word = None
+
+    def embed(self, texts):
+        if self.word and any(self.word in t for t in texts):
+            raise RuntimeError("backend away")
+        return super().embed(texts)
+
+
+def many(n, text="text"):
+    return [("website", f"Page {i}", "website", f"https://s.example/{i:02d}", f"Page number {i} has its own {text} about topic {i}. " * (3 + i % 3)) for i in range(n)]
+
+
+def test_slices_are_committed_one_by_one(spark, tmp_path):
+    """A run that fails in the middle keeps the slices before; the next run does the rest, and nothing twice."""
+    embedder = Failing(16)
+    ingest = DeltaIngest(spark, f"file://{tmp_path}/kb", embedder, slice_chunks=2)
+    pages = spark.createDataFrame(many(6), SCHEMA)
+    embedder.word = "number 4 "
+    try:
+        ingest.run(pages)
+        raise AssertionError
+    except Exception as error:
+        assert "backend away" in str(error)
+    done = ingest.registry.read().count()
+    assert 0 < done < 6 and ingest.chunks.read().count() == done
+    embedder.word = None
+    assert ingest.run(pages) == {"new": 6 - done, "unchanged": done}
+    assert ingest.registry.read().count() == 6 and ingest.chunks.read().count() == ingest.chunks.read().select("id").distinct().count() == 6
+    assert ingest.run(pages) == {"unchanged": 6}
+
+
+def test_a_run_within_its_budget(spark, tmp_path):
+    ingest = DeltaIngest(spark, f"file://{tmp_path}/kb", LocalHashEmbedder(16), slice_chunks=1)
+    pages = spark.createDataFrame(many(4), SCHEMA)
+    first = ingest.run(pages, budget=150, spent=20)
+    assert first["new"] == 4 and 0 < first["deferred"] < 4 and ingest.registry.read().count() == 4 - first["deferred"]
+    assert ingest.run(pages) == {"new": first["deferred"], "unchanged": 4 - first["deferred"]}
+    capped = DeltaIngest(spark, f"file://{tmp_path}/kb2", LocalHashEmbedder(16), slice_chunks=1, most_chunks=3)
+    assert capped.run(pages) == {"new": 4, "deferred": 1}
+
+
+def test_requests_keep_their_ceilings():
+    from quern.operators.embedding import requests
+
+    texts = ["a b c " * 10] * 250 + ["x" * 50_000] * 12
+    parts = list(requests(texts))
+    assert [t for p in parts for t in p] == [t[:8192] for t in texts]
+    assert all(len(p) <= 100 for p in parts) and max(len(p) for p in parts) == 100 and len(parts[-1]) <= 9
+    assert list(requests([])) == []
+
+
+def test_a_question_in_the_space_of_its_embedder(spark, tmp_path):
+    class Axes(LocalHashEmbedder):
+        space = "test:axes"
+
+        def embed(self, texts):
+            import numpy as np
+
+            return np.array([[1.0, 0.1] if "ocean" in t or "sea" in t else [0.1, 1.0] for t in texts], np.float32)
+
+    engine = Engine(spark, f"file://{tmp_path}/kb", Axes(2))
+    engine.ingest_pages(spark.createDataFrame([("website", "W", "website", "https://s.example/a", "The ocean is deep and wide, and holds many fish."), ("website", "M", "website", "https://s.example/b", "Mountains are high, and hold much snow in winter.")], SCHEMA))
+    assert engine.search("sea").first()["text"].startswith("The ocean")
+
+
 def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     source, seen = tmp_path / "in", []
     spark.createDataFrame(item("a"), SCHEMA).write.parquet(str(source))

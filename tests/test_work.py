@@ -121,15 +121,37 @@ def test_store_append_modes(spark):
 
 
 def test_versioned_store(spark, tmp_path):
-    s = store.VersionedStore(spark, f"file://{tmp_path}/t")
+    s = store.VersionedStore(spark, f"file://{tmp_path}/t", keep=2)
+    data = lambda: {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("data-")}
     assert s.read() is None and s.version() == 0
     for n in (3, 4, 5):
         s.write(spark.range(n))
-    assert s.read().count() == 5 and s.version() == 3 and not (tmp_path / "t" / "v1").exists() and (tmp_path / "t" / "v2").exists()
+    assert s.read().count() == 5 and s.version() == 3 and s.versions() == [2, 3] and len(data()) == 2 and s.read(2).count() == 4
     s.delete(F.col("id") > 1)
     assert s.read().count() == 2
+    before = data()
+    s.append(spark.range(10, 12).withColumn("x", F.lit("new")))  # nothing is rewritten, and a new column is null before
+    assert len(data() - before) == 1 and rows(s.read()) == [(0, None), (1, None), (10, "new"), (11, "new")]
+    before = data()
+    s.upsert(spark.createDataFrame([(11, "y"), (12, "z")], "id long, x string"), ["id"])
+    assert rows(s.read()) == [(0, None), (1, None), (10, "new"), (11, "y"), (12, "z")]
+    assert len(data() & before) >= 1  # the folder without these keys stayed
+    s.delete(F.col("id") > 99)
+    at = s.version()
+    for _ in range(2):  # a batch that is repeated changes nothing
+        s.append(spark.range(50, 51), batch=7)
+    assert s.version() == at + 1 and s.read().count() == 6 and s.batch() == 7
     s.reset()
     assert s.read().count() == 0
+    other = store.VersionedStore(spark, f"file://{tmp_path}/t")
+    other.version = lambda: s.version() - 1  # a writer that has not seen the last version
+    with pytest.raises(RuntimeError):
+        other.append(spark.range(1))
+    monkey = store.VersionedStore(spark, f"file://{tmp_path}/u")
+    monkey.MOST_FOLDERS = 3
+    for n in range(5):
+        monkey.append(spark.range(n, n + 1))
+    assert monkey.read().count() == 5 and len(monkey._manifest(5)["folders"]) < 4
 
 
 def test_only_lexical_hits_give_an_empty_pool(spark):
