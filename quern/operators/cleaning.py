@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import count_tokens, stripped
+from quern.session import materialise
 
 #: Share and least number of pages from which a line is boilerplate, its greatest length, the least
 #: collection, and what must be left of a page.
 RATIO, LEAST_PAGES, LONGEST, LEAST_COLLECTION = 0.30, 6, 90, 4
 LEAST_LEFT, LEAST_SHARE = 200, 0.15
+#: A line to drop is hot from this part of all occurrences of such lines on.
+HOT_PARTS = 10_000
 
 
 def _lines(text: Column) -> Column:
@@ -43,12 +46,18 @@ def without_boilerplate(pages: DataFrame, key: str, text: str, ratio: float = RA
     """``key, clean, kept_original``: each page without the collection's boilerplate and consecutive duplicates.
 
     A page of which less than 200 characters or 15 % would be left keeps its text. Keys are taken as unique; a
-    null text is left out. The lines to drop come to a page by a join on the line, not by a broadcast.
+    null text is left out. Lines to drop that make up much of all lines – so there are at most ``HOT_PARTS`` of them – are
+    looked up by broadcast, the others by a join on the line; blank lines, the most frequent of all, take no part in either.
     """
     known = pages.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     lines = known.select("_key", F.length("_text").alias("size"), F.posexplode(_lines(F.col("_text"))).alias("pos", "line")).withColumn("norm", F.lower(stripped("line")))
-    drop = boilerplate_lines(pages, key, text, ratio).select(F.col("line").alias("norm"), F.lit(True).alias("drop"))
-    kept = lines.join(drop, "norm", "left").where(F.col("drop").isNull())
+    drop = materialise(boilerplate_lines(pages, key, text, ratio), "site-lines")
+    # Each counts for its pages at least, so no more than so many can reach this bound.
+    least_hot = max(1, (drop.agg(F.sum("n_pages")).first()[0] or 0) // HOT_PARTS)
+    hot = F.broadcast(drop.where(F.col("n_pages") >= least_hot).select(F.col("line").alias("norm")))
+    seldom = drop.where(F.col("n_pages") < least_hot).select(F.col("line").alias("norm"))
+    blank = lines.where("norm = ''")
+    kept = blank.unionByName(lines.where("norm <> ''").join(hot, "norm", "left_anti").join(seldom, "norm", "left_anti"))
     order = Window.partitionBy("_key").orderBy("pos")
     kept = kept.withColumn("before", F.lag("norm").over(order)).where((F.col("norm") == "") | F.col("before").isNull() | (F.col("norm") != F.col("before")))
     joined = kept.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("clean"))

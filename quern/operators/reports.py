@@ -129,6 +129,67 @@ def merged_documents(sources: list[DataFrame]) -> DataFrame:
     return merged
 
 
+def document_listing(sources: list[DataFrame]) -> DataFrame:
+    """``id, name, origin, unlisted``: documents of several sources in order of trust.
+
+    Ids and names are one set of keys, trimmed and without case: a document is left out if either of its keys is one of an
+    earlier source's, or of an earlier document of its own. ``origin`` is the number of its source, and ``unlisted`` says that the
+    first source, the list that is kept, lacks it and is to get it. Documents with neither id nor name are none.
+    """
+    key = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    listed: DataFrame | None = None
+    keys: DataFrame | None = None
+    for i, rows in enumerate(sources):
+        new = rows.select("id", F.coalesce("name", "id").alias("name")).withColumn("_id", key("id")).withColumn("_name", key("name")).where("_id <> '' or _name <> ''")
+        for c in ("_id", "_name"):
+            if keys is not None:
+                new = new.join(keys.select(F.col("k").alias(c)), c, "left_anti")
+            first = Window.partitionBy(c).orderBy("_id", "id", "name")
+            new = new.withColumn("_n", F.row_number().over(first)).where((F.col(c) == "") | (F.col("_n") == 1)).drop("_n")
+        own = new.select(F.explode(F.array("_id", "_name")).alias("k")).where("k <> ''").distinct()
+        out = new.select("id", "name", F.lit(i).alias("origin"), F.lit(i > 0).alias("unlisted"))
+        listed, keys = (out, own) if listed is None else (listed.unionByName(out), keys.unionByName(own).distinct())
+    return listed
+
+
+def page_listing(sources: list[DataFrame], suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """``url, title, chars, chunks, category, origin``: pages of several sources in order of trust, as one list.
+
+    ``sources``: ``url, title, chars, n_chunks``, any number of rows for a page. The first source that has a page gives its title;
+    its length is the first there is; chunks are added up over all, and estimated from the length where none are counted.
+    """
+    tagged = reduce(DataFrame.unionByName, [s.select("url", "title", F.col("chars").cast("long").alias("chars"), F.col("n_chunks").cast("long").alias("n_chunks"), F.lit(i).alias("origin")) for i, s in enumerate(sources)])
+    rows = tagged.where("url is not null and url <> ''")
+    merged = rows.groupBy("url").agg(
+        F.min(F.struct("origin", F.coalesce("title", F.lit("")).alias("t"))).alias("first"),
+        F.min(F.when(F.col("chars") > 0, F.struct("origin", (-F.col("chars")).alias("c")))).alias("length"),
+        F.sum(F.coalesce("n_chunks", F.lit(0))).alias("n"),
+    )
+    chars = F.coalesce(-F.col("length.c"), F.lit(0)).cast("long")
+    title = clean_title(F.col("first.t"), F.col("url"), suffixes)
+    listed = merged.select("url", title.alias("title"), chars.alias("chars"), F.when(F.col("n") > 0, F.col("n")).when(chars > 0, F.greatest(F.lit(1), F.floor(chars / 500))).otherwise(F.lit(0)).cast("long").alias("chunks"), F.col("first.origin").alias("origin"))
+    return listed.withColumn("category", category(F.col("url"), F.col("title")))
+
+
+def found_pages(pages: DataFrame, words: str) -> DataFrame:
+    """Pages of a list whose title or URL holds the words asked for, without regard to case; all of them for none."""
+    asked = F.lower(F.trim(F.lit(words)))
+    return pages.where(F.contains(F.lower(F.coalesce("title", F.lit(""))), asked) | F.contains(F.lower(F.coalesce("url", F.lit(""))), asked))
+
+
+def last_runs(runs: DataFrame, pages: DataFrame, limit: int = 5) -> DataFrame:
+    """``id, ts, n``: the last runs, latest first; where none is on record, one made up of the pages seen last."""
+    legacy = pages.agg(F.max("last_seen").alias("ts"), F.count("*").alias("n")).where("ts is not null").select(F.lit("crawl-legacy").alias("id"), "ts", "n")
+    known = runs.select(F.col("id").cast("string").alias("id"), "ts", "n").orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+    nothing = known.agg(F.count("*").alias("_known"))  # one row
+    return known.unionByName(legacy.crossJoin(F.broadcast(nothing)).where("_known = 0").drop("_known"))
+
+
+def origin_counts(settings: DataFrame) -> DataFrame:
+    """``origin, n``: how many settings come from each place."""
+    return settings.groupBy("origin").agg(F.count("*").alias("n"))
+
+
 def regrouped_text(chunks: DataFrame) -> DataFrame:
     """Texts of items from their chunks in the order of the ids' ordinals: ``source_id, item_key, text``.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,23 +46,29 @@ def commit_slices(items: DataFrame, target: int = SLICE_CHUNKS, cap: int = 0) ->
 def request_batches(inputs: DataFrame, max_texts: int = BATCH_TEXTS, max_tokens: int = BATCH_TOKENS, max_input: int = INPUT_TOKENS, lane: str | None = None) -> DataFrame:
     """``pos, n_tokens, batch``: inputs in order of ``pos``, a new batch where either ceiling would be passed.
 
-    A fold as well, in each ``lane`` (a column of ``inputs``) by itself; a lane is what one slice embeds. Inputs
-    count for at most ``max_input`` tokens.
+    In each ``lane`` (a column of ``inputs``) by itself; a lane is what one slice embeds. Inputs count for at most
+    ``max_input`` tokens. Where a batch begins depends on all before it in its lane, so a lane is one pass; it streams
+    through its task in order, sorted on disk if need be, and only the open batch is held.
     """
-    key = [F.col(lane)] if lane else [F.lit(0).alias("lane")]
     name = lane or "lane"
-    gathered = inputs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", F.least(F.coalesce("n_tokens", F.lit(0)), F.lit(max_input)).cast("long").alias("n")))).alias("xs"))
-    state = "struct<batch:int,texts:int,held:long,out:array<struct<pos:bigint,n_tokens:bigint,batch:int>>>"
-    fold = f"""
-      aggregate(xs, cast(named_struct('batch', 0, 'texts', 0, 'held', 0L, 'out', array()) as {state}), (a, x) ->
-        CASE WHEN a.texts > 0 AND (a.texts >= {max_texts} OR a.held + x.n > {max_tokens}) THEN
-               named_struct('batch', a.batch + 1, 'texts', 1, 'held', x.n,
-                            'out', concat(a.out, array(named_struct('pos', cast(x.pos as bigint), 'n_tokens', x.n, 'batch', a.batch + 1))))
-             ELSE
-               named_struct('batch', a.batch, 'texts', a.texts + 1, 'held', a.held + x.n,
-                            'out', concat(a.out, array(named_struct('pos', cast(x.pos as bigint), 'n_tokens', x.n, 'batch', a.batch))))
-        END)"""
-    out = gathered.select(name, F.explode(F.expr(fold)["out"]).alias("o")).select(name, "o.pos", "o.n_tokens", "o.batch")
+    rows = inputs.select(F.col(lane).alias(name) if lane else F.lit(0).alias(name), F.col("pos").cast("long").alias("pos"), F.least(F.coalesce("n_tokens", F.lit(0)), F.lit(max_input)).cast("long").alias("n_tokens"))
+    kind = rows.schema[name].dataType.simpleString()
+
+    def run(batches):
+        at: object = run  # no lane is this
+        batch = texts = held = 0
+        for b in batches:
+            out = np.empty(b.num_rows, np.int32)
+            for i, (key, n) in enumerate(zip(b.column(name).to_pylist(), b.column("n_tokens").to_pylist())):
+                if key != at:
+                    at, batch, texts, held = key, 0, 0, 0
+                elif texts >= max_texts or held + n > max_tokens:
+                    batch, texts, held = batch + 1, 0, 0
+                texts, held = texts + 1, held + n
+                out[i] = batch
+            yield pa.RecordBatch.from_arrays([b.column(name), b.column("pos"), b.column("n_tokens"), pa.array(out)], names=[name, "pos", "n_tokens", "batch"])
+
+    out = rows.repartition(name).sortWithinPartitions(name, "pos").mapInArrow(run, f"{name} {kind}, pos long, n_tokens long, batch int")
     return out if lane else out.drop("lane")
 
 

@@ -10,8 +10,8 @@ from quern.operators import answers as A
 from quern.operators import reports as R
 from quern.operators import retrieval as Q
 from quern.operators.sessions import sessions
-from quern.queries_delta import _U, NEW, PROVIDER, _registry, _unique, _vectors
-from quern.queries_text import filter_stems_sql, stems_sql, terms_sql
+from quern.queries_delta import _N, _O, _U, NEW, OLD, PROVIDER, _registry, _unique, _vectors
+from quern.queries_text import _PATH, filter_stems_sql, stems_sql, terms_sql
 from quern.operators.store import VersionedStore
 from quern.session import materialise, read_table, scratch_path
 from quern.sources.readers import csv_sections as sections_of_rows
@@ -158,6 +158,45 @@ def document_merge(s, d):
     return R.merged_documents([docs, listed])
 
 
+def page_listing(s, d):
+    """Four sources: knowledge texts, the crawl's state, chunks in the store, and the listing before."""
+    of_site = F.col("source_id") == "website"
+    texts = R.regrouped_text(_vectors(s, d).where(of_site)).select(F.col("item_key").alias("url"), F.lit(None).cast("string").alias("title"), F.length("text").alias("chars"), F.lit(0).alias("n_chunks"))
+    state = read_table(s, d, "crawl_state").select("url", "title", F.col("length").alias("chars"), F.lit(0).alias("n_chunks"))
+    store = _unique(s, d).where(of_site).select(F.col("item_key").alias("url"), F.element_at("metadata", F.lit("title")).alias("title"), F.length("text").alias("chars"), F.lit(1).alias("n_chunks"))
+    prior = read_table(s, d, "vectors_prior").where(of_site).select(F.col("item_key").alias("url"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("chars"), F.lit(1).alias("n_chunks"))
+    return R.page_listing([texts, state, store, prior])
+
+
+def catalogue_search(s, d):
+    return R.found_pages(page_listing(s, d), "course").select("url", "title")
+
+
+def document_listing(s, d):
+    """Six places: history, knowledge, chunks, the listing before, the uploads, and the list that is to be repaired."""
+    named = lambda rows, i, n: rows.groupBy(F.col(i).cast("string").alias("id")).agg(F.min(n).alias("name"))
+    history = named(_registry(s, d, OLD).where("status = 'indexed'"), "source_id", "source_id")
+    knowledge = named(_registry(s, d, NEW), "source_id", "source_id")
+    chunks = named(_unique(s, d).where("source_type = 'document'"), "source_id", "source_name")
+    prior = named(read_table(s, d, "vectors_prior"), "source_id", "source_id")
+    uploads = named(_vectors(s, d).where("source_type = 'document' and source_name is not null"), "source_name", "source_name")
+    return R.document_listing([history, knowledge, chunks, prior, uploads])
+
+
+def last_runs(s, d):
+    runs = read_table(s, d, "ingestion_registry").groupBy(F.col("snapshot_no").alias("id")).agg(F.max("snapshot_at").alias("ts"), F.count("*").alias("n"))
+    return R.last_runs(runs, read_table(s, d, "crawl_state"))
+
+
+def last_runs_legacy(s, d):
+    none = s.createDataFrame([], "id string, ts timestamp, n long")
+    return R.last_runs(none, read_table(s, d, "crawl_state"))
+
+
+def origin_counts(s, d):
+    return R.origin_counts(_vectors(s, d).select(F.coalesce("source_type", F.lit("default")).alias("origin")))
+
+
 def pagination(s, d):
     return R.page_of(read_table(s, d, "documents").select("doc_id", "title"), [F.col("doc_id")], 3).select("doc_id", "position")
 
@@ -298,6 +337,37 @@ v3 AS (SELECT *, sum(keep::INT) OVER (PARTITION BY query_id) AS kept FROM v2),
 rv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM v3 WHERE keep OR (kept = 0 AND rank = 1))
 """
 )
+_CASES = " ".join(
+    "WHEN " + " OR ".join(f"contains(b, '{w}')" for w in words) + f" THEN '{name}'" for name, words in R.CATEGORIES
+)
+_PAGES = "pg AS (SELECT url, max(title) AS title, max(length) AS length FROM crawl_state GROUP BY 1)"
+_REG5 = """(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, item_key ORDER BY delivered_at DESC, content_hash DESC NULLS LAST, status DESC NULLS LAST) AS rn
+           FROM ingestion_registry WHERE snapshot_no = (SELECT max(snapshot_no) FROM ingestion_registry)) WHERE rn = 1)"""
+
+_TITLE_OF = rf"""CASE WHEN lower(trim(coalesce(title, ''))) NOT IN ('', 'none', 'null', 'unknown', 'about us', 'about', 'home', 'welcome') THEN trim(coalesce(title, ''))
+  WHEN {{seg}} <> '' THEN array_to_string(list_transform(string_split({{seg}}, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') ELSE 'Page' END"""
+_SEGMENT = rf"regexp_replace(regexp_replace(regexp_extract(regexp_replace({_PATH}, '/+$', ''), '([^/]*)$', 1), '\.(php|html?)$', ''), '[-_]+', ' ', 'g')"
+_PAGE_LIST = rf"""{_U},
+tx AS (SELECT source_id, item_key, string_agg(text, chr(10) || chr(10) ORDER BY n, id) AS text FROM (SELECT DISTINCT source_id, item_key, id, text, coalesce(try_cast(regexp_extract(id, '::([0-9]{{1,9}})::[^:]*$', 1) AS INT), 0) AS n
+  FROM vectors WHERE item_key IS NOT NULL AND text IS NOT NULL AND source_id = 'website') GROUP BY 1, 2),
+al AS (SELECT item_key AS url, NULL::VARCHAR AS title, length(text) AS chars, 0 AS n, 0 AS origin FROM tx UNION ALL SELECT url, title, length, 0, 1 FROM crawl_state
+  UNION ALL SELECT item_key, metadata['title'], length(text), 1, 2 FROM u WHERE source_id = 'website' UNION ALL SELECT item_key, NULL, 0, 1, 3 FROM vectors_prior WHERE source_id = 'website'),
+ag AS (SELECT url, min({{'o': origin, 't': coalesce(title, '')}}) AS f, min(CASE WHEN chars > 0 THEN {{'o': origin, 'c': -chars}} END) AS l, sum(n) AS n FROM al WHERE url IS NOT NULL AND url <> '' GROUP BY 1),
+p1 AS (SELECT url, f.t AS title, coalesce(-(l.c), 0)::BIGINT AS chars, n, f.o AS origin FROM ag),
+pl AS (SELECT url, {_TITLE_OF.format(seg=_SEGMENT)} AS title, chars, CASE WHEN n > 0 THEN n WHEN chars > 0 THEN greatest(1, floor(chars / 500)) ELSE 0 END::BIGINT AS chunks, origin FROM p1)
+"""
+_LISTING = rf"""{_U}, o AS {_O}, n AS {_N},
+s0 AS (SELECT source_id AS id, min(source_id) AS name FROM o WHERE status = 'indexed' GROUP BY 1), s1 AS (SELECT source_id AS id, min(source_id) AS name FROM n GROUP BY 1),
+s2 AS (SELECT source_id AS id, min(source_name) AS name FROM u WHERE source_type = 'document' GROUP BY 1), s3 AS (SELECT source_id AS id, min(source_id) AS name FROM vectors_prior GROUP BY 1),
+s4 AS (SELECT source_name AS id, min(source_name) AS name FROM vectors WHERE source_type = 'document' AND source_name IS NOT NULL GROUP BY 1)
+""" + "".join(
+    f""", k{i} AS (SELECT *, lower(trim(coalesce(id, ''))) AS a, lower(trim(name)) AS b FROM (SELECT id, coalesce(name, id) AS name FROM s{i})),
+n{i} AS (SELECT * FROM k{i} WHERE (a <> '' OR b <> '') {"".join(f"AND a NOT IN (SELECT k FROM g{j}) AND b NOT IN (SELECT k FROM g{j}) " for j in range(i))}),
+m{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY a, id, name) AS x FROM n{i}) WHERE a = '' OR x = 1),
+r{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY a, id, name) AS y FROM m{i}) WHERE b = '' OR y = 1),
+g{i} AS (SELECT a AS k FROM r{i} WHERE a <> '' UNION SELECT b FROM r{i} WHERE b <> '')"""
+    for i in range(5)
+)
 _SINGULAR = "CASE WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END"
 _ASKED_FOR = lambda words: rf"regexp_matches(q, '(^|[^a-z0-9_])({words})($|[^a-z0-9_])')"
 _LABEL = A._LABEL.replace("\t", "\\t")
@@ -346,19 +416,13 @@ m5 AS (SELECT *, CASE WHEN item = '' THEN '' WHEN contains(item, '**') THEN '* '
 m6 AS (SELECT query_id, nth_source, CASE WHEN any_value(one) THEN '**' || source || '**: ' || regexp_replace(arg_min(md, nth_line), '^[* ]+', '') ELSE '**' || source || ':**' || chr(10) || string_agg(md, chr(10) ORDER BY nth_line) END AS block FROM m5 GROUP BY query_id, source, nth_source)
 """
 )
-_CASES = " ".join(
-    "WHEN " + " OR ".join(f"contains(b, '{w}')" for w in words) + f" THEN '{name}'" for name, words in R.CATEGORIES
-)
-_PAGES = "pg AS (SELECT url, max(title) AS title, max(length) AS length FROM crawl_state GROUP BY 1)"
-_REG5 = """(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, item_key ORDER BY delivered_at DESC, content_hash DESC NULLS LAST, status DESC NULLS LAST) AS rn
-           FROM ingestion_registry WHERE snapshot_no = (SELECT max(snapshot_no) FROM ingestion_registry)) WHERE rn = 1)"""
-
 QUERIES = {
     "retrieve_dense_topk": retrieve_dense_topk, "retrieve_in_space": retrieve_in_space, "retrieve_dense_text": retrieve_dense_text, "hybrid_score": hybrid_score,
     "retrieve_capped": retrieve_capped, "rerank": rerank, "relevance_filter": relevance_filter, "citations": citations, "synthesis": synthesis, "vocabulary": vocabulary,
     "spell_correct": spell_correct, "space_stats": space_stats, "source_stats": source_stats, "registry_stats": registry_stats, "provider_counts": provider_counts,
     "knowledge_stats": knowledge_stats, "source_catalogue": source_catalogue, "grand_totals": grand_totals, "source_top_samples": source_top_samples,
-    "page_categories": page_categories, "clean_titles": clean_titles, "union_page_sources": union_page_sources, "document_merge": document_merge, "pagination": pagination,
+    "page_categories": page_categories, "clean_titles": clean_titles, "union_page_sources": union_page_sources, "document_merge": document_merge, "page_listing": page_listing, "catalogue_search": catalogue_search,
+    "document_listing": document_listing, "last_runs": last_runs, "last_runs_legacy": last_runs_legacy, "origin_counts": origin_counts, "pagination": pagination,
     "run_log": run_log, "status_repair": status_repair, "crawl_bfs": crawl_bfs, "session_ttl": session_ttl, "csv_sections": csv_sections, "regrouped_text": regrouped,
     "stream_dedupe": stream_dedupe, "stream_windows": stream_windows, "stream_batches": stream_batches, "stream_sessions": stream_sessions, "vector_fit": vector_fit,
 }
@@ -374,6 +438,16 @@ ORACLE = {
     "rerank": f"WITH {_RERANK} SELECT query_id, id, rank, rerank_score FROM re",
     "relevance_filter": f"WITH {_RELEVANT} SELECT query_id, id, place FROM rv WHERE place <= 6",
     "citations": f"WITH {_RELEVANT} SELECT query_id, source_name, coalesce(section, '') AS section, round(max(rerank_score), 3) AS score FROM rv WHERE place <= 6 GROUP BY 1, 2, 3",
+    "clean_titles": f"WITH {_PAGES} SELECT url, {_TITLE_OF.format(seg=_SEGMENT)} AS title, greatest(1, floor(coalesce(length, 0) / 500))::INT AS estimate FROM pg",
+    "page_listing": f"WITH {_PAGE_LIST}, q AS (SELECT *, lower(concat_ws(' ', coalesce(url, ''), coalesce(title, ''))) AS b FROM pl) SELECT url, title, chars, chunks, origin, CASE {_CASES} ELSE '{R.OTHER_CATEGORY}' END AS category FROM q",
+    "catalogue_search": f"WITH {_PAGE_LIST} SELECT url, title FROM pl WHERE contains(lower(title), 'course') OR contains(lower(url), 'course')",
+    "document_listing": f"WITH {_LISTING} " + " UNION ALL ".join(f"SELECT id, name, {i} AS origin, {i > 0} AS unlisted FROM r{i}" for i in range(5)),
+    "last_runs": "SELECT snapshot_no::VARCHAR AS id, max(snapshot_at)::TIMESTAMP AS ts, count(*) AS n FROM ingestion_registry GROUP BY 1 ORDER BY ts DESC, id DESC LIMIT 5",
+    "last_runs_legacy": "SELECT 'crawl-legacy' AS id, max(last_seen)::TIMESTAMP AS ts, count(*) AS n FROM crawl_state",
+    "origin_counts": "SELECT coalesce(source_type, 'default') AS origin, count(*) AS n FROM vectors GROUP BY 1",
+    "stream_sessions": """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 21600 THEN 1 ELSE 0 END AS nw FROM events),
+      s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM g)
+      SELECT user_id, event_id, session_no, least(20, row_number() OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id)) AS held FROM s""",
     "synthesis": f"""WITH {_SYNTHESIS} SELECT h.query_id, coalesce(b.answer, '') AS answer FROM (SELECT DISTINCT query_id FROM ht) h
       LEFT JOIN (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY nth_source) AS answer FROM m6 GROUP BY 1) b USING (query_id)""",
     "vocabulary": "SELECT DISTINCT unnest(regexp_extract_all(lower(x), '[a-z]{4,}')) AS word FROM (SELECT text AS x FROM vectors UNION ALL SELECT source_name FROM vectors)",

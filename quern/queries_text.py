@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import urls as U
-from quern.functions.guard import verdict
+from quern.functions.guard import ABUSIVE, INJECTION, OFF_TOPIC, verdict
 from quern.functions.vectors import fitted, hash_embedding, norm
 from quern.operators import chunking, cleaning
 from quern.operators.sessions import _REFERS, formatted_history, last_messages, messages_of, needs_history, rewritten
@@ -64,6 +64,13 @@ def consecutive_duplicates(s, d):
     return cleaning.consecutive_duplicates(read_table(s, d, "vectors").select("id", "text").distinct(), "id", "text")
 
 
+def consecutive_events(s, d):
+    """The same operator over texts that hold such lines: the events of each user, one to a line."""
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    logs = read_table(s, d, "events").groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), "\n").alias("text"))
+    return cleaning.consecutive_duplicates(logs, "user_id", "text")
+
+
 def sentence_atoms(s, d):
     return _docs(s, d).select("doc_id", F.posexplode(chunking.sentence_atoms(F.col("text"))).alias("pos", "atom"))
 
@@ -208,9 +215,21 @@ m AS (SELECT session_id, turn, max(role) AS role,
       FROM t WHERE turn > 0 GROUP BY 1, 2)
 """
 
+def _any(text: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, '{p}')" for p in patterns) + ")"
+
+
+#: Signs back to letters; runs of a character cut to two; separators between single letters dropped – by the characters, as
+#: not every engine looks behind.
+_GUARD = rf"""
+WITH a AS (SELECT doc_id, lower(trim(coalesce(text, ''))) AS low FROM documents), b AS (SELECT *, translate(low, '@$01!3*', 'asoiie') AS plain FROM a), c AS (SELECT *, string_split(plain, '') AS cs FROM b),
+e AS (SELECT *, array_to_string(list_filter(cs, lambda x, i: NOT (i > 2 AND x = cs[(i - 1)::INT] AND x = cs[(i - 2)::INT] AND x <> chr(10))), '') AS flat,
+  array_to_string(list_filter(cs, lambda x, i: NOT (i > 1 AND contains(' ._-', x) AND {{w0}} AND {{w1}} AND NOT {{w2}} AND NOT {{w3}})), '') AS joined FROM c)
+""".format(**{n: f"regexp_full_match(coalesce(cs[(i {d})::INT], ' '), '[A-Za-z0-9_]')" for n, d in (("w0", "- 1"), ("w1", "+ 1"), ("w3", "+ 2"))}, w2="(i > 2 AND regexp_full_match(cs[greatest(1, i - 2)::INT], '[A-Za-z0-9_]'))")
+
 QUERIES = {
     "token_counts": token_counts, "text_hashes": text_hashes, "input_hashes": input_hashes, "clean_texts": clean_texts, "title_stems": title_stems, "thin_pages": thin_pages,
-    "boilerplate_lines": boilerplate_lines, "boilerplate_stripped": boilerplate_stripped, "consecutive_duplicates": consecutive_duplicates,
+    "boilerplate_lines": boilerplate_lines, "boilerplate_stripped": boilerplate_stripped, "consecutive_duplicates": consecutive_duplicates, "consecutive_events": consecutive_events,
     "sentence_atoms": sentence_atoms, "chunks_recursive": chunks_recursive, "chunks_packed": chunks_packed, "chunk_store_rows": chunk_store_rows,
     "url_checks": url_checks, "file_types": file_types, "chunk_id_parts": chunk_id_parts, "hash_embed_sparse": hash_embed_sparse, "vector_norms": vector_norms,
     "chat_messages": chat_messages, "history_window": history_window, "heuristic_rewrite": heuristic_rewrite, "history_text": history_text, "follow_ups": follow_ups,
@@ -239,6 +258,10 @@ ORACLE = {
       c AS (SELECT id, {bare("string_agg(line, chr(10) ORDER BY pos)")} AS clean FROM g WHERE norm = '' OR before IS NULL OR before <> norm GROUP BY 1),
       f AS (SELECT p.id, p.text, coalesce(c.clean, '') AS clean, length(coalesce(c.clean, '')) < greatest(200, floor(length(p.text) * 0.15::DOUBLE)) AS kept_original FROM p LEFT JOIN c USING (id))
       SELECT id, md5(CASE WHEN kept_original THEN text ELSE clean END) AS clean_md5, kept_original FROM f""",
+    "guard_verdicts": _GUARD + f"""SELECT doc_id, CASE WHEN {_any('low', INJECTION)} THEN 'injection' WHEN {' OR '.join(_any(x, ABUSIVE) for x in ('low', 'plain', 'flat', 'joined'))} THEN 'abusive'
+      WHEN {_any('low', OFF_TOPIC)} THEN 'off-topic' ELSE 'allowed' END AS verdict FROM e""",
+    "consecutive_events": """WITH g AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+      SELECT user_id, pos::INT AS pos, event_type AS line FROM g WHERE event_type = before""",
     "consecutive_duplicates": rf"""
       WITH x AS (SELECT id, unnest(ls) AS line, unnest(range(len(ls)))::INT AS pos FROM (SELECT DISTINCT id, {_LINES} AS ls FROM vectors)),
       g AS (SELECT *, lower({bare('line')}) AS norm, lag(lower({bare('line')})) OVER (PARTITION BY id ORDER BY pos) AS before FROM x)

@@ -19,6 +19,11 @@ NO_CONTENT = {"script", "style", "noscript", "iframe", "svg", "header", "footer"
 NO_CONTENT_CLASSES = {"top-menu", "mainmenu", "sidebar", "footer", "footer-bg", "footer-area", "bottom-footer", "navbar", "dropdown-menu", "modal", "breadcrumbs", "social-icons", "quick-links", "marquee"}
 NO_CONTENT_IDS = {"sidebar", "footer", "header"}
 LINK_ATTRIBUTES = ("data-url", "data-href", "data-link", "data-target", "data-src")
+# Classes of cards that show a person, of the parts of a card, and of an address in a page's footer.
+CARD, CARD_NAME, CARD_ROLE = (re.compile(x, re.IGNORECASE) for x in ("(?:placement|faculty|team)-member|faculty-card", "name|title", "role|designation|post"))
+ADDRESS = re.compile("footer-address-box", re.IGNORECASE)
+#: Heading under which an address from the footer is kept.
+CONTACT = "[Contact]"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _ONCLICK = re.compile(r"(?:location\.href|window\.open|window\.location|href)\s*[=(]\s*['\"]([^'\"]+)['\"]", re.IGNORECASE)
 _RELATIVE = re.compile(r"['\"(]([a-zA-Z0-9_\-./]+\.(?:php|html|htm)(?:\?[\w\-.?=&%]*)?)['\")]", re.IGNORECASE)
@@ -40,6 +45,9 @@ class _Page(HTMLParser):
         self.open_anchors: list[list[str]] = []
         self.channels: dict[str, list[tuple[str, str]]] = {c: [] for c in ("area", "data", "form", "onclick")}
         self.has_body = False
+        self.card: dict | None = None  # the card that is open: where its text begins, and its parts
+        self.address_at: int | None = None
+        self.address: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -60,11 +68,38 @@ class _Page(HTMLParser):
         for link in _ONCLICK.findall(a.get("onclick", "")):
             self.channels["onclick"].append((link, ""))
         if tag not in _VOID:
+            self._open_box(a.get("class", ""))
             self.stack.append((tag, hide))
             self.hidden += hide
         elif tag == "br":
             self.text.append("\n")
 
+    def _open_box(self, classes: str) -> None:
+        depth = len(self.stack)
+        if self.address_at is None and ADDRESS.search(classes):
+            self.address_at = depth
+        if self.card is None:
+            if CARD.search(classes) and not self.hidden:
+                self.card = {"depth": depth, "text": len(self.text), "parts": {}, "open": None}
+        elif self.card["open"] is None:
+            part = "name" if CARD_NAME.search(classes) else "role" if CARD_ROLE.search(classes) else None
+            if part and part not in self.card["parts"]:
+                self.card["parts"][part], self.card["open"] = [], (part, depth)
+
+    def _close_box(self) -> None:
+        """What ends with the element just taken from the stack."""
+        depth = len(self.stack)
+        if self.address_at == depth:
+            self.address_at = -1  # the first address counts
+        if self.card and self.card["open"] and self.card["open"][1] == depth:
+            self.card["open"] = None
+        if self.card and self.card["depth"] == depth:
+            name, role = (" ".join("".join(self.card["parts"].get(x, [])).split()) for x in ("name", "role"))
+            if name and role:
+                del self.text[self.card["text"] :]
+                self.text.append(f"\nMember: {name} | Role: {role}\n")
+            self.card = None
+
     def handle_endtag(self, tag):
         if tag == "a" and self.open_anchors:
             self.open_anchors.pop()
@@ -73,12 +108,17 @@ class _Page(HTMLParser):
         while self.stack:
             t, hide = self.stack.pop()
             self.hidden -= hide
+            self._close_box()
             if t == tag:
                 break
 
     def handle_data(self, data):
         for held in self.open_anchors[-1:]:
             held.append(data)
+        if self.address_at is not None and 0 <= self.address_at < len(self.stack):
+            self.address.append(data)
+        if self.card and self.card["open"]:
+            self.card["parts"][self.card["open"][0]].append(data)
         tags = [t for t, _ in self.stack]
         if "title" in tags:
             self.title.append(data)
@@ -113,6 +153,9 @@ def parse_page(url: str, html: str | None, allowed_hosts: tuple[str, ...] = ())
         add(link)
     lines = [x.strip() for x in "\n".join(page.text).split("\n")]
     content = "\n".join(x for x in lines if len(x) > 1)
+    address = [x.strip() for part in page.address for x in part.split("\n") if x.strip()]
+    if address and CONTACT not in content:
+        content = "\n".join([content, "", CONTACT, *address]).strip()
     title = " ".join("".join(page.h1).split()) or " ".join("".join(page.title).split())
     return title, content, list(found.items())
 

@@ -142,11 +142,12 @@ class SessionWindow(StatefulProcessor):
     """Keeps the last messages of each session, and forgets a session that was idle for longer than the limit.
 
     Emits for every message the session's number and how many messages it now holds. The state of a user from whom
-    nothing came for ``STATE_HOURS`` is dropped altogether.
+    nothing came for ``STATE_HOURS`` of the stream's own time is dropped altogether, by a timer.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "session_no long, events array<long>, last double", STATE_HOURS * 3_600_000)
+        self.handle = handle
+        self.held = handle.getValueState("held", "session_no long, events array<long>, last double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         number, events, last = self.held.get() or (0, [], None)
@@ -160,8 +161,15 @@ class SessionWindow(StatefulProcessor):
             events, last = [*events, int(event)][-KEEP:], at if last is None else max(last, at)
             out.append((key[0], event, number, len(events)))
         self.held.update((number, events, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((last + STATE_HOURS * 3600) * 1000))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "session_no", "held"])
 
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.held.clear()
+        yield pd.DataFrame({c: pd.Series(dtype="int64") for c in ("user_id", "event_id", "session_no", "held")})
+
     def close(self) -> None:
         pass
 
@@ -172,6 +180,6 @@ def session_stream(stream: DataFrame) -> DataFrame:
     State with several fields needs the RocksDB provider, which is set for the session.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return stream.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=SessionWindow(), outputStructType="user_id long, event_id long, session_no long, held long", outputMode="Append", timeMode="ProcessingTime"
+    return stream.withWatermark("ts", f"{STATE_HOURS} hours").groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=SessionWindow(), outputStructType="user_id long, event_id long, session_no long, held long", outputMode="Append", timeMode="EventTime"
     )

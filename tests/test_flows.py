@@ -45,6 +45,15 @@ def test_pages(spark):
     assert pages_as_items(pages).count() == 2
 
 
+def test_cards_and_addresses(spark):
+    html = """<body><div class="team-member card"><h4 class="member-name">Ann Lee</h4><img src=x><p class="designation">Head of <b>Optics</b></p><p>hidden detail</p></div>
+    <div class="faculty-card"><p>no parts here</p></div><p>Body text</p>
+    <footer>Foot<div class="footer-address-box">1 Hill Road<br>Tel. 12-34</div><div class="footer-address-box">second</div></footer></body>"""
+    page = pages_from_html(spark.createDataFrame([("https://s.example/a", html), ("https://s.example/b", "<body><p>[Contact]</p><p class=footer-address-box>x y z</p></body>")], "url string, html string")).orderBy("url").collect()
+    assert page[0]["content"].split("\n") == ["Member: Ann Lee | Role: Head of Optics", "no parts here", "Body text", "", "[Contact]", "1 Hill Road", "Tel. 12-34"]
+    assert page[1]["content"] == "[Contact]\nx y z"
+
+
 def docx(*paragraphs):
     body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
     table = "<w:tbl><w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in ("a", "a", "b")) + "</w:tr></w:tbl>"

@@ -231,3 +231,38 @@ def test_answer_rules(spark):
     assert one(said.emphasised(F.lit("Fees: 20"))) == "* **Fees**: 20" and one(said.emphasised(F.lit("- "))) == ""
     assert one(said.without_greeting(F.lit("Hello! I would be happy to help. the library opens."))) == "The library opens."
     assert one(said.without_greeting(F.lit("Hello!"))) == "Hello!"
+
+
+def test_slices_of_many_items_equal_the_plain_fold(spark):
+    g = random.Random(12)
+    items = [(f"i{i:05d}", g.choice([0, 1, 1, 2, 3, 7, 40, 149, 150, 151, 400])) for i in range(12_000)]
+    for target, cap in ((150, 0), (150, 9_000), (7, 0)):
+        at, held, used, want = 0, 0, 0, {}
+        for key, n in sorted(items, key=lambda x: (-x[1], x[0])):
+            if n == 0:
+                want[key] = (None, "empty")
+            elif cap and used and used + n > cap:
+                want[key] = (None, "deferred")
+            else:
+                want[key], used, held = (at, "planned"), used + n, held + n
+                if held >= target:
+                    at, held = at + 1, 0
+        got = {r["item_key"]: (r["slice"], r["state"]) for r in commit_slices(spark.createDataFrame(items, "item_key string, n_chunks int"), target, cap).collect()}
+        assert got == want
+
+
+def test_batches_of_lanes_equal_the_plain_fold(spark):
+    g = random.Random(13)
+    data = [(g.choice([None, "hot", "hot", "hot", "a", "b"]), i, g.choice([None, 0, 5, 90, 400])) for i in range(4000)]
+    want = {}
+    for lane in (None, "hot", "a", "b"):
+        batch = texts = held = 0
+        for _, i, n in (x for x in data if x[0] == lane):
+            n = min(n or 0, 300)
+            if texts and (texts >= 20 or held + n > 1000):
+                batch, texts, held = batch + 1, 0, 0
+            texts, held = texts + 1, held + n
+            want[i] = batch
+    df = spark.createDataFrame(data, "lane string, pos long, n_tokens int")
+    assert {r["pos"]: r["batch"] for r in request_batches(df, 20, 1000, 300, "lane").collect()} == want
+    assert request_batches(df.limit(0), lane="lane").count() == 0 and request_batches(df.limit(0)).count() == 0
