@@ -17,6 +17,11 @@ exactly from the vectors as stored.
 A tree is cut into blocks of even size at the quantiles of a bounded sample, by provider, string and class, so that
 blocks are even however the vectors cluster. A cell that reaches over the end of its block is looked up in the
 next one too, so what is found doesn't depend on the blocks. Exact copies are searched once, as one class.
+
+How many candidates it takes depends on how near the neighbours are: those of a high cosine stand in the deepest cells, while
+unrelated vectors that happen to be nearest are met only near the root. So the ascent of a stated set of vectors
+(``asked``) goes on until the trees together hold twice as many candidates – with repeats – as there are vectors, and
+that of all vectors ends at ``CANDIDATES``.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.keys import written_provider
@@ -38,7 +43,7 @@ TREES, CANDIDATES, TILE = 12, 1024, 256
 #: Strings on either side that a vector meets at most in one tree, where a cell is larger even at the greatest depth.
 REACH = 640
 #: Depths at which cells are measured, in bits.
-DEPTHS = (*range(7, 27), 30, 36, 44, 63)
+DEPTHS = (0, 4, 6, *range(7, 25), 28, 36, 63)
 #: Rows of a block, blocks of a tree at most, and vectors sampled for their ends at most.
 BLOCK_ROWS, MOST_BLOCKS, SAMPLE_ROWS = 100_000, 2_000, 100_000
 #: Providers whose vectors aren't compared.
@@ -48,10 +53,11 @@ SALTS = 32
 #: Tolerance of the scores of 8-bit vectors against the least cosine; what it lets through is scored again exactly.
 SLACK = 0.015
 
-_CODE_SCHEMA = "block int, space long, code long, node long"
-_TREE_SCHEMA = "block int, space long, code long, node long, depth int, own boolean, vector binary"
-#: Counts of four depths are packed into a long, each up to this, so that sums over 16 trees keep apart.
-_PACK, _MOST = 4, 4095
+_CODE_SCHEMA = "block int, space long, code long, node long, ask boolean"
+_TREE_SCHEMA = "block int, space long, code long, node long, depth int, own boolean, ask boolean, vector binary"
+#: Counts of this many depths are packed into a long, each up to a sixteenth of its share, so that sums over 16 trees keep
+#: apart: four up to 4,095 or, for more candidates, two up to 134 million.
+_PACK_SMALL, _PACK_LARGE = 4, 2
 
 
 def usable_vectors(rows: DataFrame, key: str = "id", vector: str = "embedding", provider: str = "embed_provider") -> DataFrame:
@@ -148,14 +154,14 @@ def _strings(ends: list[np.ndarray]):
             for t, cut in enumerate(ends):
                 code = forest.codes(unit, t)
                 block = t * blocks + np.searchsorted(cut, _keys(space, code, node), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), b.column("space"), pa.array(code), b.column("node")], names=["block", "space", "code", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), b.column("space"), pa.array(code), b.column("node"), b.column("ask")], names=["block", "space", "code", "node", "ask"])
 
     return run
 
 
 def cell_sizes(space: np.ndarray, code: np.ndarray, depth: int) -> np.ndarray:
     """For each string of a sorted array, how many others share its first ``depth`` bits."""
-    same = (space[1:] == space[:-1]) & ((code[1:] ^ code[:-1]) >> np.int64(63 - depth) == 0)
+    same = (space[1:] == space[:-1]) & ((code[1:] ^ code[:-1]) >> np.int64(63 - depth) == 0) if depth else space[1:] == space[:-1]
     starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
     sizes = np.diff(np.append(starts, len(code)))
     return np.repeat(sizes - 1, sizes)
@@ -167,34 +173,39 @@ def _read_all(batches, names: list[str]) -> list:
     return [table.column(n).combine_chunks() for n in names] if table is not None else []
 
 
-_COUNT_COLUMNS = [f"c{i}" for i in range(len(DEPTHS) // _PACK)]
+def _descend(pack: int):
+    """The cell sizes of a block's strings that ask, at all depths, packed."""
+    bits = 64 // pack
+    most = (1 << (bits - 5)) * 2 - 1
 
+    def run(batches):
+        columns = _read_all(batches, ["space", "code", "node", "ask"])
+        if not columns:
+            return
+        space, code, node, ask = (c.to_numpy(zero_copy_only=False) for c in columns)
+        packed = [np.zeros(int(ask.sum()), np.int64) for _ in range(len(DEPTHS) // pack)]
+        for i, depth in enumerate(DEPTHS):
+            packed[i // pack] += np.minimum(cell_sizes(space, code, depth)[ask], most) << (bits * (i % pack))
+        yield pa.RecordBatch.from_arrays([pa.array(node[ask]), *map(pa.array, packed)], names=["node", *(f"c{i}" for i in range(len(packed)))])
 
-def _descend(batches):
-    """The cell sizes of a block's strings at all depths, packed."""
-    columns = _read_all(batches, ["space", "code", "node"])
-    if not columns:
-        return
-    space, code, node = (c.to_numpy() for c in columns)
-    packed = [np.zeros(len(code), np.int64) for _ in _COUNT_COLUMNS]
-    for i, depth in enumerate(DEPTHS):
-        packed[i // _PACK] += np.minimum(cell_sizes(space, code, depth), _MOST) << (16 * (i % _PACK))
-    yield pa.RecordBatch.from_arrays([pa.array(node), *map(pa.array, packed)], names=["node", *_COUNT_COLUMNS])
+    return run
 
 
-def depths(strings: DataFrame, blocks: int, candidates: int) -> DataFrame:
+def depths(strings: DataFrame, blocks: int, candidates: int, trees: int = TREES) -> DataFrame:
     """``node, depth``: the depth at which the cells of all trees together first hold ``candidates`` others."""
+    pack = _PACK_SMALL if candidates <= 4095 * trees // 2 else _PACK_LARGE
+    bits, columns = 64 // pack, [f"c{i}" for i in range(len(DEPTHS) // pack)]
     ordered = strings.repartitionById(blocks, "block").sortWithinPartitions("space", "code", "node")
-    counts = ordered.mapInArrow(_descend, "node long, " + ", ".join(f"{c} long" for c in _COUNT_COLUMNS))
-    sums = counts.groupBy("node").agg(*(F.sum(c).alias(c) for c in _COUNT_COLUMNS))
-    at = lambda i: F.shiftright(F.col(_COUNT_COLUMNS[i // _PACK]), 16 * (i % _PACK)).bitwiseAND(F.lit(0xFFFF))
+    counts = ordered.mapInArrow(_descend(pack), "node long, " + ", ".join(f"{c} long" for c in columns))
+    sums = counts.groupBy("node").agg(*(F.sum(c).alias(c) for c in columns))
+    at = lambda i: F.shiftright(F.col(columns[i // pack]), bits * (i % pack)).bitwiseAND(F.lit((1 << bits) - 1))
     steps = [F.when(at(i) >= candidates, F.lit(DEPTHS[i])) for i in reversed(range(len(DEPTHS)))]
     return sums.select("node", F.coalesce(*steps, F.lit(DEPTHS[0])).alias("depth"))
 
 
 def _cells(space: np.ndarray, code: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest code of each string's cell."""
-    rest = (np.int64(1) << (63 - depth).astype(np.int64)) - np.int64(1)
+    rest = np.where(depth > 0, (np.int64(1) << np.minimum(63 - depth, 62).astype(np.int64)) - np.int64(1), np.iinfo(np.int64).max)
     return code & ~rest, code | rest
 
 
@@ -210,20 +221,20 @@ def _plant(ends: list[np.ndarray]):
                 continue
             unit = _unit_rows(b.column("vector"))
             small = _bytes(unit)
-            space, node, depth = (b.column(c).to_numpy() for c in ("space", "node", "depth"))
+            space, node, depth, ask = (b.column(c).to_numpy(zero_copy_only=False) for c in ("space", "node", "depth", "ask"))
             for t, cut in enumerate(ends):
                 code = forest.codes(unit, t)
                 own = np.searchsorted(cut, _keys(space, code, node), side="right")
                 low, high = _cells(space, code, depth)
-                before = np.flatnonzero(np.searchsorted(cut, _keys(space, low, np.full(n, least)), side="right") < own)
-                after = np.flatnonzero(np.searchsorted(cut, _keys(space, high, np.full(n, most)), side="right") > own)
+                before = np.flatnonzero((np.searchsorted(cut, _keys(space, low, np.full(n, least)), side="right") < own) & ask)
+                after = np.flatnonzero((np.searchsorted(cut, _keys(space, high, np.full(n, most)), side="right") > own) & ask)
                 at = np.concatenate([np.arange(n), before, after])
                 block = t * blocks + np.concatenate([own, own[before] - 1, own[after] + 1])
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.astype(np.int32)), b.column("space").take(take), pa.array(code[at]), b.column("node").take(take),
-                     b.column("depth").take(take), pa.array(np.arange(len(at)) < n), small.take(take)],
-                    names=["block", "space", "code", "node", "depth", "own", "vector"],
+                     b.column("depth").take(take), pa.array(np.arange(len(at)) < n), b.column("ask").take(take), small.take(take)],
+                    names=["block", "space", "code", "node", "depth", "own", "ask", "vector"],
                 )
 
     return run
@@ -234,12 +245,11 @@ def _score(k: int, least: float, reach: int):
     each the ``k`` best and what is within ``SLACK`` of the ``k``-th, as the scores aren't exact."""
 
     def run(batches):
-        columns = _read_all(batches, ["space", "code", "node", "depth", "own", "vector"])
+        columns = _read_all(batches, ["space", "code", "node", "depth", "own", "ask", "vector"])
         if not columns:
             return
-        space, code, node, depth = (c.to_numpy() for c in columns[:4])
-        own = columns[4].to_numpy(zero_copy_only=False)
-        m = np.frombuffer(b"".join(columns[5].to_pylist()), np.int8).reshape(-1, DIMENSIONS)
+        space, code, node, depth, own, ask = (c.to_numpy(zero_copy_only=False) for c in columns[:6])
+        m = np.frombuffer(b"".join(columns[6].to_pylist()), np.int8).reshape(-1, DIMENSIONS)
         scale = 1 / np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.int32).astype(np.float32))
         here = np.flatnonzero(own)  # what the block holds; the other rows only ask
         place = np.cumsum(own) - own
@@ -254,25 +264,19 @@ def _score(k: int, least: float, reach: int):
             last[mine] = a + np.searchsorted(held_code[a:b], high[mine], side="right")
         first, last = np.maximum(first, place - reach), np.minimum(last, place + reach + 1)
         held, nodes, weight = m[here], node[here], scale[here]
-        for lo in range(0, len(code), TILE):
-            hi = min(lo + TILE, len(code))
-            a, b = int(first[lo:hi].min()), int(last[lo:hi].max())
+        asking = np.flatnonzero(ask)
+        for lo in range(0, len(asking), TILE):
+            of = asking[lo : lo + TILE]
+            a, b = int(first[of].min()), int(last[of].max())
             if a >= b:
                 continue
-            g = (m[lo:hi].astype(np.float32) * scale[lo:hi, None]) @ (held[a:b].astype(np.float32) * weight[a:b, None]).T
-            i, j = np.nonzero(g >= least)
-            score = g[i, j]
-            i, j = i + lo, j + a
-            fit = (j >= first[i]) & (j < last[i]) & (nodes[j] != node[i])
-            i, j, score = i[fit], j[fit], score[fit]
-            if not len(i):
-                continue
-            order = np.lexsort((nodes[j], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            head = np.searchsorted(i, i)
-            tail = np.searchsorted(i, i, side="right") - 1
-            best = score >= score[np.minimum(head + k - 1, tail)] - SLACK
-            yield pa.RecordBatch.from_arrays([pa.array(node[i[best]]), pa.array(nodes[j[best]]), pa.array(score[best].astype(np.float32))], names=["a", "b", "score"])
+            g = (m[of].astype(np.float32) * scale[of, None]) @ (held[a:b].astype(np.float32) * weight[a:b, None]).T
+            columns = np.arange(a, b)
+            g[(columns < first[of, None]) | (columns >= last[of, None]) | (nodes[a:b] == node[of, None])] = -2.0
+            bound = np.partition(g, -k, axis=1)[:, -k] - SLACK if b - a > k else np.full(len(of), -2.0)
+            i, j = np.nonzero(g >= np.maximum(bound, max(least, -1.5))[:, None])
+            i, j = of[i], j + a
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(nodes[j])], names=["a", "b"])
 
     return run
 
@@ -280,18 +284,19 @@ def _score(k: int, least: float, reach: int):
 def similar_pairs(vectors: DataFrame, n: int, k: int, min_cosine: float, trees: int = TREES, candidates: int = CANDIDATES, reach: int = REACH) -> DataFrame:
     """Candidate pairs of nodes ``a, b`` (``b`` for ``a``) from the whole forest.
 
-    ``vectors``: ``node, space, vector``, ``n`` rows, one for each node.
+    ``vectors``: ``node, space, vector, ask``, ``n`` rows, one for each node; partners are looked for of those that ask.
     """
     blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)))
     some = vectors if n <= SAMPLE_ROWS else vectors.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(int((1 << 20) * 0.9 * SAMPLE_ROWS / n)))
     ends = block_ends(some.select("space", "node", "vector").toArrow() if blocks > 1 else some.limit(0).select("space", "node", "vector").toArrow(), trees, blocks)
-    asked = depths(vectors.select("space", "node", "vector").mapInArrow(_strings(ends), _CODE_SCHEMA), trees * blocks, candidates)
-    planted = vectors.join(asked, "node").select("space", "node", "vector", "depth").mapInArrow(_plant(ends), _TREE_SCHEMA)
+    asked = depths(vectors.select("space", "node", "vector", "ask").mapInArrow(_strings(ends), _CODE_SCHEMA), trees * blocks, candidates, trees)
+    deep = vectors.join(asked, "node", "left").withColumn("depth", F.coalesce("depth", F.lit(DEPTHS[-1])))
+    planted = deep.select("space", "node", "vector", "ask", "depth").mapInArrow(_plant(ends), _TREE_SCHEMA)
     ordered = planted.repartitionById(trees * blocks, "block").sortWithinPartitions("space", "code", "node")
-    return ordered.mapInArrow(_score(k, min_cosine - SLACK, reach), "a long, b long, score float").select("a", "b").distinct()
+    return ordered.mapInArrow(_score(k, min_cosine - SLACK, reach), "a long, b long").distinct()
 
 
-def nearest(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, trees: int = TREES, candidates: int = CANDIDATES, reach: int = REACH, key: str = "id", vector: str = "embedding", provider: str = "embed_provider") -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, trees: int = TREES, candidates: int = CANDIDATES, reach: int = REACH, key: str = "id", vector: str = "embedding", provider: str = "embed_provider", asked: Column | None = None) -> DataFrame:
     """For every key its ``k`` most similar keys of the same provider with a cosine of at least ``min_cosine``.
 
     Returns ``key_a, key_b, cosine, rank``: ``key_b`` is the ``rank``-th most similar of ``key_a``. Repeated keys
@@ -300,13 +305,20 @@ def nearest(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, trees: int =
 
     Copies: the members of a class of exact copies are each other's nearest, in order of key; they are linked
     through the class, ``k`` neighbours for each member, and never all pairs.
+
+    ``asked``: a condition on ``key``; only for keys that meet it are neighbours looked for, among all. Their ascent ends where
+    the trees together hold twice as many candidates as there are vectors.
     """
-    members = materialise(classes(usable_vectors(rows, key, vector, provider)).select("key", "provider", "node", "vector"), "members")
+    asks = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    members = materialise(classes(usable_vectors(rows, key, vector, provider)).select("key", "provider", "node", "vector", asks.alias("ask")), "members")
     keys = members.select("key", "node").distinct()
+    wanted = keys if asked is None else members.where("ask").select("key", "node").distinct()
     # Bucketed by node, so that what joins to it shuffles no vectors.
-    one = members.dropDuplicates(["node"]).select("node", F.xxhash64("provider").alias("space"), "vector")
+    one = members.groupBy("node").agg(F.xxhash64(F.first("provider")).alias("space"), F.first("vector").alias("vector"), F.max("ask").alias("ask"))
     distinct = materialise(one, "distinct_vectors", bucket_by=(max(12, members.count() // 500_000), ["node"]))
     n = distinct.count()
+    if asked is not None:
+        candidates, reach = max(candidates, 2 * n), max(reach, n)
     pairs = similar_pairs(distinct, n, k, min_cosine, trees, candidates, reach)
 
     # Exact cosines of the candidate pairs, from the vectors as stored.
@@ -321,13 +333,13 @@ def nearest(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, trees: int =
     some = keys.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
     few = some.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("key"))).where(F.col("n") <= k + 1)
     own = (
-        keys.select(F.col("key").alias("key_a"), "node")
+        wanted.select(F.col("key").alias("key_a"), "node")
         .join(few.select(F.col("key").alias("key_b"), "node"), "node")
         .where("key_a <> key_b")
         .select("key_a", "key_b", F.lit(1.0).alias("cosine"))
     )
     other = (
-        exact.join(keys.select(F.col("key").alias("key_a"), F.col("node").alias("a")), "a")
+        exact.join(wanted.select(F.col("key").alias("key_a"), F.col("node").alias("a")), "a")
         .join(few.where(F.col("n") <= k).select(F.col("key").alias("key_b"), F.col("node").alias("b")), "b")
         .where("key_a <> key_b")
         .select("key_a", "key_b", "cosine")

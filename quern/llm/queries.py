@@ -11,7 +11,7 @@ from quern.llm.boilerplate import main_content, page_boilerplate
 from quern.llm.encoding import garbled
 from quern.llm.leakage import leaked_items, without_leaks
 from quern.llm.mixing import mixture, mixture_report
-from quern.llm.neighbours import neighbour_pairs
+from quern.llm.neighbours import nearest, neighbour_pairs
 from quern.llm.repeated_lines import repeated_lines, without_repeated_lines
 from quern.llm.splitting import oversized, split_files, split_items
 from quern.session import read_table, scratch_dir
@@ -60,6 +60,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(read_table(spark, d, "vectors"), min_cosine=0.85)
 
 
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest, whatever their cosine, of a stated set: ids whose digest is divisible by 100, against all."""
+    stated = F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long") % 100 == 0
+    return nearest(read_table(spark, d, "vectors"), asked=stated).select("key_a", "key_b", "rank", F.round("cosine", 6).alias("cosine"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -122,7 +128,7 @@ s AS (SELECT doc_id, item_id, i - j AS diagonal, i - row_number() OVER (PARTITIO
 r AS (SELECT doc_id, item_id, count(*) + 12 AS n_words FROM s GROUP BY doc_id, item_id, diagonal, run)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found,
+QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p5_found": p5_found, "p5_nearest": p5_nearest,
     "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean,
     "p8_mixture": p8_mixture, "p8_report": p8_report,
     "p9_found": p9_found, "p9_restored": p9_restored}

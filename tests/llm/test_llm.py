@@ -579,3 +579,20 @@ def test_the_squares_fall_and_expected_shares_come_near(spark):
     taken = {k: sum(r["repeats"] for r in mixed.where("source = 'a'").collect() if kind[r["doc_id"]] == k) for k in "ab"}
     assert taken["a"] / 1000 < 0.8 * taken["b"] / 500 or taken["b"] / 500 < 0.8 * taken["a"] / 1000
     assert sum(p[-1] for p in plan) == pytest.approx(1, abs=0.01)
+
+
+def test_nearest_of_a_stated_set_without_a_least_cosine(spark):
+    m = vectors(3000, 200)
+    df = _vector_frame(spark, m)
+    found = neighbours.nearest(df, asked=F.substring("key", -1, 1) == "0")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["key_a"], set()).add(r["key_b"])
+    assert set(got) == {f"v{i:05d}" for i in range(0, 3000, 10)} and all(len(x) == 10 for x in got.values())
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hit = 0
+    for i in range(0, 3000, 10):
+        s = u @ u[i]
+        s[i] = -2
+        hit += sum(f"v{j:05d}" in got[f"v{i:05d}"] for j in np.argsort(-s)[:10])
+    assert hit >= 0.95 * 3000
