@@ -60,9 +60,9 @@ class Engine:
             stored = self.spark.createDataFrame([], _KNOWLEDGE) if stored is None else stored
             incoming = pages.select("source_id", "item_key", F.col("source_name").alias("title"), "text").dropDuplicates(D.KEY)
             self.knowledge_store.write(D.upsert_items(stored, incoming, F.current_timestamp()).where("change <> 'removed'").drop("change"))
-            reasons = self.ingest.run(pages)
+            reasons = self.ingest.run(pages, budget=self.settings["daily_token_budget"], spent=self.spent_today())
             self._log(reasons)
-            return {"status": "success", "reasons": reasons, "embedded": sum(n for r, n in reasons.items() if r != "unchanged"), "skipped": reasons.get("unchanged", 0)}
+            return {"status": "success", "reasons": reasons, "embedded": sum(n for r, n in reasons.items() if r not in ("unchanged", "deferred")) - reasons.get("deferred", 0), "skipped": reasons.get("unchanged", 0)}
         finally:
             self._busy = False
 
@@ -159,9 +159,17 @@ class Engine:
             "runs": [r.asDict() for r in self.changes().collect()],
         }
 
+    def spent_today(self) -> int:
+        """Tokens of the items embedded today."""
+        today = self.registry_rows().where(F.to_date("last_embedded") == F.current_date())
+        return today.agg(F.coalesce(F.sum("token_count"), F.lit(0))).first()[0]
+
     def embedding_status(self) -> dict:
-        spaces = R.provider_counts(self.chunks()).collect()
-        return {"active": self.embedder.space, "spaces": {r["provider"]: r["n"] for r in spaces}, "pending": pending(self.chunks(), self.embedder.space).count()}
+        spaces, budget, spent = R.provider_counts(self.chunks()).collect(), self.settings["daily_token_budget"], self.spent_today()
+        return {
+            "active": self.embedder.space, "spaces": {r["provider"]: r["n"] for r in spaces}, "pending": pending(self.chunks(), self.embedder.space).count(),
+            "budget": budget, "spent": spent, "remaining": max(0, budget - spent) if budget else None,
+        }
 
     def knowledge(self) -> DataFrame:
         return R.catalogue(self.chunks())
@@ -172,6 +180,24 @@ class Engine:
         store = self.chunks().groupBy(F.concat_ws("|", "source_id", "item_key").alias("url")).agg(F.min("source_name").alias("title"), F.count("*").cast("int").alias("chunk_count"))
         return R.by_priority([registry, store], "url").withColumn("category", R.category(F.col("url"), F.col("title")))
 
+    def pages(self, words: str = "") -> DataFrame:
+        """The site's pages as one list, of knowledge and store; those whose title or address holds ``words``."""
+        knowledge, of_site = self.knowledge_store.read(), F.col("source_type") == "website"
+        store = self.chunks().where(of_site).select(F.col("item_key").alias("url"), F.col("source_name").alias("title"), F.length("text").alias("chars"), F.lit(1).alias("n_chunks"))
+        sources = [store]
+        if knowledge is not None:
+            held = knowledge.join(self.chunks().where(of_site).select("source_id", "item_key").distinct(), D.KEY, "left_semi")
+            sources.insert(0, held.select(F.col("item_key").alias("url"), "title", F.length("text").alias("chars"), F.lit(0).alias("n_chunks")))
+        return R.found_pages(R.page_listing(sources), words)
+
+    def documents(self) -> DataFrame:
+        """Uploaded documents, of knowledge and store."""
+        named = lambda rows, n: rows.groupBy(F.col("source_id").alias("id")).agg(F.min(n).alias("name"))
+        sources = [named(self.chunks().where("source_type = 'document'"), "source_name")]
+        if (knowledge := self.knowledge_store.read()) is not None:
+            sources.append(named(knowledge.where("source_id like 'doc-%'"), "title"))
+        return R.document_listing(sources)
+
     def dashboard(self) -> DataFrame:
         return self.history().groupBy("category").agg(F.count("*").alias("pages"), F.sum("chunk_count").alias("chunks"))
 

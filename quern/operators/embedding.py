@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
@@ -92,6 +93,32 @@ class RemoteEmbedder(Embedder):
         return False
 
 
+class PatientEmbedder(Embedder):
+    """Another embedder with pauses between requests, and further attempts, each after twice the pause, while it doesn't answer.
+
+    A used-up quota isn't asked again. Pauses hold within a task; how many tasks ask at once is for the cluster.
+    """
+
+    def __init__(self, inner: Embedder, attempts: int = 3, spacing: float = 0.5):
+        self.inner, self.attempts, self.spacing = inner, max(1, attempts), spacing
+        self.space, self.remote = inner.space, inner.remote
+
+    def available(self) -> bool:
+        return self.inner.available()
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        pause = self.spacing
+        for attempt in range(self.attempts):
+            time.sleep(pause if attempt or self.remote else 0)
+            try:
+                return self.inner.embed(texts)
+            except BackendUnreachable:
+                if attempt + 1 == self.attempts:
+                    raise
+                pause *= 2
+        raise AssertionError("no attempt was made")
+
+
 def embed_query(embedder: Embedder, text: str) -> np.ndarray:
     """The vector of a question in the embedder's space, of unit length; zero for a blank one."""
     v = np.asarray(embedder.embed([(text or "").strip()])[0], np.float64)

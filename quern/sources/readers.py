@@ -83,6 +83,15 @@ def read_pdf_bytes(data: bytes) -> list[tuple]:
     return [(f"Page {n}", text, n, len(pages)) for n, text in found if text]
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON files, one object to a line. Missing files and lines that are no JSON give nothing, missing fields nulls."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows.where("_corrupt is null").drop("_corrupt")
+
+
 #: Parsers by extension; a deployment may add its own.
 PARSERS: dict[str, Callable[[bytes], list[tuple]]] = {"csv": read_csv_bytes, "docx": read_docx_bytes, "doc": read_doc_bytes, "pdf": read_pdf_bytes}
 

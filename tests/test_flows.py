@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quern.api import Busy, Engine, pages_as_items
 from quern.functions.text import content_hash
 from quern.operators.embedding import LocalHashEmbedder
-from quern.operators.reports import reachable
+from quern.operators.reports import document_listing, page_listing, reachable
 from quern.sources.html import link_edges, pages_from_html
-from quern.sources.readers import read_csv_bytes, read_docx_bytes, read_files, section_items
+from quern.sources.readers import read_csv_bytes, read_docx_bytes, read_files, read_json, section_items
 from quern.streaming.ingest import DeltaIngest, run_available
 from tests.conftest import rows
 
@@ -81,6 +81,45 @@ def test_readers(spark, tmp_path):
     assert section_items(got).where("item_key = 'section-2'").count() == 1
 
 
+def test_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1, "x": "a"}\n{broken\n{"id": 2}\n')
+    schema = "id long, x string"
+    assert rows(read_json(spark, f"file://{tmp_path}/a.json", schema)) == [(1, "a"), (2, None)]
+    assert read_json(spark, f"file://{tmp_path}/none.json", schema).count() == 0
+
+
+def test_patience():
+    from quern.operators.embedding import BackendUnreachable, PatientEmbedder, QuotaExhausted
+
+    class Moody(LocalHashEmbedder):
+        def __init__(self, failures):
+            super().__init__(8)
+            self.failures = list(failures)
+
+        def embed(self, texts):
+            if self.failures:
+                raise self.failures.pop()
+            return super().embed(texts)
+
+    assert PatientEmbedder(Moody([BackendUnreachable()] * 2), 3, 0).embed(["a"]).shape == (1, 8)
+    for failures, kind in (([BackendUnreachable()] * 3, BackendUnreachable), ([QuotaExhausted()], QuotaExhausted)):
+        try:
+            PatientEmbedder(Moody(failures), 3, 0).embed(["a"])
+            raise AssertionError
+        except kind:
+            pass
+
+
+def test_listings_of_odd_rows(spark):
+    docs = lambda *x: spark.createDataFrame(list(x), "id string, name string, origin int")
+    got = document_listing([docs(("D1", "Plan", 9), ("d1 ", "other", 9), (None, None, 9), ("", "Rules", 9)), docs(("x", "plan", 9), ("rules", None, 9), ("y", "New", 9), ("z", "NEW ", 9)), docs()])
+    assert rows(got) == sorted([("D1", "Plan", 0, False), ("", "Rules", 0, False), ("y", "New", 1, True)], key=repr)
+    pages = lambda *x: spark.createDataFrame(list(x), "url string, title string, chars int, n_chunks int")
+    got = page_listing([pages(("u", "About", 0, 0), (None, "x", 1, 1)), pages(("u", "Title", 1700, 0), ("v/exam-cell.php", None, 0, 1), ("v/exam-cell.php", None, 0, 1), ("", "x", 1, 1))])
+    assert rows(got, "url", "title", "chars", "chunks", "origin") == [("u", "Page", 1700, 3, 0), ("v/exam-cell.php", "Page", 0, 2, 1)]
+    assert page_listing([pages()]).count() == 0 and document_listing([docs()]).count() == 0
+
+
 def test_reachable(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", None)], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "url string")
@@ -230,6 +269,9 @@ def test_engine(spark, tmp_path):
     assert engine.knowledge().count() == 1 and engine.history().count() == 2 and engine.dashboard().count() >= 1
     assert engine.preview("https://s.example/hostel").count() == 1 and engine.source_chunks("website").count() == 2
     assert engine.registry("website").count() == 2 and engine.changes().count() == 1
+    assert {r["url"]: r["chunks"] for r in engine.pages().collect()} == {"https://s.example/library": 1, "https://s.example/hostel": 1}
+    assert engine.pages("LIBRARY").count() == 1 and engine.documents().count() == 0
+    assert engine.spent_today() > 0 and engine.embedding_status()["remaining"] is None
     assert engine.delete_source("https://s.example/hostel") == 1 and engine.chunks().count() == 1
     engine.clear("s1")
     assert engine.messages("s1").count() == 0
