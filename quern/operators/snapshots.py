@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.keys import hex_digest, written_key
-from quern.session import scratch_path
+from quern.session import materialise, scratch_path
 
 #: Least number of buckets of a new index, and records of a bucket, about.
 BUCKETS, BUCKET_ROWS = 12, 250_000
@@ -45,8 +45,9 @@ def record_hashes(source: str = "source_id", key: str = "item_key") -> list:
 class SnapshotStore:
     """The key-to-hash index of the last state of every source, in a folder.
 
-    ``records-N``: what delivery N held, ``index-N``: the index after it, ``changes-N``: what it changed; ``current-N-B``
-    points to the newest complete one, of B buckets. A delivery that fails half-way leaves the pointer, and is done again.
+    ``records-N``: what delivery N held, ``index-N``: the index after it, ``changes-N``: what it changed; ``current-N-B-G.G``
+    points to the newest complete one, of B buckets, and names the deliveries whose rows it holds. A delivery that fails
+    half-way leaves the pointer, and is done again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -61,10 +62,10 @@ class SnapshotStore:
     def _names(self) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._place(""))] if self._fs.exists(self._place("")) else []
 
-    def current(self) -> tuple[int, int] | None:
-        """Number of the newest delivery and buckets of the index; None if there was none."""
-        found = [tuple(map(int, n.split("-")[1:])) for n in self._names() if n.startswith("current-")]
-        return max(found, default=None)
+    def current(self) -> tuple[int, int, list[int]] | None:
+        """Number of the newest delivery, buckets of the index, and deliveries it holds rows of; None if there was none."""
+        parts = [n.split("-")[1:] for n in self._names() if n.startswith("current-")]
+        return max(((int(n), int(b), [int(g) for g in held.split(".")]) for n, b, held in parts), default=None)
 
     def _write(self, rows: DataFrame, name: str, buckets: int) -> DataFrame:
         # As many tasks as buckets, by the same hash: each writes one file.
@@ -110,9 +111,9 @@ class SnapshotStore:
             held = [n]
         else:
             old = self._read(f"index-{now[0]}", _INDEX_SCHEMA, buckets)
-            held = sorted(r[0] for r in old.select("generation").distinct().collect())  # as many as deliveries whose rows still count
+            held = now[2]
             covered = new.select("source_hash").distinct()
-            marked = self._probe(old, entries, covered if per_source else None)
+            marked = materialise(self._probe(old, entries, covered if per_source else None), "marked")
             found = [marked.where("change_type = 'added'").join(new, ["k1", "k2"]).select("source_id", "item_key", "change_type", F.lit(None).cast("string").alias("old_value"), F.col("value").alias("new_value"))]
             for g in held:  # each from its own generation, bucket by bucket
                 records_g = self._read(f"records-{g}", _RECORDS_SCHEMA, buckets)
@@ -125,11 +126,13 @@ class SnapshotStore:
             changes.write.mode("overwrite").parquet(f"{self.path}/changes-{n}")
             kept = old.join(covered, "source_hash", "left_anti")
             index = self._write(entries.unionByName(kept.select(*entries.columns)), f"index-{n}", buckets)
-            held = [n, *(g for g in held if index.where(F.col("generation") == g).limit(1).count())]
-        self._fs.create(self._place(f"current-{n}-{buckets}"), True).close()
+            # Deliveries whose rows still count: the sources that this one lacks.
+            held = sorted([n, *(r[0] for r in index.where(F.col("generation") != n).select("generation").distinct().collect())])
+        pointer = f"current-{n}-{buckets}-{'.'.join(map(str, held))}"
+        self._fs.create(self._place(pointer), True).close()
         for name in self._names():  # what the new index has taken the place of
             kind, _, number = name.partition("-")
-            if kind == "current" and name != f"current-{n}-{buckets}" or kind == "index" and number != str(n) or kind == "records" and int(number) not in held:
+            if kind == "current" and name != pointer or kind == "index" and number != str(n) or kind == "records" and int(number) not in held:
                 self._forget(name)
         return self.changes(n)
 
