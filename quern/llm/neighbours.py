@@ -287,7 +287,8 @@ def similar_pairs(vectors: DataFrame, n: int, k: int, min_cosine: float, trees:
     ``vectors``: ``node, space, vector, ask``, ``n`` rows, one for each node; partners are looked for of those that ask.
     """
     blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)))
-    some = vectors if n <= SAMPLE_ROWS else vectors.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(int((1 << 20) * 0.9 * SAMPLE_ROWS / n)))
+    sampled = min(SAMPLE_ROWS, 4_000 * blocks)
+    some = vectors if n <= sampled else vectors.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(int((1 << 20) * 0.9 * sampled / n)))
     ends = block_ends(some.select("space", "node", "vector").toArrow() if blocks > 1 else some.limit(0).select("space", "node", "vector").toArrow(), trees, blocks)
     asked = depths(vectors.select("space", "node", "vector", "ask").mapInArrow(_strings(ends), _CODE_SCHEMA), trees * blocks, candidates, trees)
     deep = vectors.join(asked, "node", "left").withColumn("depth", F.coalesce("depth", F.lit(DEPTHS[-1])))
