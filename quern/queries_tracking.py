@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,13 @@ LISTING_SNAPSHOT = 5
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    registry = snapshot_changes(read_table(spark, d, "ingestion_registry")).drop("old_value", "new_value").withColumn("tbl", F.lit("ingestion_registry"))
-    vectors = listing_changes(read_table(spark, d, "vectors_prior"), read_table(spark, d, "vectors"), LISTING_SNAPSHOT).withColumn("tbl", F.lit("vectors"))
-    return registry.unionByName(vectors).select("tbl", "snapshot_no", "source_id", "item_key", "change_type")
+    """Both tables' deliveries are jobs one after the other; the tables don't wait for each other."""
+    columns = ["tbl", "snapshot_no", "source_id", "item_key", "change_type"]
+    registry = lambda: snapshot_changes(read_table(spark, d, "ingestion_registry")).withColumn("tbl", F.lit("ingestion_registry"))
+    listing = lambda: listing_changes(read_table(spark, d, "vectors_prior"), read_table(spark, d, "vectors"), LISTING_SNAPSHOT).withColumn("tbl", F.lit("vectors"))
+    with ThreadPoolExecutor(2) as pool:
+        found = [pool.submit(inheritable_thread_target(spark)(f)) for f in (registry, listing)]
+        return found[0].result().select(*columns).unionByName(found[1].result().select(*columns))
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
