@@ -55,8 +55,7 @@ SLACK = 0.015
 
 _CODE_SCHEMA = "block int, space long, code long, node long, ask boolean"
 _TREE_SCHEMA = "block int, space long, code long, node long, depth int, own boolean, ask boolean, vector binary"
-#: Counts of this many depths are packed into a long, each up to a sixteenth of its share, so that sums over 16 trees keep
-#: apart: four up to 4,095 or, for more candidates, two up to 134 million.
+#: Counts of this many depths are packed into a long: four or, for more candidates, two.
 _PACK_SMALL, _PACK_LARGE = 4, 2
 
 
@@ -173,10 +172,15 @@ def _read_all(batches, names: list[str]) -> list:
     return [table.column(n).combine_chunks() for n in names] if table is not None else []
 
 
-def _descend(pack: int):
+def packing(pack: int, trees: int) -> tuple[int, int]:
+    """Bits of each of ``pack`` counts in a long, and what one tree counts at most: sums over the trees keep apart and below the sign."""
+    bits = 63 // pack
+    return bits, ((1 << bits) - 1) // trees
+
+
+def _descend(pack: int, trees: int):
     """The cell sizes of a block's strings that ask, at all depths, packed."""
-    bits = 64 // pack
-    most = (1 << (bits - 5)) * 2 - 1
+    bits, most = packing(pack, trees)
 
     def run(batches):
         columns = _read_all(batches, ["space", "code", "node", "ask"])
@@ -193,10 +197,10 @@ def _descend(pack: int):
 
 def depths(strings: DataFrame, blocks: int, candidates: int, trees: int = TREES) -> DataFrame:
     """``node, depth``: the depth at which the cells of all trees together first hold ``candidates`` others."""
-    pack = _PACK_SMALL if candidates <= 4095 * trees // 2 else _PACK_LARGE
-    bits, columns = 64 // pack, [f"c{i}" for i in range(len(DEPTHS) // pack)]
+    pack = _PACK_SMALL if candidates <= packing(_PACK_SMALL, trees)[1] else _PACK_LARGE
+    bits, columns = packing(pack, trees)[0], [f"c{i}" for i in range(len(DEPTHS) // pack)]
     ordered = strings.repartitionById(blocks, "block").sortWithinPartitions("space", "code", "node")
-    counts = ordered.mapInArrow(_descend(pack), "node long, " + ", ".join(f"{c} long" for c in columns))
+    counts = ordered.mapInArrow(_descend(pack, trees), "node long, " + ", ".join(f"{c} long" for c in columns))
     sums = counts.groupBy("node").agg(*(F.sum(c).alias(c) for c in columns))
     at = lambda i: F.shiftright(F.col(columns[i // pack]), bits * (i % pack)).bitwiseAND(F.lit((1 << bits) - 1))
     steps = [F.when(at(i) >= candidates, F.lit(DEPTHS[i])) for i in reversed(range(len(DEPTHS)))]

@@ -288,6 +288,14 @@ def test_neighbours_in_dense_clusters(spark):
     assert {tuple(r) for r in neighbours.neighbour_pairs(df, min_cosine=0.85).collect()} == brute_pairs(ids, ["p"] * len(ids), m)
 
 
+def test_depths_of_large_cells(spark):
+    """Sums of packed counts stay below the sign of a long: cells of 3,000 in each of 12 trees."""
+    strings = spark.range(3000).select(F.explode(F.sequence(F.lit(0), F.lit(neighbours.TREES - 1))).alias("block"), F.lit(1).cast("long").alias("space"), F.col("id").alias("code"), F.col("id").alias("node"), F.lit(True).alias("ask"))
+    for candidates, depth in ((1024, 36), (2999 * neighbours.TREES, 36), (3000 * neighbours.TREES, 0)):
+        found = neighbours.depths(strings, neighbours.TREES, candidates)
+        assert [tuple(r) for r in found.groupBy("depth").count().collect()] == [(depth, 3000)]
+
+
 def test_neighbours_odd_rows(spark):
     v = [1.0] * 64
     w = [1.0] * 63 + [0.9]
