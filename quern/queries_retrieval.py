@@ -53,7 +53,7 @@ def retrieve_dense_text(s, d):
 def _pool(s, d):
     asked, chunks = _queries(s, d), _chunks(s, d)
     dense = Q.text_scores(asked, chunks, max(40, Q.pool_size()))
-    return asked, chunks, Q.pool(Q.hybrid_candidates(asked, chunks, dense))
+    return asked, chunks, Q.pool(Q.hybrid_candidates(asked, chunks, dense, Q.TOP_K))
 
 
 def hybrid_score(s, d):

@@ -161,6 +161,54 @@ def test_only_lexical_hits_give_an_empty_pool(spark):
     assert found.count() == 1 and retrieval.pool(found).count() == 0
 
 
+def _matched(spark):
+    import random
+
+    g = random.Random(5)
+    stems = ["hostel", "fees", "library", "placement", "alumni", "robotics"]
+    queries = spark.createDataFrame([(i, " ".join(g.sample(stems, g.randint(1, 4)) + ["fees"] * (i % 2))) for i in range(12)], "query_id long, query string")
+    data = [(f"c{i:04}", f"s{i % 3}", "hostel house" if i % 7 == 0 else None, f"k{i % 40}" if i % 9 else None, " ".join(w + g.choice(["", "s", "x"]) for w in g.sample(stems, g.randint(0, 6))), g.choice(stems + [None])) for i in range(1500)]
+    chunks = spark.createDataFrame(data, "id string, source_id string, source_name string, item_key string, text string, title string").repartition(3)
+    dense = spark.createDataFrame([(q, f"c{g.randrange(1500):04}", g.choice([0.2, 0.3, 0.5])) for q in range(11) for _ in range(30)], "query_id long, id string, dense double").dropDuplicates(["query_id", "id"])
+    return queries, chunks, dense
+
+
+def test_pool_of_cut_candidates(spark, monkeypatch):
+    """Tasks that give only their best candidates lead to the same pool; few are held at once, and queries come in blocks."""
+    queries, chunks, dense = _matched(spark)
+    whole = retrieval.hybrid_candidates(queries, chunks, dense)
+    want = rows(retrieval.pool(whole))
+    for held, block in ((400_000, 100), (300, 5)):
+        monkeypatch.setattr(retrieval, "HELD", held)
+        monkeypatch.setattr(retrieval, "STEM_BLOCK", block)
+        cut = retrieval.hybrid_candidates(queries, chunks, dense, retrieval.TOP_K)
+        assert cut.count() < whole.count() / 5
+        assert rows(retrieval.pool(cut)) == want and len(want) > 200
+
+
+def test_candidates_by_brute_force(spark):
+    """All pairs, by plain Python, and none of them is shuffled."""
+    import re
+
+    queries, chunks, dense = _matched(spark)
+    near = {(r[0], r[1]): r[2] for r in dense.collect()}
+    want = []
+    asked = queries.select("query_id", retrieval.query_stems(F.col("query"))).collect()
+    for c in chunks.collect():
+        words = re.findall(r"\w+", c["text"].lower())
+        title = f"{c['source_name'] or ''} {c['title'] or ''}".lower()
+        for q, stems in asked:
+            kw, hits, d = sum(any(w.startswith(s) for w in words) for s in stems), sum(s in title for s in stems), near.get((q, c["id"]), 0.0)
+            if d > 0 or hits or kw >= 2 or (kw and len(stems) == 1 and len(stems[0]) >= 4):
+                want.append((q, c["id"], kw, hits, d, round(d * 0.85 + min(kw * 0.025, 0.1) + min(hits * 0.035, 0.07), 4)))
+    found = retrieval.hybrid_candidates(queries, chunks, dense)
+    got = rows(found, "query_id", "id", "kw", "title_hits", "dense", "score")
+    assert [x[:5] for x in got] == sorted((x[:5] for x in want), key=repr)
+    assert {x[:2]: x[5] for x in got} == pytest.approx({x[:2]: x[5] for x in want}, abs=1.01e-4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan
+
+
 def test_rerank_score(spark):
     q = spark.createDataFrame([(1, "alpha beta gammas")], "query_id long, query string")
     text = "Alpha beta gammas are told of here, " + "at some length " * 5
