@@ -234,8 +234,9 @@ def regrouped(s, d):
 
 
 def _event_stream(s: SparkSession, d: str) -> DataFrame:
+    """The table may be a file or a folder of files; a path with a pattern stands for either."""
     schema = read_table(s, d, "events").schema
-    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return s.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _collected(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:

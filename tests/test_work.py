@@ -227,6 +227,15 @@ def test_spelling(spark):
     assert {s for s, _, _ in got} == {"admissoin", "hostal"}
 
 
+def test_event_streams_of_a_folder(spark, small, tmp_path):
+    """A large table is a folder of files."""
+    from quern.queries_retrieval import stream_sessions
+
+    events = spark.read.parquet(f"{small}/events.parquet")
+    events.repartition(3).write.parquet(f"file://{tmp_path}/events.parquet")
+    assert rows(stream_sessions(spark, f"file://{tmp_path}")) == rows(stream_sessions(spark, small))
+
+
 def test_sessions(spark):
     at = lambda s: datetime.fromtimestamp(s)
     ev = spark.createDataFrame([(1, at(0)), (1, at(21600)), (1, at(43201)), (2, at(5)), (None, at(1))], "user_id long, ts timestamp")
