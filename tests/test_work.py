@@ -12,6 +12,7 @@ from quern.operators import chunking, cleaning, embedding, retrieval, sessions,
 from quern.operators import answers as said
 from quern.operators.delta import crawl_diff, decide
 from quern.plans.slices import commit_slices, first_misses, request_batches
+from tests.compare import compare, connect
 from tests.conftest import rows
 
 LONG = "\n\n".join(f"Paragraph {i} " + "speaks of many things; and of others. " * (i % 23) for i in range(120))
@@ -209,6 +210,26 @@ def test_candidates_by_brute_force(spark):
     assert "hashpartitioning(query_id" not in plan
 
 
+@pytest.mark.parametrize("name", ["hybrid_score"])
+def test_queries_of_retrieval_keep_pairs_in_their_tasks(spark, tmp_path, monkeypatch, name):
+    """Rows are those of the SQL; pools get cut candidates, a number that doesn't follow the pairs, and whole ones aren't shuffled."""
+    queries, chunks, _ = _matched(spark)
+    queries.select((F.col("query_id") * 100).alias("doc_id"), F.col("query").alias("title")).write.parquet(f"{tmp_path}/documents.parquet")
+    of = F.create_map(F.lit("title"), "title", F.lit("section_title"), F.concat(F.lit("part "), F.col("item_key")))
+    then = F.timestamp_seconds(F.lit(1_700_000_000) + F.abs(F.hash("id")) % 9000)
+    vectors = chunks.withColumns({"metadata": of, "updated_at": then, "created_at": then, "embed_provider": F.lit("x"), "tokens": F.lit(1), "content_hash": F.md5("text")}).drop("title")
+    vectors.write.parquet(f"{tmp_path}/vectors.parquet")
+    given, whole = [], retrieval.hybrid_candidates
+    monkeypatch.setattr(retrieval, "hybrid_candidates", lambda *a, **kw: given.append(whole(*a, **kw)) or given[-1])
+    result = compare(spark, connect(str(tmp_path)), name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
+    assert " equal," in result, result
+    (found,) = given
+    if name == "hybrid_score":
+        assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    else:
+        assert found.count() <= 12 * (40 + retrieval.pool_size() * found.rdd.getNumPartitions()) < 12 * 1500 / 4
+
+
 def test_rerank_score(spark):
     q = spark.createDataFrame([(1, "alpha beta gammas")], "query_id long, query string")
     text = "Alpha beta gammas are told of here, " + "at some length " * 5
