@@ -210,7 +210,7 @@ def test_candidates_by_brute_force(spark):
     assert "hashpartitioning(query_id" not in plan
 
 
-@pytest.mark.parametrize("name", ["hybrid_score", "retrieve_capped", "synthesis"])
+@pytest.mark.parametrize("name", ["hybrid_score", "retrieve_capped", "relevance_filter", "synthesis"])
 def test_queries_of_retrieval_keep_pairs_in_their_tasks(spark, tmp_path, monkeypatch, name):
     """Rows are those of the SQL; pools get cut candidates, a number that doesn't follow the pairs, and whole ones aren't shuffled."""
     queries, chunks, _ = _matched(spark)
