@@ -47,18 +47,18 @@ def retrieve_in_space(s, d):
 
 
 def retrieve_dense_text(s, d):
-    return Q.text_scores(_queries(s, d), _chunks(s, d), 40).select("query_id", "id", F.round("dense", 5).alias("dense"))
+    return Q.text_scores(_queries(s, d), _chunks(s, d), 40, unique=True).select("query_id", "id", F.round("dense", 5).alias("dense"))
 
 
 def _pool(s, d):
     asked, chunks = _queries(s, d), _chunks(s, d)
-    dense = Q.text_scores(asked, chunks, max(40, Q.pool_size()))
+    dense = Q.text_scores(asked, chunks, max(40, Q.pool_size()), unique=True)
     return asked, chunks, Q.pool(Q.hybrid_candidates(asked, chunks, dense, Q.TOP_K))
 
 
 def hybrid_score(s, d):
     asked, chunks = _queries(s, d), _chunks(s, d)
-    return Q.hybrid_candidates(asked, chunks, Q.text_scores(asked, chunks, 40)).select("query_id", "id", "kw", "title_hits", "score")
+    return Q.hybrid_candidates(asked, chunks, Q.text_scores(asked, chunks, 40, unique=True)).select("query_id", "id", "kw", "title_hits", "score")
 
 
 def retrieve_capped(s, d):

@@ -188,6 +188,18 @@ def test_pool_of_cut_candidates(spark, monkeypatch):
         assert rows(retrieval.pool(cut)) == want and len(want) > 200
 
 
+@pytest.mark.parametrize("name", ["hybrid_score", "retrieve_capped", "synthesis", "retrieve_dense_text"])
+def test_texts_of_unique_chunks_are_not_shuffled_for_their_scores(spark, small, monkeypatch, name):
+    """The chunks of the queries are unique when they are written; rows that aren't known to be are still made so."""
+    given, whole = [], retrieval.text_scores
+    monkeypatch.setattr(retrieval, "text_scores", lambda *a, **kw: given.append((a, whole(*a, **kw))) or given[-1][1])
+    entry.queries()[name](spark, small)
+    ((args, found),) = given
+    assert "hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
+    queries, chunks, *rest = args
+    assert rows(found) == rows(whole(queries, chunks.unionByName(chunks), *rest)) != []
+
+
 @pytest.mark.parametrize("near, items", [((0.5, 0.6), 40), ((0.16, 0.17, 0.19, 0.2, 0.21, 0.4), 40), ((0.16, 0.2, 0.5), 4)])
 def test_dense_hits_keep_others_from_being_passed_on(spark, near, items):
     """What the dense hits of a query keep out of its pool isn't given: nothing but them, if the last that counts has 0.17. Few items fill no pool."""
