@@ -149,7 +149,7 @@ class SessionWindow(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "session_no long, events array<long>, last double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         number, events, last = self.held.get() or (0, [], None)
         events = list(events)
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -166,7 +166,7 @@ class SessionWindow(StatefulProcessor):
         self.handle.registerTimer(int((last + STATE_HOURS * 3600) * 1000))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "session_no", "held"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark gives them by name
         self.held.clear()
         yield pd.DataFrame({c: pd.Series(dtype="int64") for c in ("user_id", "event_id", "session_no", "held")})
 

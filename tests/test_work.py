@@ -293,6 +293,16 @@ def test_event_streams_of_a_folder(spark, small, tmp_path):
     assert rows(stream_sessions(spark, f"file://{tmp_path}")) == rows(stream_sessions(spark, small))
 
 
+def test_event_streams_outlive_idle_users(spark, tmp_path):
+    """The state of users who were idle for days is dropped by timer, and no row with it."""
+    from quern.queries_retrieval import stream_sessions
+
+    at = lambda h: datetime.fromtimestamp((h + 24) * 3600)
+    ev = [(10, at(0), 1), (11, at(1), 1), (12, at(8), 1), (13, at(500), 2), (14, at(501), 2)]
+    spark.createDataFrame(ev, "event_id long, ts timestamp, user_id long").write.parquet(f"file://{tmp_path}/events.parquet")
+    assert rows(stream_sessions(spark, f"file://{tmp_path}"), "event_id", "user_id", "session_no", "held") == [(10, 1, 0, 1), (11, 1, 0, 2), (12, 1, 1, 1), (13, 2, 0, 1), (14, 2, 0, 2)]
+
+
 def test_sessions(spark):
     at = lambda s: datetime.fromtimestamp(s)
     ev = spark.createDataFrame([(1, at(0)), (1, at(21600)), (1, at(43201)), (2, at(5)), (None, at(1))], "user_id long, ts timestamp")
