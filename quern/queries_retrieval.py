@@ -15,7 +15,7 @@ from quern.queries_text import _PATH, filter_stems_sql, stems_sql, terms_sql
 from quern.operators.store import VersionedStore
 from quern.session import materialise, read_table, scratch_path
 from quern.sources.readers import csv_sections as sections_of_rows
-from quern.streaming.ingest import deduplicated, run_available, session_stream, windowed_counts
+from quern.streaming.ingest import SessionWindow, deduplicated, run_available, windowed_counts
 
 
 def _queries(s: SparkSession, d: str) -> DataFrame:
@@ -274,7 +274,9 @@ def stream_batches(s, d):
 
 
 def stream_sessions(s, d):
-    return _collected(s, session_stream(_event_stream(s, d).select("user_id", "event_id", "ts")), "sessions")
+    window = SessionWindow(s, scratch_path(s, "sessions"))
+    run_available(_event_stream(s, d).select("user_id", "event_id", "ts"), window.step, scratch_path(s, "sessions-state"))
+    return window.read()
 
 
 def vector_fit(s, d):

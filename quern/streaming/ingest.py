@@ -7,25 +7,22 @@ the number of the last batch with its version, so a batch that is repeated after
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from quern.operators.chunking import chunk_rows
 from quern.functions.text import content_hash, dedupe_key, fingerprint, stripped
 from quern.operators.delta import KEY, decide, registry_record
 from quern.operators.embedding import Embedder, embed_documents
+from quern.operators.sessions import IDLE_SECONDS, KEEP, last_messages
 from quern.operators.store import VersionedStore, unique_chunks
 from quern.plans.slices import SLICE_CHUNKS, affordable, commit_slices, first_misses
 from quern.session import materialise
 
-#: Seconds after which an idle session is forgotten, messages it keeps.
-IDLE_SECONDS, KEEP = 6 * 3600, 20
-#: Hours without a message after which a user's state is dropped: long after their session has ended.
+#: Half the hours without a message after which a user's state is dropped: long after their session has ended.
 STATE_HOURS = 48
 
 
@@ -138,48 +135,62 @@ def windowed_counts(stream: DataFrame, ts: str, keys: list[str], width: str = "1
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
-class SessionWindow(StatefulProcessor):
-    """Keeps the last messages of each session, and forgets a session that was idle for longer than the limit.
+class SessionWindow:
+    """Sessions of a stream of ``user_id, event_id, ts``: a number for each message and how many its session then holds.
 
-    Emits for every message the session's number and how many messages it now holds. The state of a user from whom
-    nothing came for ``STATE_HOURS`` of the stream's own time is dropped altogether, by a timer.
+    ``rows`` has a row for every message. ``state`` keeps the last messages of each user's latest session, from which the next
+    batch goes on; that of a user who is idle for longer than ``2 * STATE_HOURS`` of the stream's own time is dropped. Both keep
+    the number of their last batch. What comes late is counted to the session under way, and so is what has no time; messages
+    without user are those of one user.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "session_no long, events array<long>, last double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        number, events, last = self.held.get() or (0, [], None)
-        events = list(events)
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for event, ts in zip(frame["event_id"], frame["ts"]):
-            at = ts.timestamp()
-            if last is not None and at - last > IDLE_SECONDS:
-                number, events = number + 1, []
-            events, last = [*events, int(event)][-KEEP:], at if last is None else max(last, at)
-            out.append((key[0], event, number, len(events)))
-        self.held.update((number, events, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((last + STATE_HOURS * 3600) * 1000))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "session_no", "held"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark gives them by name
-        self.held.clear()
-        yield pd.DataFrame({c: pd.Series(dtype="int64") for c in ("user_id", "event_id", "session_no", "held")})
-
-    def close(self) -> None:
-        pass
-
-
-def session_stream(stream: DataFrame) -> DataFrame:
-    """``user_id, event_id, session_no, held`` from a stream of ``user_id, event_id, ts``.
-
-    State with several fields needs the RocksDB provider, which is set for the session.
-    """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return stream.withWatermark("ts", f"{STATE_HOURS} hours").groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=SessionWindow(), outputStructType="user_id long, event_id long, session_no long, held long", outputMode="Append", timeMode="EventTime"
-    )
+    SCHEMA = "user_id long, event_id long, session_no long, held long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.rows, self.state = VersionedStore(spark, f"{path}/rows"), VersionedStore(spark, f"{path}/state")
+
+    def step(self, batch: DataFrame, number: int) -> None:
+        kept = self._kept()
+        self.rows.append(self._numbered(batch, kept).withColumn("batch", F.lit(number).cast("long")), number)
+        # From the rows that were written, so that state that is written by a further attempt is of the same rows.
+        held = self.rows.read().where(F.col("batch") == number).drop("batch", "held")
+        held = last_messages(held if kept is None else held.unionByName(kept), KEEP, "user_id", [F.desc("place")])
+        user = Window.partitionBy("user_id")
+        current = held.withColumn("_latest", F.max("session_no").over(user)).withColumn("last", F.max("last").over(user))
+        self.state.write(current.where("session_no = _latest").drop("_latest"), number)
+
+    def read(self) -> DataFrame:
+        rows = self.rows.read()
+        return self.spark.createDataFrame([], self.SCHEMA) if rows is None else rows.select("user_id", "event_id", "session_no", "held")
+
+    def _kept(self) -> DataFrame | None:
+        """Messages of users who aren't idle for too long."""
+        held = self.state.read()
+        if held is None:
+            return None
+        newest = held.agg(F.max("last").alias("_newest"))
+        idle = F.col("last") <= F.col("_newest") - F.expr(f"interval {2 * STATE_HOURS} hours")
+        return held.crossJoin(F.broadcast(newest)).where(~F.coalesce(idle, F.lit(False))).drop("_newest")
+
+    @staticmethod
+    def _numbered(batch: DataFrame, kept: DataFrame | None) -> DataFrame:
+        """The batch with ``session_no, held``, the latest time so far as ``last``, and its place among the user's messages. What is
+        kept of a user is one row before those of the batch."""
+        none = F.lit(None).cast("long")
+        rows = batch.select("user_id", "event_id", "ts", none.alias("was"), none.alias("had"), none.alias("place"))
+        if kept is not None:
+            known = kept.groupBy("user_id").agg(F.max("last").alias("ts"), F.max("session_no").alias("was"), F.count("*").alias("had"), F.max("place").alias("place"))
+            rows = rows.unionByName(known.withColumn("event_id", none))
+        order = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("was"), F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+        before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+        gap = F.col("ts").cast("double") - F.max("ts").over(before).cast("double")
+        placed = (
+            rows.withColumn("new", F.coalesce("was", F.when(gap > IDLE_SECONDS, 1).otherwise(0)))
+            .withColumn("session_no", F.sum("new").over(so_far))
+            .withColumn("place", F.sum(F.coalesce("place", F.lit(1))).over(so_far))
+            .withColumn("last", F.max("ts").over(so_far))
+        )
+        start = F.when(F.col("was").isNotNull(), F.col("place") - F.col("had")).when(F.col("new") == 1, F.col("place") - 1)
+        held = F.col("place") - F.coalesce(F.max(start).over(so_far), F.lit(0))
+        return placed.withColumn("held", F.least(held, F.lit(KEEP).cast("long"))).where("was is null").select("user_id", "event_id", "session_no", "held", "last", "place")

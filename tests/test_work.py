@@ -303,6 +303,42 @@ def test_event_streams_outlive_idle_users(spark, tmp_path):
     assert rows(stream_sessions(spark, f"file://{tmp_path}"), "event_id", "user_id", "session_no", "held") == [(10, 1, 0, 1), (11, 1, 0, 2), (12, 1, 1, 1), (13, 2, 0, 1), (14, 2, 0, 2)]
 
 
+def test_event_streams_keep_old_and_unknown(spark, tmp_path):
+    """Times before 1970, no time and no user: nothing is late in the first batch."""
+    from quern.queries_retrieval import stream_sessions
+
+    at = lambda h: datetime.fromtimestamp(h * 3600)
+    ev = [(10, at(-30), 1), (11, at(0), 1), (12, None, 1), (13, at(1), None), (14, at(2), None), (15, None, 3)]
+    spark.createDataFrame(ev, "event_id long, ts timestamp, user_id long").write.parquet(f"file://{tmp_path}/events.parquet")
+    assert rows(stream_sessions(spark, f"file://{tmp_path}"), "event_id", "user_id", "session_no", "held") == [(10, 1, 0, 1), (11, 1, 1, 1), (12, 1, 1, 2), (13, None, 0, 1), (14, None, 0, 2), (15, 3, 0, 1)]
+
+
+def test_sessions_go_on_with_the_next_batch(spark, tmp_path):
+    """Number and messages of a session come from the state; a batch that is done again changes nothing, written rows or state lost or not."""
+    from quern.streaming.ingest import SessionWindow
+
+    at = lambda h: datetime.fromtimestamp(h * 3600)
+    batches = [
+        [(1, at(0), 7), (2, at(5), 7), (3, None, 7), (4, at(1), None), (5, None, None), *((100 + i, at(i / 8), 9) for i in range(25))],
+        [(6, at(11), 7), (7, at(18), 7), (8, at(4), None), (200, at(4), 9)],
+        [(9, at(500), 8), (201, at(1), 9)],
+        [(10, at(501), 7)],
+    ]
+    window = SessionWindow(spark, f"file://{tmp_path}/w")
+    for n, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, "event_id long, ts timestamp, user_id long")
+        if n == 1:  # as if the run had failed between rows and state
+            window.rows.append(window._numbered(df, window._kept()).withColumn("batch", F.lit(n).cast("long")), n)
+        for _ in range(2):
+            window.step(df, n)
+    got = {r[0]: tuple(r)[1:] for r in window.read().select("event_id", "user_id", "session_no", "held").collect()}
+    assert [got[100 + i] for i in range(25)] == [(9, 0, min(20, i + 1)) for i in range(25)] and len(got) == window.read().count() == 37
+    assert {k: v for k, v in got.items() if k < 100} == {1: (7, 0, 1), 2: (7, 0, 2), 3: (7, 0, 3), 4: (None, 0, 1), 5: (None, 0, 2), 6: (7, 0, 4), 7: (7, 1, 1), 8: (None, 0, 3), 9: (8, 0, 1), 10: (7, 0, 1)}
+    assert got[200] == got[201] == (9, 0, 20)  # what is late goes to the session under way
+    # Users idle for four days are gone.
+    assert rows(window.state.read(), "user_id", "event_id") == [(7, 10), (8, 9)]
+
+
 def test_sessions(spark):
     at = lambda s: datetime.fromtimestamp(s)
     ev = spark.createDataFrame([(1, at(0)), (1, at(21600)), (1, at(43201)), (2, at(5)), (None, at(1))], "user_id long, ts timestamp")
